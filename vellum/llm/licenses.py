@@ -52,7 +52,7 @@ class Automaton:
             for text in texts:
                 first = self._state()
                 starts.add(first)
-                self.labels[self._compile(re.findall(r"<<[^>]*>>|\S+", text), first)] = label
+                self.labels[self._compile(re.findall(r"<<[^>]*>>|[^\s<]+", text), first)] = label
         self.start = self._closed(starts)
         self.memo: dict[tuple, tuple] = {}
         self.first_words = sorted({w for s in self.start for w in self.edges[s]})
