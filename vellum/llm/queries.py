@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, licenses, packing, quality, rans, scratch, suffixes, token_counts, word_shuffle
+from . import fingerprints, html_text, jaccard, licenses, packing, quality, rans, scratch, suffixes, token_counts, word_shuffle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=2048, end_id=0)
 
@@ -52,5 +56,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_shuffle.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_license_scan, op8_fingerprints, op9_token_files, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_html_text, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_license_scan, op8_fingerprints, op9_token_files, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
