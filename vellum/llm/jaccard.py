@@ -38,12 +38,17 @@ FLUSH_SIGS = 3_000_000
 BLOCK = 512
 
 
-def sets(batch, limit: int = 2_000_000):
+def sets(batch):
     """For each slice of a batch: (doc_id column, hashes, borders): each document's distinct shingles, ascending."""
-    for rows, buf, offs in K.pieces(batch, limit=limit):
+    for rows, (h, doc) in _shingled(batch):
+        yield (rows.column("doc_id").combine_chunks(), *K.distinct(h, doc, len(rows)))
+
+
+def _shingled(batch):
+    """For each slice of a batch: (rows, (shingle hashes, document numbers))."""
+    for rows, buf, offs in K.pieces(batch):
         a, b, first = K.words(buf, offs, K.SPACE_WORD)
-        h = K.spans_hash(K.rolling(buf, lower=True), a, b)
-        yield (rows.column("doc_id").combine_chunks(), *K.distinct(*K.shingles(h, first, WORDS), len(rows)))
+        yield rows, K.shingles(K.spans_hash(K.rolling(buf, lower=True), a, b), first, WORDS)
 
 
 def nodes(ids: pa.Array, sums: np.ndarray) -> np.ndarray:
@@ -353,16 +358,48 @@ def _token_pairs(texts: DataFrame, about: DataFrame) -> DataFrame:
     return weak.select(F.col("node").alias("a"), "token").join(rows.select(F.col("node").alias("b"), "token"), "token").where("a <> b").select("a", "b").distinct()
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, node, n_shingles and component (the least node reached) of every document."""
     about = scratch.settle(docs.select("doc_id", "text").mapInArrow(_about, "doc_id long, node long, n_shingles long, s1 long, s2 long, sketch binary, weak boolean"), "about")
     found = links(docs, about)
     full = about.where("n_shingles > 0")
     least = full.groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("least"))
     copies = full.join(least, ["s1", "s2", "n_shingles"]).select(F.col("node").alias("u"), F.col("least").alias("v"))
     comp = scratch.settle(components(found.unionByName(copies)), "components")
-    out = about.where("n_shingles > 0").join(comp, "node").select("doc_id", "n_shingles", "component")
-    names = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = out.join(names, "component").select("doc_id", "n_shingles", "component_id")
-    alone = about.join(comp, (about["node"] == comp["node"]) & (about["n_shingles"] > 0), "left_anti")
-    return linked.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    alone = about.where("n_shingles = 0").select("doc_id", "node", "n_shingles", F.col("node").alias("component"))
+    reached = full.join(comp, "node", "left").select("doc_id", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    return reached.unionByName(alone)
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    rows = _labelled(docs)
+    # the least node is the least doc_id, but where documents without doc_id are in the component
+    names = rows.where("component < 0 and n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = rows.join(names, "component", "left")
+    label = F.when((F.col("component") < 0) & (F.col("n_shingles") > 0), F.col("least")).when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return named.select("doc_id", "n_shingles", label.alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, without those that follow another one of their component in doc_id order.
+
+    Documents without words all stay; of documents without doc_id that have a component for themselves one stays.
+    """
+    rows = scratch.settle(_labelled(docs), "labels")
+    with_words = rows.where("n_shingles > 0 and node = component").select("node").distinct()
+    nothing = rows.where("n_shingles = 0").select("node").distinct()
+
+    def add_node(batches):
+        for batch in batches:
+            for part, h, borders in ((r, *K.distinct(*x, len(r))) for r, x in _shingled(batch)):
+                out = part.append_column("node", pa.array(nodes(part.column("doc_id").combine_chunks(), sums_of(h, borders)[0])))
+                yield from out.to_batches()
+
+    node = F.col("doc_id")
+    some = docs.where("doc_id is not null").withColumn("__node", node)
+    if docs.where("doc_id is null").limit(1).count():
+        schema = docs.withColumn("node", F.lit(0).cast("long")).schema
+        some = some.unionByName(docs.where("doc_id is null").mapInArrow(add_node, schema).withColumnRenamed("node", "__node"))
+    first = some.join(with_words.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"])
+    return first.unionByName(some.join(nothing.withColumnRenamed("node", "__node"), "__node", "left_semi")).select(*docs.columns)

@@ -56,7 +56,7 @@ def repeated_words(words: Column) -> Column:
 
 def statistics(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """doc_id, lang, source (and the columns `keep`) with the base statistics of every text."""
-    kept = [c for c in dict.fromkeys(["doc_id", "lang", "source", *keep])]
+    kept = list(dict.fromkeys(["doc_id", "lang", "source", *keep]))
     t = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(*kept, t.alias("__t"))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
@@ -136,21 +136,42 @@ def estimates(rows: DataFrame) -> DataFrame:
     return groups.join(scale, ["g0", "g1"]).select("g0", "g1", *[f"m{i}" for i in range(n)], *[(F.col(f"l{i}{j}") * root).alias(f"l{i}{j}") for i in range(n) for j in range(i + 1)])
 
 
-def _pooled(rows: DataFrame) -> DataFrame:
-    """Rows with g0, g1 of small groups replaced by those of their pool."""
-    counts = rows.where("not base_failed").groupBy("g0", "g1").agg(F.count("*").alias("n"))
-    first = rows.select("g0", "g1").distinct().join(counts, ["g0", "g1"], "left").select("g0", "g1", F.coalesce("n", F.lit(0)).alias("n"))
+def _pools(rows: DataFrame) -> DataFrame:
+    """g0, g1 of every group and those of its pool h0, h1: itself if it has LEAST sound rows, else its language's, else all."""
+    first = rows.groupBy("g0", "g1").agg(F.count_if(~F.col("base_failed")).alias("n"))
     first = first.withColumn("h1", F.when(F.col("n") >= LEAST, F.col("g1")).otherwise("\x01"))
     second = first.groupBy("g0", "h1").agg(F.sum("n").alias("total"))
-    pools = first.join(second, ["g0", "h1"]).select("g0", "g1", "h1", F.when(F.col("total") >= LEAST, F.col("g0")).otherwise("\x01").alias("h0"))
+    return first.join(second, ["g0", "h1"]).select("g0", "g1", F.when(F.col("total") >= LEAST, F.col("g0")).otherwise("\x01").alias("h0"), "h1")
+
+
+def _pooled(rows: DataFrame, pools: DataFrame) -> DataFrame:
+    """Rows with g0, g1 replaced by those of their pool."""
     return rows.join(pools, ["g0", "g1"]).drop("g0", "g1").withColumnsRenamed({"h0": "g0", "h1": "g1"})
 
 
-def judge(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Every document with its statistics, base_failed, the squared distance d (null: not judged) and kept."""
-    rows = scratch.settle(vectors(statistics(docs, keep)), "statistics")
-    rows = _pooled(rows)
-    groups = scratch.settle(estimates(rows.where("not base_failed").select("g0", "g1", *FEATURES)), "mcd")
+def _verdict(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (pooled) with d and kept."""
     sound = _with_distance(rows, groups)
     rest = rows.join(groups.select("g0", "g1"), ["g0", "g1"], "left_anti").select(*rows.columns, F.lit(None).cast("double").alias("d"))
     return sound.unionByName(rest).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d", F.lit(0.0)) <= CUTOFF)).drop("g0", "g1", *FEATURES)
+
+
+def _fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with statistics, group to pool, estimates of the pools)."""
+    rows = scratch.settle(vectors(statistics(docs)), "statistics")
+    pools = scratch.settle(_pools(rows), "pools")
+    sound = _pooled(rows.where("not base_failed").select("g0", "g1", *FEATURES), pools)
+    return rows, pools, scratch.settle(estimates(sound), "mcd")
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Every document's statistics, base_failed, the squared distance d (null: not judged) and kept."""
+    rows, pools, groups = _fit(docs)
+    return _verdict(_pooled(rows, pools), groups)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that the rules keep. The statistics are computed again rather than joined."""
+    _, pools, groups = _fit(docs)
+    whole = docs.select("doc_id", "lang", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return _verdict(_pooled(vectors(statistics(whole, ["__row"])), pools), groups).where("kept").select("__row.*")

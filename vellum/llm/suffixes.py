@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from . import scratch
@@ -429,7 +430,7 @@ def _merge_bucket(length: int, k: int):
     return run
 
 
-def _remove(length: int, k: int, keep_text: bool):
+def _remove(length: int, k: int, keep_text: bool, with_row: bool):
     """(documents, repeated k-mers and matches) of a part -> the result rows."""
 
     def run(key, docs: pa.Table, facts: pa.Table) -> pa.Table:
@@ -442,8 +443,11 @@ def _remove(length: int, k: int, keep_text: bool):
                     spans.setdefault(n, []).append((a, b))
             elif r["kind"] == 2:
                 spans.setdefault(r["number"], []).append((r["distance"], r["distance"]))
-        out = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
+        carried = []
         for rows_, buf, offs, at, number in part.walk():
+            if with_row:
+                carried.append(rows_.select(["row"]))
             cover = np.zeros(len(buf) + 1, np.int32)
             for i, n in zip(at.tolist(), number):
                 for a, b in spans.get(n, ()):
@@ -461,22 +465,30 @@ def _remove(length: int, k: int, keep_text: bool):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
         n = 6 if keep_text else 5
-        return pa.table([pa.array(o, t) for o, t in zip(out[:n], kinds)], names=names[:n])
+        done = pa.table([pa.array(o, t) for o, t in zip(out[:n], kinds)], names=names[:n])
+        if not with_row:
+            return done
+        return done.append_column("row", pa.concat_tables(carried)["row"] if carried else docs["row"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep_text: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text: the remaining bytes, of cut characters only the whole ones)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep_text: bool = False, with_row: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+
+    keep_text adds kept_text, the remaining bytes without those of cut characters; with_row adds row, a struct of all
+    columns of the input but its text.
+    """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] * with_row
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *rest)
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n_parts = max(1, -(-total // part_bytes))
     n_buckets = max(1, -(-total // (length // 3) // BUCKET_ANCHORS))
     parted = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)))
     sent = parted.select("part", "text").mapInArrow(_kmers(n_buckets, length, k), "bucket long, part long, hashes binary, twice binary")
     repeated = scratch.settle(sent.groupBy("bucket").applyInArrow(_repeated, "part long, blob binary"), "kmers")
-    runs = parted.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_contexts(n_buckets, length, k), "bucket long, part long, run binary")
+    runs = parted.select("doc_id", "text", "part").groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_contexts(n_buckets, length, k), "bucket long, part long, run binary")
     verdict = scratch.settle(runs.groupBy("bucket").applyInArrow(_merge_bucket(length, k), VERDICT), "matches")
     scratch.release(spark)
     windows = verdict.where("window is not null")
@@ -484,5 +496,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep_te
     facts = repeated.select("part", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(None).cast("int").alias("distance"), "blob")
     facts = facts.unionByName(verdict.where("blob is not null").select("part", F.lit(1).alias("kind"), "number", "distance", "blob"))
     facts = facts.unionByName(windows.join(often, "window", "left_semi").select("part", F.lit(2).alias("kind"), "number", "distance", "blob"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return parted.groupBy("part").cogroup(facts.groupBy("part")).applyInArrow(_remove(length, k, keep_text), schema)
+    schema = T.StructType()
+    for name, kind in [("doc_id", "long"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), *[("kept_text", "string")] * keep_text]:
+        schema = schema.add(name, kind)
+    if with_row:
+        schema = schema.add("row", parted.schema["row"].dataType)
+    return parted.groupBy("part").cogroup(facts.groupBy("part")).applyInArrow(_remove(length, k, keep_text, with_row), schema)
