@@ -28,6 +28,8 @@ from . import kernels as K
 from . import scratch
 
 LENGTH, KMER = 400, 64
+#: Text bytes that are hashed at once; a dozen arrays of eight times this size are alive meanwhile.
+SLICE_BYTES = 500_000
 PART_BYTES = 12 << 20
 BUCKET_ANCHORS = 1 << 18
 #: Neighbours that are looked at in each order and direction before the count by hash decides.
@@ -89,7 +91,7 @@ def _kmers(n_buckets: int, length: int, k: int):
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["bucket", "part", "hashes", "twice"])
 
         for batch in batches:
-            for rows, buf, offs in K.pieces(batch):
+            for rows, buf, offs in K.pieces(batch, limit=SLICE_BYTES):
                 at, _, _, h = anchors(buf, offs, length, k)
                 part = rows.column("part").to_numpy()[np.searchsorted(offs, at, "right") - 1]
                 order = np.argsort(part, kind="stable")
@@ -134,7 +136,7 @@ class Part:
 
     def walk(self):
         """For each slice: (rows, bytes, borders, anchors, context numbers)."""
-        for rows, buf, offs in K.pieces(self.docs):
+        for rows, buf, offs in K.pieces(self.docs, limit=SLICE_BYTES):
             at, s, e, h = anchors(buf, offs, self.length, self.k)
             if len(self.known):
                 where = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
