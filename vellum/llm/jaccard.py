@@ -7,9 +7,11 @@ below a scheme's `q` also give their subsets with one token left out, so that th
 chooses the numbers of segments and of such segments by the signatures they send and their selectivity; small sets
 take each token as its segment. A document whose segments cannot bear its bound (rare) is compared token by token.
 
-Signatures meet in buckets. Candidates are verified exactly on the sets; first each document with the pivot that it
-shares most signatures with, then everything that is not yet in one component: other pivots, and the members of
-larger signature groups, in blocks with an exact lower bound on their difference. Nothing is capped.
+Signatures meet in buckets. Groups of up to ALL_PAIRS members give their pairs, larger ones pairs with one pivot and
+the group itself. A linked pair shares at least as many signatures as the smaller set has segments beyond the bound,
+and its count vectors over BINS hash ranges differ by no more than the bound; both are exact filters. What passes is
+verified exactly on the sets: first each document with the one that it shares most signatures with, then what is not
+yet in one component: other pairs, and the members of large groups, in blocks. Nothing is capped.
 
 Identity is by 64-bit hashes (shingles) and a 128-bit sum of them (equal sets). Edge cases: no words or a null text:
 n_shingles 0, linked with nothing; rows of one doc_id count as copies of one document; a null doc_id is a node of its
@@ -32,7 +34,9 @@ from .components import components
 
 WORDS = 5
 SMALL = 64
-BINS = 64
+BINS = 256
+#: Members of a signature group that give all their pairs.
+ALL_PAIRS = 40
 BUCKET_SIGS = 1 << 20
 FLUSH_SIGS = 3_000_000
 BLOCK = 512
@@ -106,12 +110,13 @@ def scheme(lo: int, hi: int) -> tuple[int, int]:
     return best[1:] if best else (0, 0)
 
 
-def signatures(h: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, set number of each, sets whose segments can't bear their bound)."""
+def signatures(h: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, set number of each, each set's segments in its own band's scheme, sets whose segments can't bear their bound)."""
     sizes = np.diff(borders)
     table = bands(int(sizes.max()) + 1 if len(sizes) else 1)
     band = np.searchsorted(np.array([b for _, b in table]), sizes)
     out, own, weak = [], [], []
+    segments = sizes.copy()
     n_sets = len(sizes)
     doc = np.repeat(np.arange(n_sets), sizes)
     mixed = K.mix(h)
@@ -144,10 +149,12 @@ def signatures(h: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarr
             out.append(K.mix((total[g] - mixed[part][tok]) ^ K.mix(key[g])))
             own.append(d[tok])
         if back == 0:
+            cut = ok & (m > 0)
+            segments[cut] = np.bincount(d0, minlength=n_sets)[cut]
             bears = np.bincount(d0, weights=1 + free, minlength=n_sets)
             weak.append(np.flatnonzero(ok & (m > 0) & (bears < bound(sizes) + 1)))
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return cat(out, np.uint64), cat(own, np.int64), cat(weak, np.int64)
+    return cat(out, np.uint64), cat(own, np.int64), segments, cat(weak, np.int64)
 
 
 def _pack(x: np.ndarray, width: int) -> bytes:
@@ -198,7 +205,7 @@ def _emit(n_buckets: int):
                     seen.clear()
                 at = np.flatnonzero(keep)
                 sizes = np.diff(borders)[at]
-                sig, own, _ = signatures(h[K.gather(borders[at], sizes)], np.concatenate([[0], np.cumsum(sizes)]))
+                sig, own, *_ = signatures(h[K.gather(borders[at], sizes)], np.concatenate([[0], np.cumsum(sizes)]))
                 held.append((sig, node[at][own]))
                 size += len(sig)
                 if size >= FLUSH_SIGS:
@@ -210,8 +217,19 @@ def _emit(n_buckets: int):
     return run
 
 
+def _pairs_of(node: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (lesser, greater) within groups of ascending nodes."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for g in np.unique(count).tolist():
+        rows = node[start[count == g][:, None] + np.arange(g)]
+        i, j = np.triu_indices(g, 1)
+        a.append(rows[:, i].ravel())
+        b.append(rows[:, j].ravel())
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _meet(t: pa.Table) -> pa.Table:
-    """A bucket's signatures -> rows (a, b, n): pivot, other member, shared signatures; and (a, members) of groups of three and more."""
+    """A bucket's signatures -> rows (a, b, n, big): shared signatures, and if a large group is among them; and (members) of large groups."""
     sig = np.concatenate([_unpack(x.as_py(), 6) for x in t["sigs"]])
     node = np.concatenate([_unpack(x.as_py(), 8).view(np.int64) for x in t["nodes"]])
     order = np.lexsort((node, sig))
@@ -220,22 +238,26 @@ def _meet(t: pa.Table) -> pa.Table:
     sig, node = sig[keep], node[keep]
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     count = np.diff(np.append(start, len(sig)))
-    some = count >= 2
-    s, c = start[some], count[some]
-    at = K.gather(s + 1, c - 1)
-    pivot, other = np.repeat(node[s], c - 1), node[at]
-    order = np.lexsort((other, pivot))
-    pivot, other = pivot[order], other[order]
-    new = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (other[1:] != other[:-1]))[: len(pivot)])
-    n = np.diff(np.append(new, len(pivot)))
-    groups: dict[bytes, None] = {}
-    for x, y in zip(start[count >= 3].tolist(), count[count >= 3].tolist()):
-        groups[node[x : x + y].tobytes()] = None
-    a = pa.array(np.concatenate([pivot[new], np.zeros(len(groups), np.int64)]))
-    b = pa.array(np.concatenate([other[new], np.zeros(len(groups), np.int64)]))
-    k = pa.array(np.concatenate([n, np.zeros(len(groups), np.int64)]))
-    g = pa.array([None] * len(new) + [np.frombuffer(x, np.int64) for x in groups], pa.list_(pa.int64()))
-    return pa.table([a, b, k, g], names=["a", "b", "n", "members"])
+    few, many = (count >= 2) & (count <= ALL_PAIRS), count > ALL_PAIRS
+    a, b = _pairs_of(node, start[few], count[few])
+    s, c = start[many], count[many] - 1
+    pivot, other = np.repeat(node[s], c), node[K.gather(s + 1, c)]
+    big = np.concatenate([np.zeros(len(a), bool), np.ones(len(pivot), bool)])
+    a, b = np.concatenate([a, pivot]), np.concatenate([b, other])
+    order = np.lexsort((b, a))
+    a, b, big = a[order], b[order], big[order]
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    n = np.diff(np.append(new, len(a)))
+    any_big = np.logical_or.reduceat(big, new) if len(new) else big
+    groups = {node[x : x + y].tobytes(): None for x, y in zip(start[many].tolist(), count[many].tolist())}
+    null = [None] * len(groups)
+    return pa.table(
+        [
+            pa.array([*a[new].tolist(), *null], pa.int64()), pa.array([*b[new].tolist(), *null], pa.int64()), pa.array([*n.tolist(), *null], pa.int64()),
+            pa.array([*any_big.tolist(), *null], pa.bool_()), pa.array([None] * len(new) + [np.frombuffer(x, np.int64) for x in groups], pa.list_(pa.int64())),
+        ],
+        names=["a", "b", "n", "big", "members"],
+    )
 
 
 def _verify(batches):
@@ -270,10 +292,21 @@ def _about(batches):
             doc = np.repeat(np.arange(len(n)), n)
             bins = np.bincount(doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=len(n) * BINS)
             sketch = K.blobs(np.minimum(bins, 255).astype(np.uint8), np.arange(len(n) + 1) * BINS)
-            _, _, weak = signatures(h, borders)
+            _, _, segments, weak = signatures(h, borders)
             is_weak = np.zeros(len(n), bool)
             is_weak[weak] = True
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(nodes(ids, s1)), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), sketch, pa.array(is_weak)], names=["doc_id", "node", "n_shingles", "s1", "s2", "sketch", "weak"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(nodes(ids, s1)), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(segments), sketch, pa.array(is_weak)], names=["doc_id", "node", "n_shingles", "s1", "s2", "segments", "sketch", "weak"])
+
+
+def _near(batches):
+    """(a, b, .., size_a, size_b, sketch_a, sketch_b) -> the pairs whose count vectors differ by no more than the bound."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.array([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(c)], np.int16) for c in ("sketch_a", "sketch_b"))
+        size = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+        ok = pa.array(7 * np.abs(x - y).sum(1) <= size)
+        yield batch.select(["a", "b", "n"]).filter(ok)
 
 
 def _blocks(t: pa.Table) -> pa.Table:
@@ -300,9 +333,20 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, int(total) // 8 // BUCKET_SIGS + 1)
     sent = texts.mapInArrow(_emit(n_buckets), "bucket long, n long, sigs binary, nodes binary")
-    met = scratch.settle(sent.groupBy("bucket").applyInArrow(_meet, "a long, b long, n long, members array<long>"), "met")
+    met = scratch.settle(sent.groupBy("bucket").applyInArrow(_meet, "a long, b long, n long, big boolean, members array<long>"), "met")
     scratch.release(docs.sparkSession)
-    pairs = met.where("members is null").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    facts = scratch.settle(about.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n_shingles", "segments", "sketch")]), "facts")
+
+    def of_node(x: str) -> DataFrame:
+        return facts.select(F.col("node").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("segments").alias(f"segments_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+
+    shared = met.where("members is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("big").alias("big"))
+    a_less = "size_a <= size_b"
+    need = F.expr(f"if({a_less}, segments_a, segments_b)") - F.floor((F.col("size_a") + F.col("size_b")) / 7)
+    sized = shared.join(of_node("a").drop("sketch_a"), "a").join(of_node("b").drop("sketch_b"), "b").where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
+    enough = sized.where(F.col("big") | (F.col("n") >= need)).select("a", "b", "n", "size_a", "size_b")
+    drawn = enough.join(of_node("a").select("a", "sketch_a"), "a").join(of_node("b").select("b", "sketch_b"), "b")
+    pairs = drawn.select("a", "b", "n", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long, n long")
     pairs = scratch.settle(pairs.withColumn("best", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")) == 1), "pairs")
 
     def check(cand: DataFrame, name: str) -> DataFrame:
@@ -319,6 +363,7 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
 
     first = check(pairs.where("best").select("a", "b"), "links")
     comp = scratch.settle(components(first), "components")
+    scratch.release(docs.sparkSession)
 
     def of(col: str) -> DataFrame:
         return comp.select(F.col("node").alias(col), F.col("component").alias(f"{col}_comp"))
@@ -328,8 +373,7 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     groups = met.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("gid"), F.size("members").alias("size"), F.explode("members").alias("node"))
     known = groups.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = known.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
-    node_facts = about.groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
-    members = known.join(split, "gid").join(node_facts, "node").withColumn("n_blocks", (F.col("size") / BLOCK).cast("int") + 1)
+    members = known.join(split, "gid").join(facts.select("node", "n_shingles", "sketch"), "node").withColumn("n_blocks", (F.col("size") / BLOCK).cast("int") + 1)
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "sketch")
@@ -360,7 +404,7 @@ def _token_pairs(texts: DataFrame, about: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """doc_id, node, n_shingles and component (the least node reached) of every document."""
-    about = scratch.settle(docs.select("doc_id", "text").mapInArrow(_about, "doc_id long, node long, n_shingles long, s1 long, s2 long, sketch binary, weak boolean"), "about")
+    about = scratch.settle(docs.select("doc_id", "text").mapInArrow(_about, "doc_id long, node long, n_shingles long, s1 long, s2 long, segments long, sketch binary, weak boolean"), "about")
     found = links(docs, about)
     full = about.where("n_shingles > 0")
     least = full.groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("least"))
