@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 ITERATIONS, DAMPING = 30, 0.85
 #: Iterations after which the ranks are written, so that neither lineage nor plan grows without bound.
-CUT = 6
+CUT = 10
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +34,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     """(key, score). Undirected, neighbours distinct, a fixed number of iterations; the mass of nodes without neighbours
     and the damping go to the restart vector: uniform, or the seeds (key, with multiplicity) that are nodes.
 
-    Adjacency is written once with its degrees; an iteration is one join, one aggregation and a scalar.
+    Adjacency is written once with its degrees, and an iteration is one join and one aggregation. The mass D of nodes
+    without neighbours needs none: they get restart mass only, so D' = (1 - d + d * D) * (their share of the restart).
     """
     iterations = iterations if iterations > 0 else ITERATIONS
     damping = damping if 0 < damping < 1 else DAMPING
@@ -51,12 +52,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
         restart = nodes.join(valid.groupBy("key").agg((F.count("*") / F.lit(total)).alias("r")), "key", "left").na.fill({"r": 0.0})
     base = _written(restart.join(degree.withColumnRenamed("src", "key"), "key", "left").select("key", "r", F.coalesce("deg", F.lit(0)).alias("deg")), "nodes")
     adjacency = _written(both.join(degree, "src"), "adjacency")
-    rank = base.select("key", F.col("r").alias("p"), "r", "deg")
+    alone = base.where("deg = 0").agg(F.sum("r")).first()[0] or 0.0
+    rank, loose = base.select("key", F.col("r").alias("p"), "r", "deg"), alone
     for i in range(iterations):
-        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("deg") == 0, F.col("p"))), F.lit(0.0)).alias("d")).scalar()
         given = adjacency.join(rank.select(F.col("key").alias("src"), "p"), "src").groupBy(F.col("dst").alias("key")).agg(F.sum(F.col("p") / F.col("deg")).alias("got"))
         score = damping * F.coalesce("got", F.lit(0.0)) + ((1 - damping) + damping * loose) * F.col("r")
         rank = base.join(given, "key", "left").select("key", score.alias("p"), "r", "deg")
+        loose = ((1 - damping) + damping * loose) * alone
         if (i + 1) % CUT == 0 and i + 1 < iterations:
             rank = _written(rank, "rank")
     return rank.select("key", F.col("p").alias("score"))

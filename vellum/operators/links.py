@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vellum.functions import text as X
 
@@ -62,7 +63,7 @@ def _escaped(s: str, i: int) -> bool:
     return n % 2 == 1
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mask_code(body: pd.Series) -> pd.Series:
     """A scanner with state, so Arrow batches rather than expressions."""
     return body.map(masked)
