@@ -166,7 +166,7 @@ def dir_name(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
 
 
-PAGE_SUFFIX = r"(?i)\.(md|markdown|adoc|asciidoc|rst|textile|org|mediawiki|wiki|creole|pod|rdoc)$"
+PAGE_SUFFIX = r"(?i)\.(md|markdown|adoc|asciidoc|rst|rest|textile|org|mediawiki|wiki|creole|pod|pod6|rdoc)$"
 
 
 def clean_path(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITERATIONS, DAMPING = 30, 0.85
@@ -13,14 +13,19 @@ ITERATIONS, DAMPING = 30, 0.85
 CUT = 10
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a temporary one only where none is set)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir (a temporary one only where none is set)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -91,7 +91,7 @@ def governed(docs: DataFrame, files: DataFrame) -> DataFrame:
     plain = ~folder.rlike(r"[*?\[]")
     keyed = globs.withColumn("dir", F.when(plain, folder)).withColumn("re", X.glob_pattern(F.col("pattern")))
     seen = files.select(F.col("path").alias("file"), X.dir_name(F.col("path")).alias("dir"))
-    exact = keyed.where("dir is not null").join(seen, "dir").where(F.col("file").rlike(F.col("re")))
+    exact = keyed.where("dir is not null").join(seen, "dir").where(F.rlike(F.col("file"), F.col("re")))
     depth = lambda c: F.size(F.split(c, "/"))
-    loose = keyed.where("dir is null").drop("dir").withColumn("depth", depth("pattern")).join(seen.withColumn("depth", depth("file")), "depth").where(F.col("file").rlike(F.col("re")))
+    loose = keyed.where("dir is null").drop("dir").withColumn("depth", depth("pattern")).join(seen.withColumn("depth", depth("file")), "depth").where(F.rlike(F.col("file"), F.col("re")))
     return exact.select("path", "pattern", "file").unionByName(loose.select("path", "pattern", "file"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as X
 
 IGNORED_DIRS = [".git", ".obsidian", ".trash", "node_modules"]
-PAGE_EXTENSIONS = "md markdown adoc asciidoc rst textile org mediawiki wiki creole pod rdoc".split()
+PAGE_EXTENSIONS = "md markdown adoc asciidoc rst rest textile org mediawiki wiki creole pod pod6 rdoc".split()
 INDEX_MARKER = "generated: directory index"
 
 
