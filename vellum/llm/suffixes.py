@@ -30,8 +30,8 @@ from . import scratch
 LENGTH, KMER = 400, 64
 #: Text bytes that are hashed at once; a dozen arrays of eight times this size are alive meanwhile.
 SLICE_BYTES = 500_000
-PART_BYTES = 12 << 20
-BUCKET_ANCHORS = 1 << 18
+PART_BYTES = 6 << 20
+BUCKET_ANCHORS = 1 << 16
 #: Neighbours that are looked at in each order and direction before the count by hash decides.
 SCAN = 64
 
@@ -371,6 +371,7 @@ def _contexts(n_buckets: int, length: int, k: int):
         for (right, left), number in part.index.items():
             rows.setdefault(((part.hash[number] >> 32) * n_buckets) >> 32, []).append((right, left[::-1], number, part.count[number]))
         runs = [front_coded(sorted(x)) for x in rows.values()]
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array(list(rows), pa.int64()), pa.array([key[0].as_py()] * len(rows), pa.int64()), pa.array(runs, pa.binary())], names=["bucket", "part", "run"])
 
     return run
@@ -405,7 +406,7 @@ def _merge_bucket(length: int, k: int):
                 a = a[(a >= length - len(g[0])) & (a <= len(g[1]))]
                 start = len(g[1]) - a
                 h = K.spans_hash(K.rolling(text), start, start + length)
-                for w, v in zip(windows, (np.full(len(a), g[2]), h.view(np.int64), np.full(len(a), g[3]), a)):
+                for w, v in zip(windows, (np.full(len(a), g[2]), h.view(np.int64), np.full(len(a), g[3], np.int32), a.astype(np.int32))):
                     w.append(v)
 
         group: list[tuple] = []
@@ -417,17 +418,16 @@ def _merge_bucket(length: int, k: int):
         if group:
             close(group)
         parts = list(found)
-        blobs = [np.array(found[p], "<i4").tobytes() for p in parts]
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        w = [cat(x) for x in windows]
-        nothing = [None] * len(parts)
-        return pa.table(
-            [
-                pa.array([*parts, *w[0].tolist()], pa.int64()), pa.array([*nothing, *w[1].tolist()], pa.int64()), pa.array([*nothing, *w[2].tolist()], pa.int32()),
-                pa.array([*nothing, *w[3].tolist()], pa.int32()), pa.array([*blobs, *[None] * len(w[0])], pa.binary()),
-            ],
-            names=["part", "window", "number", "distance", "blob"],
-        )
+        blobs = pa.array([np.array(found[p], "<i4").tobytes() for p in parts], pa.binary())
+        n = len(parts)
+        cat = lambda x, kind: np.concatenate([np.zeros(n, kind), *x]).astype(kind)
+        part, window, number, distance = (cat(x, kind) for x, kind in zip(windows, (np.int64, np.int64, np.int32, np.int32)))
+        part[:n] = parts
+        none = np.arange(len(part)) < n
+        columns = [pa.array(part), *[pa.array(x, mask=none) for x in (window, number, distance)], pa.concat_arrays([blobs, pa.nulls(len(part) - n, pa.binary())])]
+        del windows, found
+        pa.default_memory_pool().release_unused()
+        return pa.table(columns, names=["part", "window", "number", "distance", "blob"])
 
     return run
 
