@@ -3,15 +3,17 @@
 A document's set holds the 64-bit hashes of its distinct 5-word shingles. Sizes fall into bands; pairs whose smaller
 set lies in band k meet under scheme k, which cuts the hash universe into segments. The symmetric difference of a
 linked pair is at most (|r| + |s|) / 7, so of more non-empty segments than that at least one must agree. Segments
-below a scheme's `q` also give their subsets with one token left out, so that they bear one difference. A cost model
-chooses the numbers of segments and of such segments by the signatures they send and their selectivity; small sets
-take each token as its segment. A document whose segments cannot bear its bound (rare) is compared token by token.
-
-Signatures meet in buckets. Groups of up to ALL_PAIRS members give their pairs, larger ones pairs with one pivot and
-the group itself. A linked pair shares at least as many signatures as the smaller set has segments beyond the bound,
-and its count vectors over BINS hash ranges differ by no more than the bound; both are exact filters. What passes is
-verified exactly on the sets: first each document with the one that it shares most signatures with, then what is not
-yet in one component: other pairs, and the members of large groups, in blocks. Nothing is capped.
+below a scheme's `q` also give their subsets with one token left out, so that they bear one difference more. A cost
+model chooses both numbers by the signatures they send; small sets take each token as its segment. A document whose
+segments cannot bear its bound (about one in a million) is compared with all others.
+
+Allocation goes on with the signatures' frequencies: a set that bears b differences more than its bound shares more
+than b signatures with every linked larger set, so it need not ask with its b most frequent ones. Signatures meet in
+buckets; what is shared goes back to its sets, which say with what they ask; only pairs with an asking smaller set are
+candidates. Groups of up to ALL_PAIRS members give such pairs, larger ones pairs with one pivot and the group itself.
+Count vectors over BINS hash ranges bound the difference from below. What is left is verified exactly on the sets;
+first each document with the one that it shares most with, then what is not yet in one component: other pairs, and
+the members of large groups, in blocks. Nothing is capped.
 
 Identity is by 64-bit hashes (shingles) and a 128-bit sum of them (equal sets). Edge cases: no words or a null text:
 n_shingles 0, linked with nothing; rows of one doc_id count as copies of one document; a null doc_id is a node of its
@@ -21,7 +23,7 @@ own text; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from .components import components
 
 WORDS = 5
 SMALL = 64
+#: Standard deviations by which a scheme bears more than its bound.
+MARGIN = 5
 BINS = 256
 #: Members of a signature group that give all their pairs.
 ALL_PAIRS = 40
@@ -88,38 +92,46 @@ def scheme(lo: int, hi: int) -> tuple[int, int]:
     """(segments m, of these with one-deletion subsets q) for smaller sets of lo to hi; m = 0: each token is a segment.
 
     Cost: signatures sent at both ends of the band, and half a signature for each one-token segment, which selects
-    little. Allowed: tolerance above the bound by six standard deviations.
+    little. Allowed: at both ends the expected number of differences borne is above the bound by MARGIN standard
+    deviations. A segment's tokens are taken as Poisson, given their total.
     """
     if hi <= SMALL:
         return 0, 0
     best = None
     for m in range(int(0.3 * hi), hi * 2, max(1, hi // 50)):
-        for q in (0, m // 20, m // 10, m // 5, m // 2):
+        for q in (m * k // 20 for k in range(21)):
             cost = 0.0
             for n in (lo, hi):
                 x = n / m
-                none, one = math.exp(-x), x * math.exp(-x)
-                several = 1 - none - one
-                tolerance = m * (1 - none) + q * several
-                if tolerance - 6 * math.sqrt(max(m * none * (1 - (1 + x) * none), 0) + q * several * (1 - several)) < bound(n) + 1:
+                p0, p1 = math.exp(-x), x * math.exp(-x)
+                two = 1 - p0 - p1
+                slope = (m * p0 + q * p1) / m  # of a segment's mean bearing, by x
+                spread = (m - q) * p0 * (1 - p0) + q * (p1 + 4 * two - (1 - p0 + two) ** 2) - m * x * slope * slope
+                if m * (1 - p0) + q * two - MARGIN * math.sqrt(max(spread, 0)) < bound(n) + 1:
                     break
-                cost += m * (1 - none) + q * (x - one) + 0.5 * m * one
+                cost += m * (1 - p0) + q * (x - p1) + 0.5 * m * p1
             else:
                 if best is None or cost < best[0]:
                     best = cost, m, q
     return best[1:] if best else (0, 0)
 
 
-def signatures(h: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, set number of each, each set's segments in its own band's scheme, sets whose segments can't bear their bound)."""
+def signatures(h: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, set number of each, is it of the set's own band, differences each set bears there, sets that can't bear their bound)."""
     sizes = np.diff(borders)
     table = bands(int(sizes.max()) + 1 if len(sizes) else 1)
     band = np.searchsorted(np.array([b for _, b in table]), sizes)
-    out, own, weak = [], [], []
-    segments = sizes.copy()
+    out, own, role, weak = [], [], [], []
+    bears = sizes.copy()
     n_sets = len(sizes)
     doc = np.repeat(np.arange(n_sets), sizes)
     mixed = K.mix(h)
+
+    def send(sig: np.ndarray, of: np.ndarray, back: int) -> None:
+        out.append(sig)
+        own.append(of)
+        role.append(np.full(len(sig), back == 0))
+
     for back in (0, 1):
         at = band - back
         ok = (at >= 0) & (sizes >= 3)
@@ -127,8 +139,7 @@ def signatures(h: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarr
         m, q = plan[:, 0].astype(np.uint64), plan[:, 1]
         salt = K.mix((at + 7).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         whole = np.flatnonzero((ok & (m == 0))[doc])
-        out.append(K.mix(h[whole] + salt[doc[whole]]))
-        own.append(doc[whole])
+        send(K.mix(h[whole] + salt[doc[whole]]), doc[whole], back)
         part = np.flatnonzero((ok & (m > 0))[doc])
         if not len(part):
             continue
@@ -139,22 +150,19 @@ def signatures(h: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarr
         total = np.add.reduceat(mixed[part], start)
         count = np.diff(np.append(start, len(part)))
         d0, key = d[start], salt[d[start]] + seg[start] * np.uint64(0x9FB21C651E98DF25)
-        out.append(K.mix(total ^ K.mix(key)))
-        own.append(d0)
         free = (seg[start].astype(np.int64) < q[d0]) & (count >= 2)
+        send(K.mix(total ^ K.mix(key)), d0, back)
         if free.any():
             group = np.cumsum(head) - 1
             tok = np.flatnonzero(free[group])
             g = group[tok]
-            out.append(K.mix((total[g] - mixed[part][tok]) ^ K.mix(key[g])))
-            own.append(d[tok])
+            send(K.mix((total[g] - mixed[part][tok]) ^ K.mix(key[g])), d[tok], back)
         if back == 0:
             cut = ok & (m > 0)
-            segments[cut] = np.bincount(d0, minlength=n_sets)[cut]
-            bears = np.bincount(d0, weights=1 + free, minlength=n_sets)
-            weak.append(np.flatnonzero(ok & (m > 0) & (bears < bound(sizes) + 1)))
+            bears[cut] = np.bincount(d0, weights=1.0 + free, minlength=n_sets)[cut]
+            weak.append(np.flatnonzero(cut & (bears < bound(sizes) + 1)))
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return cat(out, np.uint64), cat(own, np.int64), segments, cat(weak, np.int64)
+    return cat(out, np.uint64), cat(own, np.int64), cat(role, bool), bears, cat(weak, np.int64)
 
 
 def _pack(x: np.ndarray, width: int) -> bytes:
@@ -175,13 +183,13 @@ def _unpack(raw: bytes, width: int) -> np.ndarray:
 def _emit(n_buckets: int):
     """Documents -> (bucket, n, sigs, nodes): each task sends each distinct set once."""
 
-    def flush(sig, node):
+    def flush(sig, node, role):
         bucket = ((sig >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
         order = np.lexsort((sig, bucket))
-        sig, node, bucket = sig[order], node[order], bucket[order]
+        sig, node, role, bucket = sig[order], node[order], role[order], bucket[order]
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = np.append(cut[1:], len(sig))
-        low = sig & np.uint64((1 << 44) - 1)
+        low = ((sig & np.uint64((1 << 44) - 1)) << np.uint64(1)) | role  # the role in the lowest bit
         rows = [[], [], [], []]
         for a, b in zip(cut.tolist(), ends.tolist()):
             x = node[a:b].astype(np.int64).view(np.uint64)
@@ -205,8 +213,8 @@ def _emit(n_buckets: int):
                     seen.clear()
                 at = np.flatnonzero(keep)
                 sizes = np.diff(borders)[at]
-                sig, own, *_ = signatures(h[K.gather(borders[at], sizes)], np.concatenate([[0], np.cumsum(sizes)]))
-                held.append((sig, node[at][own]))
+                sig, own, role, *_ = signatures(h[K.gather(borders[at], sizes)], np.concatenate([[0], np.cumsum(sizes)]))
+                held.append((sig, node[at][own], role))
                 size += len(sig)
                 if size >= FLUSH_SIGS:
                     yield flush(*(np.concatenate(x) for x in zip(*held)))
@@ -217,47 +225,100 @@ def _emit(n_buckets: int):
     return run
 
 
-def _pairs_of(node: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (lesser, greater) within groups of ascending nodes."""
+def _columns(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
+    """Rows of Python values as a table."""
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+
+def _deal(key: np.ndarray, *columns: tuple[np.ndarray, int]) -> list[tuple]:
+    """Rows (key, packed columns): the rows of each key together; columns with their widths in bytes."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(cut[1:], len(key))
+    sorted_ = [(c[order].astype(np.int64).view(np.uint64), w) for c, w in columns]
+    return [(int(key[a]), *[_pack(c[a:b], w) for c, w in sorted_]) for a, b in zip(cut.tolist(), ends.tolist())]
+
+
+def _shared(n_parts: int):
+    """A bucket's signatures -> what several sets share, dealt by node: (part, nodes, groups, sizes, roles)."""
+
+    def run(key, t):
+        low = np.concatenate([_unpack(x.as_py(), 6) for x in t["sigs"]])
+        node = np.concatenate([_unpack(x.as_py(), 8).view(np.int64) for x in t["nodes"]])
+        sig, role = low >> np.uint64(1), (low & np.uint64(1)).astype(np.int64)
+        order = np.lexsort((node, sig))
+        sig, node, role = sig[order], node[order], role[order]
+        keep = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+        sig, node, role = sig[keep], node[keep], role[keep]
+        head = np.append(True, sig[1:] != sig[:-1])
+        size = np.diff(np.append(np.flatnonzero(head), len(sig)))
+        group = np.cumsum(head) - 1
+        several = size[group] >= 2
+        node, role, group = node[several], role[several], group[several]
+        gid = (key[0].as_py() << 32) | group
+        rows = _deal(np.mod(node, n_parts), (node, 8), (gid, 8), (size[group], 5), (role, 1))
+        return _columns(rows, ["part", "nodes", "groups", "sizes", "roles"], [pa.int64(), *[pa.binary()] * 4])
+
+    return run
+
+
+def _allot(key, shared: pa.Table, facts: pa.Table) -> pa.Table:
+    """Each set of a part keeps asking with all but its most frequent signatures, as many as it bears beyond its bound.
+
+    -> (bucket, groups, nodes, sizes, asks), dealt by the group's bucket; sizes are those of the sets.
+    """
+    cat = lambda c, w: np.concatenate([np.zeros(0, np.uint64), *[_unpack(x.as_py(), w) for x in shared[c]]]).view(np.int64)
+    node, gid, size, role = cat("nodes", 8), cat("groups", 8), cat("sizes", 5), cat("roles", 1)
+    names = facts["node"].to_numpy()
+    by = np.argsort(names)
+    where = by[np.searchsorted(names[by], node)] if len(node) else np.zeros(0, np.int64)
+    n, bears = facts["n_shingles"].to_numpy()[where], facts["bears"].to_numpy()[where]
+    order = np.lexsort((gid, -size, -role, node))  # a set's own signatures first, frequent ones first
+    node, gid, role, n, bears = node[order], gid[order], role[order], n[order], bears[order]
+    first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+    rank = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
+    asks = (role == 1) & (rank >= bears - bound(n) - 1)
+    rows = _deal(gid >> 32, (gid & 0xFFFFFFFF, 4), (node, 8), (n, 5), (asks, 1))
+    return _columns(rows, ["bucket", "groups", "nodes", "sizes", "asks"], [pa.int64(), *[pa.binary()] * 4])
+
+
+def _candidates(t: pa.Table) -> pa.Table:
+    """A bucket's groups -> rows (a, b, n): candidates and the signatures they ask with and share; and (members) of large groups."""
+    cat = lambda c, w: np.concatenate([_unpack(x.as_py(), w) for x in t[c]]).view(np.int64)
+    gid, node, size, asks = cat("groups", 4), cat("nodes", 8), cat("sizes", 5), cat("asks", 1).astype(bool)
+    order = np.lexsort((node, gid))
+    gid, node, size, asks = gid[order], node[order], size[order], asks[order]
+    start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1])) if len(gid) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(gid)))
+    some = np.add.reduceat(asks, start) > 0 if len(start) else np.zeros(0, bool)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for g in np.unique(count).tolist():
-        rows = node[start[count == g][:, None] + np.arange(g)]
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        p, q = size[x], size[y]
+        ok = (asks[x] & (p <= q)) | (asks[y] & (q <= p))
+        ok &= 4 * np.minimum(p, q) >= 3 * np.maximum(p, q)
+        a.append(node[x[ok]])
+        b.append(node[y[ok]])
+
+    for g in np.unique(count[some & (count <= ALL_PAIRS)]).tolist():
+        rows = start[some & (count == g)][:, None] + np.arange(g)
         i, j = np.triu_indices(g, 1)
-        a.append(rows[:, i].ravel())
-        b.append(rows[:, j].ravel())
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _meet(t: pa.Table) -> pa.Table:
-    """A bucket's signatures -> rows (a, b, n, big): shared signatures, and if a large group is among them; and (members) of large groups."""
-    sig = np.concatenate([_unpack(x.as_py(), 6) for x in t["sigs"]])
-    node = np.concatenate([_unpack(x.as_py(), 8).view(np.int64) for x in t["nodes"]])
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    keep = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
-    sig, node = sig[keep], node[keep]
-    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    count = np.diff(np.append(start, len(sig)))
-    few, many = (count >= 2) & (count <= ALL_PAIRS), count > ALL_PAIRS
-    a, b = _pairs_of(node, start[few], count[few])
+        add(rows[:, i].ravel(), rows[:, j].ravel())
+    many = some & (count > ALL_PAIRS)
     s, c = start[many], count[many] - 1
-    pivot, other = np.repeat(node[s], c), node[K.gather(s + 1, c)]
-    big = np.concatenate([np.zeros(len(a), bool), np.ones(len(pivot), bool)])
-    a, b = np.concatenate([a, pivot]), np.concatenate([b, other])
-    order = np.lexsort((b, a))
-    a, b, big = a[order], b[order], big[order]
-    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
-    n = np.diff(np.append(new, len(a)))
-    any_big = np.logical_or.reduceat(big, new) if len(new) else big
-    groups = {node[x : x + y].tobytes(): None for x, y in zip(start[many].tolist(), count[many].tolist())}
-    null = [None] * len(groups)
-    return pa.table(
-        [
-            pa.array([*a[new].tolist(), *null], pa.int64()), pa.array([*b[new].tolist(), *null], pa.int64()), pa.array([*n.tolist(), *null], pa.int64()),
-            pa.array([*any_big.tolist(), *null], pa.bool_()), pa.array([None] * len(new) + [np.frombuffer(x, np.int64) for x in groups], pa.list_(pa.int64())),
-        ],
-        names=["a", "b", "n", "big", "members"],
-    )
+    a.append(np.repeat(node[s], c))
+    b.append(node[K.gather(s + 1, c)])
+    x, y = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)])
+    n = np.diff(np.append(new, len(x)))
+    groups = list({node[p : p + k].tobytes(): None for p, k in zip(start[many].tolist(), count[many].tolist())})
+    ends = np.concatenate([np.zeros(len(new) + 1, np.int32), np.cumsum([len(g) // 8 for g in groups])]).astype(np.int32)
+    members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(groups), np.int64)))
+    rest = pa.nulls(len(groups), pa.int64())
+    return pa.table([pa.concat_arrays([pa.array(v), rest]) for v in (x[new], y[new], n)] + [members], names=["a", "b", "n", "members"])
 
 
 def _verify(batches):
@@ -292,10 +353,10 @@ def _about(batches):
             doc = np.repeat(np.arange(len(n)), n)
             bins = np.bincount(doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=len(n) * BINS)
             sketch = K.blobs(np.minimum(bins, 255).astype(np.uint8), np.arange(len(n) + 1) * BINS)
-            _, _, segments, weak = signatures(h, borders)
+            *_, bears, weak = signatures(h, borders)
             is_weak = np.zeros(len(n), bool)
             is_weak[weak] = True
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(nodes(ids, s1)), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(segments), sketch, pa.array(is_weak)], names=["doc_id", "node", "n_shingles", "s1", "s2", "segments", "sketch", "weak"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(nodes(ids, s1)), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(bears), sketch, pa.array(is_weak)], names=["doc_id", "node", "n_shingles", "s1", "s2", "bears", "sketch", "weak"])
 
 
 def _near(batches):
@@ -332,20 +393,20 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, int(total) // 8 // BUCKET_SIGS + 1)
+    n_parts = 2 * n_buckets + 1
+    facts = scratch.settle(about.where("n_shingles > 2").groupBy("node").agg(*[F.min(c).alias(c) for c in ("n_shingles", "bears", "sketch")]), "facts")
     sent = texts.mapInArrow(_emit(n_buckets), "bucket long, n long, sigs binary, nodes binary")
-    met = scratch.settle(sent.groupBy("bucket").applyInArrow(_meet, "a long, b long, n long, big boolean, members array<long>"), "met")
+    shared = sent.groupBy("bucket").applyInArrow(_shared(n_parts), "part long, nodes binary, groups binary, sizes binary, roles binary")
+    asked = facts.select(F.pmod("node", F.lit(n_parts)).alias("part"), "node", "n_shingles", "bears").groupBy("part")
+    allotted = shared.groupBy("part").cogroup(asked).applyInArrow(_allot, "bucket long, groups binary, nodes binary, sizes binary, asks binary")
+    met = scratch.settle(allotted.groupBy("bucket").applyInArrow(_candidates, "a long, b long, n long, members array<long>"), "met")
     scratch.release(docs.sparkSession)
-    facts = scratch.settle(about.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n_shingles", "segments", "sketch")]), "facts")
 
     def of_node(x: str) -> DataFrame:
-        return facts.select(F.col("node").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("segments").alias(f"segments_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-
-    shared = met.where("members is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("big").alias("big"))
-    a_less = "size_a <= size_b"
-    need = F.expr(f"if({a_less}, segments_a, segments_b)") - F.floor((F.col("size_a") + F.col("size_b")) / 7)
-    sized = shared.join(of_node("a").drop("sketch_a"), "a").join(of_node("b").drop("sketch_b"), "b").where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
-    enough = sized.where(F.col("big") | (F.col("n") >= need)).select("a", "b", "n", "size_a", "size_b")
-    drawn = enough.join(of_node("a").select("a", "sketch_a"), "a").join(of_node("b").select("b", "sketch_b"), "b")
+        return facts.select(F.col("node").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+
+    paired = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    drawn = paired.join(of_node("a"), "a").join(of_node("b"), "b").where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
     pairs = drawn.select("a", "b", "n", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long, n long")
     pairs = scratch.settle(pairs.withColumn("best", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")) == 1), "pairs")
 
@@ -370,7 +431,7 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
 
     rest = pairs.where("not best").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b")
-    groups = met.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("gid"), F.size("members").alias("size"), F.explode("members").alias("node"))
+    groups = met.where("a is null").select("members").distinct().select(F.xxhash64("members").alias("gid"), F.size("members").alias("size"), F.explode("members").alias("node"))
     known = groups.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = known.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
     members = known.join(split, "gid").join(facts.select("node", "n_shingles", "sketch"), "node").withColumn("n_blocks", (F.col("size") / BLOCK).cast("int") + 1)
@@ -379,32 +440,59 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     dealt = dealt.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "sketch")
     across = dealt.groupBy("gid", "i", "j").applyInArrow(_blocks, "a long, b long")
     cand = rest.unionByName(across)
-    weak = about.where("weak")
-    if weak.limit(1).count():
-        cand = cand.unionByName(_token_pairs(texts, about))
     second = check(cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    return first.unionByName(second)
+    return reduce(DataFrame.unionByName, _weak_links(texts, about), first.unionByName(second))
 
 
-def _token_pairs(texts: DataFrame, about: DataFrame) -> DataFrame:
-    """Pairs of a weak document with each document that shares a shingle with it (for the few documents that are weak)."""
-    from pyspark.sql import types as T
+#: Shingles of weak documents that go out at once.
+WEAK_SHINGLES = 2_000_000
 
-    def tokens(batches):
+
+def _weak_links(texts: DataFrame, about: DataFrame) -> list[DataFrame]:
+    """Edges of the weak documents with all others, in blocks of weak documents of a fixed size, one pass over the texts each."""
+    weak = about.where("weak")
+    if not weak.limit(1).count():
+        return []
+    ids = weak.select("doc_id").distinct()
+    rows = texts.join(ids.where("doc_id is not null"), "doc_id", "left_semi")
+    if weak.where("doc_id is null").limit(1).count():
+        rows = rows.unionByName(texts.where("doc_id is null"))
+    sets_ = rows.mapInArrow(_set_rows, "node long, set binary").join(weak.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    blocks, held, size = [], [], 0
+    for r in scratch.settle(sets_, "weak").toLocalIterator():
+        held.append((r["node"], np.frombuffer(r["set"], np.uint64)))
+        size += len(held[-1][1])
+        if size >= WEAK_SHINGLES:
+            blocks.append(_against(texts, held))
+            held, size = [], 0
+    return [*blocks, *[_against(texts, held)] * bool(held)]
+
+
+def _against(texts: DataFrame, weak: list[tuple[int, np.ndarray]]) -> DataFrame:
+    """Edges between the weak sets and all documents, by exact counts."""
+    token = np.concatenate([x for _, x in weak])
+    owner = np.repeat(np.arange(len(weak)), [len(x) for _, x in weak])
+    order = np.argsort(token, kind="stable")
+    shared = texts.sparkSession.sparkContext.broadcast((token[order], owner[order], np.array([n for n, _ in weak]), np.array([len(x) for _, x in weak])))
+
+    def run(batches):
+        token, owner, names, sizes = shared.value
         for batch in batches:
             for ids, h, borders in sets(batch):
                 s1, _ = sums_of(h, borders)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes(ids, s1), np.diff(borders))), pa.array(h.view(np.int64))], names=["node", "token"])
+                lo, hi = np.searchsorted(token, h, "left"), np.searchsorted(token, h, "right")
+                doc = np.repeat(np.repeat(np.arange(len(borders) - 1), np.diff(borders)), hi - lo)
+                pair, both = np.unique(doc * len(names) + owner[K.gather(lo, hi - lo)], return_counts=True)
+                d, w = pair // len(names), pair % len(names)
+                ok = 100 * both >= 75 * (np.diff(borders)[d] + sizes[w] - both)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes(ids, s1)[d[ok]]), pa.array(names[w[ok]])], names=["u", "v"])
 
-    schema = T.StructType().add("node", "long").add("token", "long")
-    rows = texts.mapInArrow(tokens, schema)
-    weak = rows.join(about.where("weak").select("node").distinct(), "node", "left_semi")
-    return weak.select(F.col("node").alias("a"), "token").join(rows.select(F.col("node").alias("b"), "token"), "token").where("a <> b").select("a", "b").distinct()
+    return texts.mapInArrow(run, "u long, v long").where("u <> v")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """doc_id, node, n_shingles and component (the least node reached) of every document."""
-    about = scratch.settle(docs.select("doc_id", "text").mapInArrow(_about, "doc_id long, node long, n_shingles long, s1 long, s2 long, segments long, sketch binary, weak boolean"), "about")
+    about = scratch.settle(docs.select("doc_id", "text").mapInArrow(_about, "doc_id long, node long, n_shingles long, s1 long, s2 long, bears long, sketch binary, weak boolean"), "about")
     found = links(docs, about)
     full = about.where("n_shingles > 0")
     least = full.groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("least"))
@@ -437,13 +525,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def add_node(batches):
         for batch in batches:
             for part, h, borders in ((r, *K.distinct(*x, len(r))) for r, x in _shingled(batch)):
-                out = part.append_column("node", pa.array(nodes(part.column("doc_id").combine_chunks(), sums_of(h, borders)[0])))
+                out = part.append_column("__node", pa.array(nodes(part.column("doc_id").combine_chunks(), sums_of(h, borders)[0])))
                 yield from out.to_batches()
 
-    node = F.col("doc_id")
-    some = docs.where("doc_id is not null").withColumn("__node", node)
+    some = docs.where("doc_id is not null").withColumn("__node", F.col("doc_id"))
     if docs.where("doc_id is null").limit(1).count():
-        schema = docs.withColumn("node", F.lit(0).cast("long")).schema
-        some = some.unionByName(docs.where("doc_id is null").mapInArrow(add_node, schema).withColumnRenamed("node", "__node"))
+        some = some.unionByName(docs.where("doc_id is null").mapInArrow(add_node, some.schema))
     first = some.join(with_words.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"])
     return first.unionByName(some.join(nothing.withColumnRenamed("node", "__node"), "__node", "left_semi")).select(*docs.columns)
