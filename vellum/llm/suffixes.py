@@ -70,6 +70,11 @@ def _hashes(raw: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(raw), "<u8")
 
 
+def bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Buckets by the low half of the hash: anchors have small hashes, so the high half would put all in the first."""
+    return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(n_buckets)) >> np.uint64(32)
+
+
 def _kmers(n_buckets: int, length: int, k: int):
     """(part, text) rows -> (bucket, part, hashes, twice): the k-mers of a task's anchors, and those seen again."""
 
@@ -81,10 +86,11 @@ def _kmers(n_buckets: int, length: int, k: int):
             rows = [[], [], [], []]
             for part, hs in held.items():
                 h, n = np.unique(np.concatenate(hs), return_counts=True)
-                bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-                cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                bucket = bucket_of(h, n_buckets)
+                order = np.argsort(bucket, kind="stable")
+                h, n, bucket = h[order], n[order], bucket[order]
                 for b in np.unique(bucket).tolist():
-                    x = slice(cut[b], cut[b + 1])
+                    x = slice(*np.searchsorted(bucket, np.array([b, b + 1], np.uint64)))
                     for r, v in zip(rows, (b, part, _hash_blob(h[x]), _hash_blob(h[x][n[x] > 1]))):
                         r.append(v)
             held.clear()
@@ -369,7 +375,7 @@ def _contexts(n_buckets: int, length: int, k: int):
             pass
         rows: dict[int, list] = {}
         for (right, left), number in part.index.items():
-            rows.setdefault(((part.hash[number] >> 32) * n_buckets) >> 32, []).append((right, left[::-1], number, part.count[number]))
+            rows.setdefault(((part.hash[number] & 0xFFFFFFFF) * n_buckets) >> 32, []).append((right, left[::-1], number, part.count[number]))
         runs = [front_coded(sorted(x)) for x in rows.values()]
         pa.default_memory_pool().release_unused()
         return pa.table([pa.array(list(rows), pa.int64()), pa.array([key[0].as_py()] * len(rows), pa.int64()), pa.array(runs, pa.binary())], names=["bucket", "part", "run"])
