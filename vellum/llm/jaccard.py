@@ -42,7 +42,9 @@ BINS = 256
 #: Members of a signature group that give all their pairs.
 ALL_PAIRS = 40
 BUCKET_SIGS = 1 << 20
-FLUSH_SIGS = 3_000_000
+FLUSH_SIGS = 600_000
+#: Text bytes that are hashed at once.
+SLICE_BYTES = 400_000
 BLOCK = 512
 
 
@@ -54,7 +56,7 @@ def sets(batch):
 
 def _shingled(batch):
     """For each slice of a batch: (rows, (shingle hashes, document numbers))."""
-    for rows, buf, offs in K.pieces(batch):
+    for rows, buf, offs in K.pieces(batch, limit=SLICE_BYTES):
         a, b, first = K.words(buf, offs, K.SPACE_WORD)
         yield rows, K.shingles(K.spans_hash(K.rolling(buf, lower=True), a, b), first, WORDS)
 
@@ -209,7 +211,7 @@ def _emit(n_buckets: int):
                     if borders[i + 1] > borders[i] and s not in seen:
                         keep[i] = True
                         seen.add(s)
-                if len(seen) > 2_000_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 at = np.flatnonzero(keep)
                 sizes = np.diff(borders)[at]
@@ -219,6 +221,7 @@ def _emit(n_buckets: int):
                 if size >= FLUSH_SIGS:
                     yield flush(*(np.concatenate(x) for x in zip(*held)))
                     held, size = [], 0
+                    pa.default_memory_pool().release_unused()
         if size:
             yield flush(*(np.concatenate(x) for x in zip(*held)))
 
