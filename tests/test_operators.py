@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.engine import Engine
 from vellum.functions import text as X
 from vellum.operators import bundle, chunks, federation, graph, incremental, links, records, registry, search
+from vellum.operators.memory import Memory
 from vellum.operators.records import Field, Predicate, ValidationError
 
 
@@ -35,7 +36,9 @@ def test_sections(spark):
     assert got == [("e", 0, "", "Empty"), ("p", 0, "", "intro"), ("p", 1, "Section A", "text a"), ("p", 2, "Section B", "text b")]
 
 
-def test_pagerank_mass_and_hub(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_pagerank_mass_and_hub(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL_EDGES", small)
     nodes = spark.createDataFrame([(k,) for k in ("hub", "a", "b", "c", "alone")], "key string")
     edges = spark.createDataFrame([("hub", "a"), ("a", "hub"), ("b", "hub"), ("c", "hub"), ("b", "missing")], "src string, dst string")
     s = {r["key"]: r["score"] for r in graph.pagerank(nodes, edges).collect()}
@@ -81,6 +84,21 @@ def test_cursors_are_independent(spark, tmp_path):
     assert (c.get("digest"), c.get("contradictions")) == (9, 2)
 
 
+def test_memory_verbs(tmp_path):
+    m = Memory(str(tmp_path))
+    m.create("a/b.md", "one\ntwo")
+    m.append("a/b.md", "three")
+    m.insert("a/b.md", 1, "and")
+    m.str_replace("a/b.md", "two", "2")
+    assert m.view("a/b.md") == "one\nand\n2\nthree" and m.view("a") == "b.md"
+    m.rename("a/b.md", "c.md")
+    for bad in (lambda: m.view("../x"), lambda: m.str_replace("c.md", "zzz", ""), lambda: m.insert("c.md", 99, "x"), lambda: m.rename("c.md", "c.md")):
+        with pytest.raises(ValidationError):
+            bad()
+    m.delete("c.md")
+    assert not (tmp_path / "c.md").exists()
+
+
 def test_routing_ladder():
     m = [federation.Mount("Alpha", None, "red things"), federation.Mount("Beta", None, "blue things", (), (1.0, 0.0)), federation.Mount("Bare", None)]
     assert federation.route(m[:1], "x").mode == "all"

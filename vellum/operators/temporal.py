@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as X
@@ -57,6 +57,18 @@ def opposed(a_side: DataFrame, b_side: DataFrame, floor: float = JACCARD_FLOOR)
     return both.groupBy("path_a", "line_no_a", "path_b").agg(best.alias("b")).select("b.*").withColumn("cue", F.when(F.col("rev_a"), F.col("cue_a")).otherwise(F.col("cue_b")))
 
 
+def excluded(path: Column, frontmatter: Column) -> Column:
+    """Superseded notes and templates take no part."""
+    given = lambda k: F.coalesce(F.trim(F.get_json_object(frontmatter, f"$.{k}")), F.lit("")) != ""
+    return given("superseded_by") | given("supersedes") | F.exists(F.split(F.lower(path), "/"), lambda s: s.rlike(r"^_?templates?(\.md)?$"))
+
+
+def governing(docs: DataFrame, path: str) -> DataFrame:
+    """M4: documents with a glob that matches one path."""
+    globs = docs.select("path", F.explode("governs").alias("pattern"))
+    return globs.where(F.rlike(F.lit(path), X.glob_pattern(F.col("pattern")))).groupBy("path").agg(F.sort_array(F.collect_set("pattern")).alias("matched"))
+
+
 def contradictions(pairs: DataFrame, per_anchor: int = PER_ANCHOR, total: int = TOTAL) -> DataFrame:
     """at most `per_anchor` a line, the best of each pair of notes, `total` in all, best first."""
     some = pairs.withColumn("k", F.row_number().over(Window.partitionBy("path_a", "line_no_a").orderBy(F.desc("jaccard"), "path_b"))).where(F.col("k") <= per_anchor)

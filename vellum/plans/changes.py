@@ -196,6 +196,20 @@ def governs_glob_match(spark, d):
     return found.groupBy("path", "pattern").agg(F.count("*").alias("files"))
 
 
+@query("contradiction_exclusions", "SELECT * FROM (VALUES ('a.md', false), ('b.md', true), ('c.md', false), ('templates/d.md', true), ('x/Template/e.md', true), ('mytemplates/f.md', false)) t(path, excluded)")
+def contradiction_exclusions(spark, d):
+    rows = [("a.md", "{}"), ("b.md", '{"superseded_by":"x"}'), ("c.md", '{"superseded_by":" "}'), ("templates/d.md", "{}"), ("x/Template/e.md", "{}"), ("mytemplates/f.md", "{}")]
+    return spark.createDataFrame(rows, "path string, j string").select("path", TP.excluded(F.col("path"), F.col("j")).alias("excluded"))
+
+
+@query("governing_docs", "SELECT 'plan-'||lang||'.md' AS path, 'docs/*/'||lang||'/1?.md' AS matched FROM (SELECT DISTINCT lang FROM documents) WHERE lang = 'en'")
+def governing_docs(spark, d):
+    lang = F.col("lang")
+    globs = F.array(F.concat(F.lit("docs/src1/"), lang, F.lit("/*.md")), F.concat(F.lit("docs/*/"), lang, F.lit("/1?.md")))
+    docs = T.table(spark, d, "documents").select("lang").distinct().select(F.concat(F.lit("plan-"), lang, F.lit(".md")).alias("path"), globs.alias("governs"))
+    return TP.governing(docs, "docs/src7/en/12.md").select("path", F.array_join("matched", ",").alias("matched"))
+
+
 def _mounts(spark, d):
     def pages(q, n):
         p = T.table(spark, d, "pages").orderBy("page_id").limit(n)
