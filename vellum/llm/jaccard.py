@@ -10,10 +10,10 @@ segments cannot bear its bound (about one in a million) is compared with all oth
 Allocation goes on with the signatures' frequencies: a set that bears b differences more than its bound shares more
 than b signatures with every linked larger set, so it need not ask with its b most frequent ones. Signatures meet in
 buckets; what is shared goes back to its sets, which say with what they ask; only pairs with an asking smaller set are
-candidates. Groups of up to ALL_PAIRS members give such pairs, larger ones pairs with one pivot and the group itself.
-Count vectors over BINS hash ranges bound the difference from below. What is left is verified exactly on the sets;
-first each document with the one that it shares most with, then what is not yet in one component: other pairs, and
-the members of large groups, in blocks. Nothing is capped.
+candidates. Groups of up to ALL_PAIRS members give such pairs, larger ones pairs with one pivot, and what the pivots
+connect is a cluster. Count vectors over BINS hash ranges bound the difference from below. What is left is verified
+exactly on the sets; first each document with the one that it shares most with, then what is not yet in one component:
+other pairs, and the members of each cluster, once, in blocks. Nothing is capped.
 
 Identity is by 64-bit hashes (shingles) and a 128-bit sum of them (equal sets). Edge cases: no words or a null text:
 n_shingles 0, linked with nothing; rows of one doc_id count as copies of one document; a null doc_id is a node of its
@@ -287,7 +287,7 @@ def _allot(key, shared: pa.Table, facts: pa.Table) -> pa.Table:
 
 
 def _candidates(t: pa.Table) -> pa.Table:
-    """A bucket's groups -> rows (a, b, n): candidates and the signatures they ask with and share; and (members) of large groups."""
+    """A bucket's groups -> rows (a, b, n, big): candidates, the signatures they share, and whether a large group is among these (a is its pivot)."""
     cat = lambda c, w: np.concatenate([_unpack(x.as_py(), w) for x in t[c]]).view(np.int64)
     gid, node, size, asks = cat("groups", 4), cat("nodes", 8), cat("sizes", 5), cat("asks", 1).astype(bool)
     order = np.lexsort((node, gid))
@@ -309,19 +309,17 @@ def _candidates(t: pa.Table) -> pa.Table:
         i, j = np.triu_indices(g, 1)
         add(rows[:, i].ravel(), rows[:, j].ravel())
     many = some & (count > ALL_PAIRS)
+    pairs = sum(map(len, a))
     s, c = start[many], count[many] - 1
     a.append(np.repeat(node[s], c))
     b.append(node[K.gather(s + 1, c)])
     x, y = np.concatenate(a), np.concatenate(b)
+    big = np.arange(len(x)) >= pairs
     order = np.lexsort((y, x))
-    x, y = x[order], y[order]
+    x, y, big = x[order], y[order], big[order]
     new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)])
     n = np.diff(np.append(new, len(x)))
-    groups = list({node[p : p + k].tobytes(): None for p, k in zip(start[many].tolist(), count[many].tolist())})
-    ends = np.concatenate([np.zeros(len(new) + 1, np.int32), np.cumsum([len(g) // 8 for g in groups])]).astype(np.int32)
-    members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(groups), np.int64)))
-    rest = pa.nulls(len(groups), pa.int64())
-    return pa.table([pa.concat_arrays([pa.array(v), rest]) for v in (x[new], y[new], n)] + [members], names=["a", "b", "n", "members"])
+    return pa.table([pa.array(x[new]), pa.array(y[new]), pa.array(n), pa.array(np.logical_or.reduceat(big, new) if len(new) else big)], names=["a", "b", "n", "big"])
 
 
 def _verify(batches):
@@ -374,7 +372,7 @@ def _near(batches):
 
 
 def _blocks(t: pa.Table) -> pa.Table:
-    """Members of a group in two of its blocks -> pairs across components whose difference may be within the bound."""
+    """Members of a cluster in two of its blocks -> pairs across components whose difference may be within the bound."""
     block = t["block"].to_numpy()
     i, j = t["i"][0].as_py(), t["j"][0].as_py()
     node, comp, n = t["node"].to_numpy(), t["component"].to_numpy(), t["n_shingles"].to_numpy()
@@ -402,25 +400,27 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     shared = sent.groupBy("bucket").applyInArrow(_shared(n_parts), "part long, nodes binary, groups binary, sizes binary, roles binary")
     asked = facts.select(F.pmod("node", F.lit(n_parts)).alias("part"), "node", "n_shingles", "bears").groupBy("part")
     allotted = shared.groupBy("part").cogroup(asked).applyInArrow(_allot, "bucket long, groups binary, nodes binary, sizes binary, asks binary")
-    met = scratch.settle(allotted.groupBy("bucket").applyInArrow(_candidates, "a long, b long, n long, members array<long>"), "met")
+    met = scratch.settle(allotted.groupBy("bucket").applyInArrow(_candidates, "a long, b long, n long, big boolean"), "met")
     scratch.release(docs.sparkSession)
 
     def of_node(x: str) -> DataFrame:
         return facts.select(F.col("node").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
-    paired = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    paired = met.groupBy("a", "b").agg(F.sum("n").alias("n"))
     drawn = paired.join(of_node("a"), "a").join(of_node("b"), "b").where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
     pairs = drawn.select("a", "b", "n", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long, n long")
     pairs = scratch.settle(pairs.withColumn("best", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")) == 1), "pairs")
 
+    clusters = scratch.settle(components(met.where("big").select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
+    ids = reduce(DataFrame.unionByName, [pairs.select(F.col(c).alias("node")) for c in "ab"], clusters.select("node")).distinct()
+    wanted = about.join(ids, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    named = texts.join(wanted.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
+    if wanted.where("doc_id is null").limit(1).count():
+        named = named.unionByName(texts.where("doc_id is null"))
+    rows = scratch.settle(named.mapInArrow(_set_rows, "node long, set binary").dropDuplicates(["node"]), "sets")
+    scratch.release(docs.sparkSession)
+
     def check(cand: DataFrame, name: str) -> DataFrame:
-        cand = scratch.settle(cand, name + "-candidates")
-        ids = cand.select(F.col("a").alias("node")).unionByName(cand.select(F.col("b").alias("node"))).distinct()
-        wanted = about.join(ids, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        named = texts.join(wanted.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-        if wanted.where("doc_id is null").limit(1).count():
-            named = named.unionByName(texts.where("doc_id is null"))
-        rows = scratch.settle(named.mapInArrow(_set_rows, "node long, set binary").dropDuplicates(["node"]), name + "-sets")
         left = cand.join(rows.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         full = left.join(rows.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return scratch.settle(full.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "u long, v long"), name)
@@ -434,9 +434,8 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
 
     rest = pairs.where("not best").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b")
-    groups = met.where("a is null").select("members").distinct().select(F.xxhash64("members").alias("gid"), F.size("members").alias("size"), F.explode("members").alias("node"))
-    known = groups.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = known.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
+    known = clusters.select("node", F.col("component").alias("gid")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = known.groupBy("gid").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid", "size")
     members = known.join(split, "gid").join(facts.select("node", "n_shingles", "sketch"), "node").withColumn("n_blocks", (F.col("size") / BLOCK).cast("int") + 1)
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
