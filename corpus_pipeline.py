@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from vellum.llm import jaccard, packing, quality, scratch, suffixes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of the shortest passage that goes where it repeats.
+REPEAT_WORDS = 51
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +24,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur twice go, in all their places; a document keeps its other text."""
-    cut = suffixes.remove_repeats(docs.select(COLUMNS), keep_text=True, with_row=True)
+    """Passages of over 50 words that occur twice go, in all their places; a document keeps its other text."""
+    cut = suffixes.remove_repeats(docs.select(COLUMNS), words=REPEAT_WORDS, keep_text=True, with_row=True)
     return cut.select("doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 

@@ -34,3 +34,30 @@ def test_stages(spark):
         assert (passage[5:-5] not in t) if 200 <= i < 205 else t == whole[i]
     packed = corpus_pipeline.packing_stage(spark, cut, "").collect()
     assert {x["doc_id"] for x in packed} == set(texts)
+
+
+def test_repeated_words(spark):
+    """Passages of 51 words go whatever their bytes, those of 50 stay; against brute force over words."""
+    r = random.Random(8)
+    word = lambda lo, hi: "".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randint(lo, hi)))
+    say = lambda n, lo=2, hi=8: " ".join(word(lo, hi) for _ in range(n))
+    short, exact, under, long = say(51, 1, 2), say(51), say(50, 9, 15), say(200)
+    plant = lambda *x: " ".join(y for p in x for y in (say(r.randint(3, 90)), p)) + " " + say(40)
+    rows = [(i, plant(p)) for i, p in enumerate([short, short, exact, exact, under, under, long, long])]
+    rows += [(8, plant(exact.replace(" ", "\n"))), (9, plant(short, under)), (10, exact), (11, None), (12, " "), (13, "na " * 120), (14, plant(" ".join(long.split()[40:95])))]
+    rows += [(20 + i, say(r.randint(1, 150))) for i in range(30)]
+    count: dict = {}
+    for _, t in rows:
+        w = (t or "").split()
+        for i in range(len(w) - 50):
+            count[tuple(w[i : i + 51])] = count.get(tuple(w[i : i + 51]), 0) + 1
+    want = {}
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {j + x for j in range(len(w) - 50) if count[tuple(w[j : j + 51])] > 1 for x in range(51)}
+        want[i] = [x for j, x in enumerate(w) if j not in gone]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.repeat_stage(spark, docs, "").collect()}
+    assert {i: t.split() for i, t in got.items()} == want
+    assert len(short.encode()) < 200 and len(under.encode()) > 400
+    assert all(short not in got[i] for i in (0, 1, 9)) and all(under in got[i] for i in (4, 5, 9))

@@ -10,6 +10,9 @@ a string at distance a before the anchor repeats if one neighbour matches a byte
 right. Equal contexts of a part are sent once. Where a group is so large and mixed that neighbours in neither order
 decide, its undecided strings are counted by hash over all parts, which no group size can skew.
 
+With `words`, passages are so many words, whatever their bytes: the same search runs over texts in which each word is
+WORD_BYTES bytes of its hash, and words whose bytes all go take the white space between them along.
+
 Edge cases: null or empty text: 0 bytes, nothing removed; rows may repeat and doc_ids may be null or equal, a row each
 comes out; texts shorter than `length` keep all; an empty table gives an empty result; other columns are not read.
 """
@@ -28,6 +31,8 @@ from . import kernels as K
 from . import scratch
 
 LENGTH, KMER = 400, 64
+#: Bytes that stand for a word where passages are counted in words.
+WORD_BYTES = 6
 #: Text bytes that are hashed at once; a dozen arrays of eight times this size are alive meanwhile.
 SLICE_BYTES = 500_000
 PART_BYTES = 6 << 20
@@ -58,6 +63,28 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = KM
     return at[first], p[first], p[np.append(first[1:], len(p)) - 1], h[at[first]]
 
 
+def word_codes(buf: np.ndarray, offs: np.ndarray):
+    """(codes, borders of the documents in them, (starts, ends, first words) of the words): each word as WORD_BYTES bytes of its hash."""
+    a, b, first = K.words(buf, offs, K.SPACE_WORD)
+    h = K.spans_hash(K.rolling(buf), a, b)
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].ravel(), first * WORD_BYTES, (a, b, first)
+
+
+def word_bytes(gone: np.ndarray, n: int, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of n text bytes those of words whose codes are all gone, and the white space between two such words of a document."""
+    a, b, first = words
+    mark = np.zeros(n + 1, np.int32)
+    if len(a):
+        w = gone.reshape(-1, WORD_BYTES).all(axis=1)
+        doc = np.searchsorted(first, np.arange(len(a)), "right")
+        b = b.copy()
+        on = np.flatnonzero(w[:-1] & w[1:] & (doc[:-1] == doc[1:]))
+        b[on] = a[on + 1]
+        mark[a[w]] += 1
+        mark[b[w]] -= 1
+    return np.cumsum(mark[:-1]) > 0
+
+
 def _hash_blob(h: np.ndarray) -> bytes:
     import zstandard
 
@@ -75,7 +102,7 @@ def bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(n_buckets)) >> np.uint64(32)
 
 
-def _kmers(n_buckets: int, length: int, k: int):
+def _kmers(n_buckets: int, length: int, k: int, by_word: bool):
     """(part, text) rows -> (bucket, part, hashes, twice): the k-mers of a task's anchors, and those seen again."""
 
     def run(batches):
@@ -98,6 +125,8 @@ def _kmers(n_buckets: int, length: int, k: int):
 
         for batch in batches:
             for rows, buf, offs in K.pieces(batch, limit=SLICE_BYTES):
+                if by_word:
+                    buf, offs, _ = word_codes(buf, offs)
                 at, _, _, h = anchors(buf, offs, length, k)
                 part = rows.column("part").to_numpy()[np.searchsorted(offs, at, "right") - 1]
                 order = np.argsort(part, kind="stable")
@@ -131,26 +160,27 @@ def _repeated(t: pa.Table) -> pa.Table:
 class Part:
     """The documents of a part in a fixed order, and the contexts of their candidate anchors."""
 
-    def __init__(self, docs: pa.Table, repeated: list[bytes], length: int, k: int):
+    def __init__(self, docs: pa.Table, repeated: list[bytes], length: int, k: int, by_word: bool):
         order = docs.append_column("at", pa.array(np.arange(len(docs)))).sort_by([("doc_id", "ascending"), ("text", "ascending")])["at"] if len(docs) else pa.array([], pa.int64())
         self.docs = docs.take(order)
         self.known = np.unique(np.concatenate([_hashes(x) for x in repeated])) if repeated else np.zeros(0, np.uint64)
-        self.length, self.k = length, k
+        self.length, self.k, self.by_word = length, k, by_word
         self.index: dict[tuple, int] = {}
         self.count: list[int] = []
         self.hash: list[int] = []
 
     def walk(self):
-        """For each slice: (rows, bytes, borders, anchors, context numbers)."""
+        """For each slice: (rows, bytes, borders, anchors, context numbers, words if passages are counted in them)."""
         for rows, buf, offs in K.pieces(self.docs, limit=SLICE_BYTES):
-            at, s, e, h = anchors(buf, offs, self.length, self.k)
+            codes, borders, words = word_codes(buf, offs) if self.by_word else (buf, offs, None)
+            at, s, e, h = anchors(codes, borders, self.length, self.k)
             if len(self.known):
                 where = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
                 hit = self.known[where] == h
             else:
                 hit = np.zeros(len(h), bool)
             at, s, e, h = at[hit], s[hit], e[hit], h[hit]
-            raw, number = buf.tobytes(), []
+            raw, number = codes.tobytes(), []
             for i, x, y, z in zip(at.tolist(), s.tolist(), e.tolist(), h.tolist()):
                 key = (raw[i : y + self.length], raw[x:i])
                 n = self.index.setdefault(key, len(self.count))
@@ -160,7 +190,7 @@ class Part:
                 else:
                     self.count[n] = 2
                 number.append(n)
-            yield rows, buf, offs, at, number
+            yield rows, buf, offs, at, number, words
 
 
 def front_coded(rows: list[tuple[bytes, bytes, int, int]]) -> bytes:
@@ -366,11 +396,11 @@ def decide(group: list[tuple], length: int, scan: int = SCAN) -> tuple[list[list
     return hits, undecided
 
 
-def _contexts(n_buckets: int, length: int, k: int):
+def _contexts(n_buckets: int, length: int, k: int, by_word: bool):
     """(documents, repeated k-mers) of a part -> (bucket, part, run)."""
 
     def run(key, docs: pa.Table, rep: pa.Table) -> pa.Table:
-        part = Part(docs, rep["blob"].to_pylist(), length, k)
+        part = Part(docs, rep["blob"].to_pylist(), length, k, by_word)
         for _ in part.walk():
             pass
         rows: dict[int, list] = {}
@@ -438,12 +468,12 @@ def _merge_bucket(length: int, k: int):
     return run
 
 
-def _remove(length: int, k: int, keep_text: bool, with_row: bool):
+def _remove(length: int, k: int, by_word: bool, keep_text: bool, with_row: bool):
     """(documents, repeated k-mers and matches) of a part -> the result rows."""
 
     def run(key, docs: pa.Table, facts: pa.Table) -> pa.Table:
         rows = facts.to_pylist()
-        part = Part(docs, [r["blob"] for r in rows if r["kind"] == 0], length, k)
+        part = Part(docs, [r["blob"] for r in rows if r["kind"] == 0], length, k, by_word)
         spans: dict[int, list] = {}
         for r in rows:
             if r["kind"] == 1:
@@ -453,15 +483,17 @@ def _remove(length: int, k: int, keep_text: bool, with_row: bool):
                 spans.setdefault(r["number"], []).append((r["distance"], r["distance"]))
         out: list[list] = [[], [], [], [], [], []]
         carried = []
-        for rows_, buf, offs, at, number in part.walk():
+        for rows_, buf, offs, at, number, words in part.walk():
             if with_row:
                 carried.append(rows_.select(["row"]))
-            cover = np.zeros(len(buf) + 1, np.int32)
+            cover = np.zeros((len(words[0]) * WORD_BYTES if by_word else len(buf)) + 1, np.int32)
             for i, n in zip(at.tolist(), number):
                 for a, b in spans.get(n, ()):
                     cover[i - b] += 1
                     cover[i - a + length] -= 1
             gone = np.cumsum(cover[:-1]) > 0
+            if by_word:
+                gone = word_bytes(gone, len(buf), words)
             raw = buf.tobytes()
             for d, x, y in zip(rows_.column("doc_id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist()):
                 g = gone[x:y]
@@ -481,12 +513,16 @@ def _remove(length: int, k: int, keep_text: bool, with_row: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep_text: bool = False, with_row: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep_text: bool = False, with_row: bool = False, part_bytes: int = PART_BYTES, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
     keep_text adds kept_text, the remaining bytes without those of cut characters; with_row adds row, a struct of all
-    columns of the input but its text.
+    columns of the input but its text. With words, passages of so many words count, not those of `length` bytes.
     """
+    by_word = words is not None
+    if by_word:
+        length = words * WORD_BYTES
+        k = min(k, length)
     spark = docs.sparkSession
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] * with_row
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *rest)
@@ -494,9 +530,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep_te
     n_parts = max(1, -(-total // part_bytes))
     n_buckets = max(1, -(-total // (length // 3) // BUCKET_ANCHORS))
     parted = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)))
-    sent = parted.select("part", "text").mapInArrow(_kmers(n_buckets, length, k), "bucket long, part long, hashes binary, twice binary")
+    sent = parted.select("part", "text").mapInArrow(_kmers(n_buckets, length, k, by_word), "bucket long, part long, hashes binary, twice binary")
     repeated = scratch.settle(sent.groupBy("bucket").applyInArrow(_repeated, "part long, blob binary"), "kmers")
-    runs = parted.select("doc_id", "text", "part").groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_contexts(n_buckets, length, k), "bucket long, part long, run binary")
+    runs = parted.select("doc_id", "text", "part").groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_contexts(n_buckets, length, k, by_word), "bucket long, part long, run binary")
     verdict = scratch.settle(runs.groupBy("bucket").applyInArrow(_merge_bucket(length, k), VERDICT), "matches")
     scratch.release(spark)
     windows = verdict.where("window is not null")
@@ -509,4 +545,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep_te
         schema = schema.add(name, kind)
     if with_row:
         schema = schema.add("row", parted.schema["row"].dataType)
-    return parted.groupBy("part").cogroup(facts.groupBy("part")).applyInArrow(_remove(length, k, keep_text, with_row), schema)
+    return parted.groupBy("part").cogroup(facts.groupBy("part")).applyInArrow(_remove(length, k, by_word, keep_text, with_row), schema)
