@@ -353,6 +353,30 @@ def test_sketch_estimates():
     assert abs(len(a) * fingerprints.SCALE / len(exact(text)) - 1) < 0.1
 
 
+def test_short_sketches():
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(1000)) for _ in range(n))
+    short = [say(n) for n in range(3, 60) for _ in range(4)]
+    got = fingerprints.sketches(short)
+    windows = [{t[i : i + fingerprints.WINDOW] for i in range(len(t) - fingerprints.WINDOW + 1)} for t in short]
+    for s, w in zip(got, windows):
+        assert min(len(w), fingerprints.LEAST) <= len(s) <= len(w)
+    assert all(fingerprints.likeness(x, y) == 0 for x, y in zip(got[:8], got[8:16]))
+    off = [abs(fingerprints.likeness(s, e) - len(w & v) / min(len(w), len(v))) for t, s, w in zip(short, got, windows) for x in [fingerprints.edited(t, say(40))] for e, v in [(fingerprints.sketches([x])[0], {x[i : i + fingerprints.WINDOW] for i in range(len(x) - fingerprints.WINDOW + 1)})]]
+    assert max(off) < 0.4 and sum(off) / len(off) < 0.1
+    text = "".join(short[:100])
+    for at in (100, 400, 3000):
+        one, two, both = fingerprints.sketches([text[:at], text[at - fingerprints.WINDOW + 1 :], text])
+        assert np.array_equal(fingerprints.merge(one, two), both)
+    one, two, both = fingerprints.sketches([text[:300], text[300 - fingerprints.WINDOW + 1 : 500], text[:500]])
+    assert np.array_equal(fingerprints.merge(one, two), both)
+    loop, none = fingerprints.sketches(["na " * 5000, ""])
+    assert len(loop) == 3 and not len(none) and fingerprints.likeness(loop, none) == 0 and fingerprints.likeness(none, none) == 1
+    long = say(20_000)
+    tiny = fingerprints.sketches([x for i in range(0, 3000, 20) for x in [long[i : i + 20]]])
+    assert {fingerprints.likeness(x, fingerprints.sketches([long])[0]) for x in tiny[:20]} <= {None, 1.0}
+
+
 def test_rans_files(docs, empty, rows):
     spark = docs.sparkSession
     known = [r for r in {r[:2]: r for r in rows}.values() if r[0] is not None]

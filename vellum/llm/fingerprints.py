@@ -1,12 +1,14 @@
 """Document fingerprints by a threshold-scaled sketch.
 
-Every window of WINDOW UTF-8 bytes is hashed; the sketch keeps all hashes below 1 / SCALE of the range. As the
-threshold is the same for all texts, sketches are mergeable by union, and shared hashes over those of the smaller
-sketch estimate its containment in the larger one, however unequal the two are. A text shorter than a window is its own
-only shingle and is always kept, marked by its length. A fingerprint is the ascending hashes, each 6 bytes, in base 64.
-
-Edge cases: a null or empty text has an empty fingerprint; two empty ones are alike (1), an empty and another are not
-(0); rows of one doc_id follow each other by their text's hash; null doc_ids come first; one row alone is followed by
+Every window of WINDOW UTF-8 bytes is hashed; the sketch keeps all hashes below 1 / SCALE of the range, and the LEAST
+least ones in any case. As the rule is the same for all texts, a merged sketch is what the rule keeps of the union. Two
+sketches are compared over the part of the range that both have whole; shared hashes over those of the one with fewer
+there estimate its containment in the other, however unequal the two are. A text shorter than a window is its own only
+shingle. A fingerprint is the ascending hashes, each 6 bytes, in base 64.
+
+Edge cases: a null or empty text, and no other, has an empty fingerprint; two empty ones are alike (1), an empty and
+another are not (0); where the part of the range holds no hash of one of two texts, as of a short text beside a very
+long one, their likeness is unknown (null); rows of one doc_id follow each other by their text's hash; null doc_ids come first; one row alone is followed by
 itself; an empty table gives an empty result; other columns are not read.
 """
 
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-WINDOW, SCALE = 16, 32
+WINDOW, SCALE, LEAST = 16, 32, 32
+THRESHOLD = np.uint64((1 << 48) // SCALE)
 RANGE_BYTES = 24 << 20
 FIRST = -(1 << 63)
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -37,16 +40,19 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
         n = np.maximum(sizes - WINDOW + 1, 0)
         s = K.rolling(buf)
         if len(buf) >= WINDOW:
-            h = K.mix((s[WINDOW:] - s[:-WINDOW]) * K.powers(K.BASE_INV, len(s))[: len(s) - WINDOW]) >> np.uint64(16)
-            at = np.flatnonzero(h < np.uint64((1 << 48) // SCALE))
+            every = K.mix((s[WINDOW:] - s[:-WINDOW]) * K.powers(K.BASE_INV, len(s))[: len(s) - WINDOW]) >> np.uint64(16)
+            at = np.flatnonzero(every < THRESHOLD)
             doc = np.searchsorted(offs, at, "right") - 1
             ok = at - offs[doc] < n[doc]
-            h, borders = K.distinct(h[at[ok]], doc[ok], len(sizes))
+            h, borders = K.distinct(every[at[ok]], doc[ok], len(sizes))
         else:
             h, borders = np.zeros(0, np.uint64), np.zeros(len(sizes) + 1, np.int64)
         whole = K.spans_hash(s, offs[:-1], offs[1:]) >> np.uint64(16)
         for i in range(len(sizes)):
-            out.append(whole[i : i + 1] if 0 < sizes[i] < WINDOW else h[borders[i] : borders[i + 1]])
+            own = whole[i : i + 1] if 0 < sizes[i] < WINDOW else h[borders[i] : borders[i + 1]]
+            if n[i] and len(own) < LEAST:
+                own = np.unique(every[offs[i] : offs[i] + n[i]])[:LEAST]
+            out.append(own)
     return out
 
 
@@ -54,10 +60,19 @@ def text_of(sketch: np.ndarray) -> str:
     return base64.b64encode(np.ascontiguousarray(sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()).decode()
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Containment of the smaller sketch in the larger one."""
+def reach(sketch: np.ndarray) -> int:
+    """The end of the part of the range of which the sketch has all the text's hashes."""
+    return 1 << 48 if len(sketch) < LEAST else max(int(THRESHOLD), int(sketch[LEAST - 1]) + 1)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Containment of the smaller sketch in the larger one where both are whole; null if one has nothing there."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    end = np.uint64(min(reach(a), reach(b)))
+    a, b = a[: np.searchsorted(a, end)], b[: np.searchsorted(b, end)]
+    if not len(a) or not len(b):
+        return None
     both = np.concatenate([a, b])
     both.sort(kind="stable")
     return int((both[1:] == both[:-1]).sum()) / min(len(a), len(b))
@@ -65,7 +80,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of both texts' shingles together."""
-    return np.union1d(a, b)
+    both = np.union1d(a, b)
+    return both[: max(LEAST, int(np.searchsorted(both, THRESHOLD)))]
 
 
 def edited(text: str, following: str) -> str:
