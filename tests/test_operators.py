@@ -175,3 +175,12 @@ def test_ranking_is_deterministic(spark, sf):
         assert [tuple(r) for r in catalog.QUERIES["fts_bm25"](spark, sf).collect()] == one
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_inline_tags_of_the_whole_text(spark, tmp_path):
+    from vellum.plans import catalog
+
+    rows = [(1, "word " * 100 + "#late/tag more #late/tag\n#last", "en", "web"), (2, "plain " * 90, "de", "web"), (3, "#first " + "x" * 300 + "#no", "fr", "book"), (4, None, "es", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["tags"] for r in catalog.QUERIES["inline_tags"](spark, str(tmp_path)).collect()}
+    assert got == {1: "en,late/tag,last,web/x", 2: "de,web/x", 3: "fr,first,book/x", 4: None}
