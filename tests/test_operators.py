@@ -184,3 +184,12 @@ def test_inline_tags_of_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["tags"] for r in catalog.QUERIES["inline_tags"](spark, str(tmp_path)).collect()}
     assert got == {1: "en,late/tag,last,web/x", 2: "de,web/x", 3: "fr,first,book/x", 4: None}
+
+
+def test_anchors_of_the_whole_text(spark, tmp_path):
+    from vellum.plans import catalog
+
+    rows = [(1, 0, "plain words " * 9 + "and we decided on it"), (1, 2, "word " * 40), (2, 3, "some more words\nof talk that are no longer true"), (2, 4, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["anchors_classify"](spark, str(tmp_path)).collect()}
+    assert got == {("talk/1-0.md", 1, "decided", False), ("talk/1-2.md", 1, "no longer", True), ("talk/2-3.md", 1, "no longer", True)}

@@ -79,10 +79,10 @@ def digest_by_area(spark, d):
 LINES = r"""cued AS (SELECT 'talk/'||conv_id||'-'||turn||'.md' AS path, '# head todo'||chr(10)||CASE turn % 4 WHEN 0 THEN 'TODO check ' WHEN 1 THEN 'we decided on ' WHEN 2 THEN 'This is no longer ' ELSE '- [ ] ' END||regexp_replace(substring(text, 1, 24), '[\n\r\s]+', ' ', 'g')||chr(10)||'plain words'||chr(10)||CASE WHEN turn % 4 = 1 THEN 'never mind the knot' ELSE 'I will go' END AS body FROM conversations WHERE text IS NOT NULL)"""
 
 
-def cued(spark, d):
+def cued(spark, d, chars=None):
     turn = F.col("turn") % 4
     lead = F.when(turn == 0, "TODO check ").when(turn == 1, "we decided on ").when(turn == 2, "This is no longer ").otherwise("- [ ] ")
-    body = F.concat(F.lit("# head todo\n"), lead, F.regexp_replace(F.substring("text", 1, 24), r"[\n\r\s]+", " "), F.lit("\nplain words\n"), F.when(turn == 1, "never mind the knot").otherwise("I will go"))
+    body = F.concat(F.lit("# head todo\n"), lead, F.regexp_replace(F.substring("text", 1, chars) if chars else F.col("text"), r"[\n\r\s]+", " "), F.lit("\nplain words\n"), F.when(turn == 1, "never mind the knot").otherwise("I will go"))
     return T.table(spark, d, "conversations").where("text is not null").select(F.concat(F.lit("talk/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".md")).alias("path"), body.alias("body"))
 
 
@@ -91,7 +91,7 @@ BODY_LINES = r"lines AS (SELECT path, generate_subscripts(string_split(body, chr
 
 @query("commitments", rf"WITH {LINES}, {BODY_LINES} SELECT path, CAST(line_no AS INT) AS line_no, line FROM lines WHERE line <> '' AND line NOT LIKE '#%' AND regexp_matches(line, '(?i)(\btodo\b|\bfixme\b|\bi''ll\b|\bi will\b|\bneed to\b|\[ \])')")
 def commitments(spark, d):
-    return TP.commitments(cued(spark, d))
+    return TP.commitments(cued(spark, d, 24))
 
 
 def _cue_sql(cues: list[str]) -> str:
@@ -140,7 +140,7 @@ OPPOSED = f"""{ANCHORS}, tk AS (SELECT path, line_no, line, coalesce(rev, ass) A
 
 @query("contradictions", f"WITH {OPPOSED} SELECT path_a, path_b, line_a, line_b, cue, array_to_string(shared, ' ') AS shared, round(jaccard, 9) AS jaccard FROM one ORDER BY one.jaccard DESC, path_a, path_b, line_a, line_b LIMIT 20")
 def contradictions(spark, d):
-    a = TP.anchors(cued(spark, d))
+    a = TP.anchors(cued(spark, d, 24))
     found = TP.contradictions(TP.opposed(a, a))
     return found.select("path_a", "path_b", "line_a", "line_b", "cue", F.array_join("shared", " ").alias("shared"), F.round("jaccard", 9).alias("jaccard"))
 
