@@ -197,6 +197,21 @@ def test_schemes_bear_their_bound():
         assert not len(weak) and bears[0] > jaccard.bound(n) and len(sig) < 2.1 * n
 
 
+def test_one_deletion_signatures(monkeypatch):
+    """Sets with fewer differences than one bears share a signature, with one-deletion subsets in all segments too."""
+    monkeypatch.setattr(jaccard, "scheme", lambda lo, hi: (0, 0) if hi <= jaccard.SMALL else (hi // 5, hi // 5))
+    r = np.random.default_rng(2)
+    for n in (120, 300, 3000):
+        for _ in range(20):
+            h = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
+            a = np.sort(h[:n])
+            bears = jaccard.signatures(a, np.array([0, n]))[3][0]
+            d = int(bears) - 1
+            b = np.sort(np.concatenate([r.permutation(a)[d // 2 :], h[n : n + d - d // 2]]))
+            sig, of, _, _, _ = jaccard.signatures(np.concatenate([a, b]), np.array([0, n, n + len(b)]))
+            assert set(sig[of == 0]) & set(sig[of == 1]) and bears > n // 5
+
+
 def test_weak_sets_meet_all(spark):
     """What the path for sets that can't bear their bound finds: the pairs at the threshold, exactly."""
     r = random.Random(9)
