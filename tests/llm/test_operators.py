@@ -129,7 +129,7 @@ def sets(rows):
 
 
 def brute_components(rows):
-    """Row number -> rows of its component, by brute force; rows of one doc_id count as one."""
+    """Row number -> rows of its component, by brute force; each row is a document."""
     s, up = sets(rows), list(range(len(rows)))
 
     def root(x):
@@ -171,8 +171,11 @@ def test_jaccard_keeps_one(docs, rows):
             assert kept[row[0], row[1]] == sum(x[:2] == row[:2] for x in rows)
 
 
-def test_jaccard_clusters(spark):
-    """Near copies at all distances around the threshold, and one group far larger than those that give all pairs."""
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 7])
+def test_jaccard_clusters(spark, monkeypatch, block):
+    """Near copies at all distances around the threshold, also with blocks and lumps of a few members."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LUMP_ROWS", 16 * block)
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
     rows = []
@@ -218,8 +221,10 @@ def test_weak_sets_meet_all(spark):
     base = ["w%d" % r.randrange(10**6) for _ in range(104)]
     rows = [(0, " ".join(base))] + [(k, " ".join(base[:-k] + ["x%d" % j for j in range(k)])) for k in range(1, 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    about = df.mapInArrow(jaccard._about, "doc_id long, node long, n_shingles long, s1 long, s2 long, bears long, sketch binary, weak boolean")
-    got = {x["u"] for d in jaccard._weak_links(df, about.withColumn("weak", about["doc_id"] == 0)) for x in d.collect()}
+    texts = jaccard.hashed(df)
+    about = texts.mapInArrow(jaccard._about, jaccard.ABOUT)
+    names = {x["node"]: x["doc_id"] for x in about.collect()}
+    got = {names[x["u"]] for d in jaccard._weak_links(texts, about.withColumn("weak", about["doc_id"] == 0)) for x in d.collect()}
     s = sets(rows)
     assert got == {k for k in range(1, 40) if 100 * len(s[0] & s[k]) >= 75 * len(s[0] | s[k])} != set()
 

@@ -1,23 +1,26 @@
 """N-gram Jaccard join by universe partition and pigeonhole.
 
-A document's set holds the 64-bit hashes of its distinct 5-word shingles. Sizes fall into bands; pairs whose smaller
-set lies in band k meet under scheme k, which cuts the hash universe into segments. The symmetric difference of a
-linked pair is at most (|r| + |s|) / 7, so of more non-empty segments than that at least one must agree. Segments
-below a scheme's `q` also give their subsets with one token left out, so that they bear one difference more. A cost
-model chooses both numbers by the signatures they send; small sets take each token as its segment. A document whose
-segments cannot bear its bound (about one in a million) is compared with all others.
+A document's set holds the 64-bit hashes of its distinct 5-word shingles; equal sets are one node from the start,
+whatever documents have them. Sizes fall into bands; pairs whose smaller set lies in band k meet under scheme k, which
+cuts the hash universe into segments. The symmetric difference of a linked pair is at most (|r| + |s|) / 7, so of more
+non-empty segments than that at least one must agree. Segments below a scheme's `q` also give their subsets with one
+token left out, so that they bear one difference more. A cost model chooses both numbers by the signatures they send;
+small sets take each token as its segment. A set whose segments cannot bear its bound (about one in a million) is
+compared with all others.
 
 Allocation goes on with the signatures' frequencies: a set that bears b differences more than its bound shares more
 than b signatures with every linked larger set, so it need not ask with its b most frequent ones. Signatures meet in
-buckets; what is shared goes back to its sets, which say with what they ask; only pairs with an asking smaller set are
-candidates. Groups of up to ALL_PAIRS members give such pairs, larger ones pairs with one pivot, and what the pivots
-connect is a cluster. Count vectors over BINS hash ranges bound the difference from below. What is left is verified
-exactly on the sets; first each document with the one that it shares most with, then what is not yet in one component:
-other pairs, and the members of each cluster, once, in blocks. Nothing is capped.
-
-Identity is by 64-bit hashes (shingles) and a 128-bit sum of them (equal sets). Edge cases: no words or a null text:
-n_shingles 0, linked with nothing; rows of one doc_id count as copies of one document; a null doc_id is a node of its
-own text; an empty table gives an empty result; other columns are not read.
+buckets; what is shared goes back to its sets, which say with what they ask. In each group of sets that share an asked
+signature the member with the least hash is the pivot, at every size of the group, and only pairs with a pivot become
+candidates, each once: as many as members at most. Count vectors over BINS hash ranges bound the difference from
+below; what is left is verified exactly on the sets, first each set with the pivot that it shares most with. A group
+whose members all came into one component is done. Of the others, members of different components are compared by
+count vectors inside a task, in blocks of BLOCK members, and only pairs within the bound leave it, to be verified.
+Nothing is capped: every pair that shares an asked signature is verified, out of bounds, or joined already.
+
+Identity is by 64-bit hashes (shingles) and 63 bits of their sums (equal sets). Edge cases: no words or a null text:
+n_shingles 0, linked with nothing; each row is a document, repeated ones too; a null doc_id takes part, and is the
+component_id only where no member has one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,38 +38,27 @@ from . import scratch
 from .components import components
 
 WORDS = 5
+BLANKS = " \t\n\x0b\x0c\r"
 SMALL = 64
 #: Standard deviations by which a scheme bears more than its bound.
 MARGIN = 5
 BINS = 256
-#: Members of a signature group that give all their pairs.
-ALL_PAIRS = 40
 BUCKET_SIGS = 1 << 20
 FLUSH_SIGS = 600_000
 #: Text bytes that are hashed at once.
 SLICE_BYTES = 400_000
-BLOCK = 512
+#: Members of a group that are compared with as many others in one task.
+BLOCK = 4096
+#: Rows of open groups that one task takes, unless it is one block.
+LUMP_ROWS = 1 << 16
 
 
 def sets(batch):
-    """For each slice of a batch: (doc_id column, hashes, borders): each document's distinct shingles, ascending."""
-    for rows, (h, doc) in _shingled(batch):
-        yield (rows.column("doc_id").combine_chunks(), *K.distinct(h, doc, len(rows)))
-
-
-def _shingled(batch):
-    """For each slice of a batch: (rows, (shingle hashes, document numbers))."""
+    """For each slice of a batch: (rows, hashes, borders): each document's distinct shingles, ascending."""
     for rows, buf, offs in K.pieces(batch, limit=SLICE_BYTES):
         a, b, first = K.words(buf, offs, K.SPACE_WORD)
-        yield rows, K.shingles(K.spans_hash(K.rolling(buf, lower=True), a, b), first, WORDS)
-
-
-def nodes(ids: pa.Array, sums: np.ndarray) -> np.ndarray:
-    """Node numbers: the doc_id, or a negative number made of the set where it is null."""
-    null = ids.is_null().to_numpy(zero_copy_only=False)
-    out = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    out[null] = -2 - (sums[null] >> np.uint64(2)).astype(np.int64)
-    return out
+        h, doc = K.shingles(K.spans_hash(K.rolling(buf, lower=True), a, b), first, WORDS)
+        yield (rows, *K.distinct(h, doc, len(rows)))
 
 
 def sums_of(h: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +66,12 @@ def sums_of(h: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tuple(np.diff(np.concatenate([[np.uint64(0)], np.cumsum(K.mix(h + np.uint64(c)), dtype=np.uint64)])[borders]) for c in (0x1234567, 0x9876543210))
 
 
+def nodes(h: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Node numbers: 63 bits of each set's two sums; equal sets have equal nodes."""
+    s1, s2 = sums_of(h, borders)
+    return ((s1 ^ K.mix(s2)) >> np.uint64(1)).astype(np.int64)
+
+
 @cache
 def bands(up_to: int) -> list[tuple[int, int]]:
     """Size bands (least, most): a set at least 3/4 as large as another lies in its band or the one before."""
@@ -203,11 +201,10 @@ def _emit(n_buckets: int):
         seen: set[int] = set()
         held, size = [], 0
         for batch in batches:
-            for ids, h, borders in sets(batch):
-                s1, s2 = sums_of(h, borders)
-                node = nodes(ids, s1)
+            for _, h, borders in sets(batch):
+                node = nodes(h, borders)
                 keep = np.zeros(len(node), bool)
-                for i, s in enumerate((s1 ^ K.mix(s2)).tolist()):
+                for i, s in enumerate(node.tolist()):
                     if borders[i + 1] > borders[i] and s not in seen:
                         keep[i] = True
                         seen.add(s)
@@ -286,40 +283,89 @@ def _allot(key, shared: pa.Table, facts: pa.Table) -> pa.Table:
     return _columns(rows, ["bucket", "groups", "nodes", "sizes", "asks"], [pa.int64(), *[pa.binary()] * 4])
 
 
-def _candidates(t: pa.Table) -> pa.Table:
-    """A bucket's groups -> rows (a, b, n, big): candidates, the signatures they share, and whether a large group is among these (a is its pivot)."""
+#: What an entry of a group says: its set asks; it may be linked with the pivot; the group has more members than two.
+ASKS, STAR, MANY = 1, 2, 4
+
+
+def _grouped(n_parts: int):
+    """A bucket's groups -> their members, dealt by node: (part, nodes, groups, pivots, flags)."""
+
+    def run(t):
+        cat = lambda c, w: np.concatenate([_unpack(x.as_py(), w) for x in t[c]]).view(np.int64)
+        gid, node, n, asks = cat("groups", 4), cat("nodes", 8), cat("sizes", 5), cat("asks", 1).astype(bool)
+        gid |= t["bucket"][0].as_py() << 32
+        order = np.lexsort((K.mix(node.view(np.uint64)), gid))
+        gid, node, n, asks = gid[order], node[order], n[order], asks[order]
+        start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
+        count = np.diff(np.append(start, len(gid)))
+        group = np.repeat(np.arange(len(start)), count)
+        first = start[group]
+        star = ((asks & (n <= n[first])) | (asks[first] & (n[first] <= n))) & (4 * np.minimum(n, n[first]) >= 3 * np.maximum(n, n[first]))
+        star &= first != np.arange(len(gid))
+        many = (count > 2)[group]
+        keep = np.flatnonzero((np.add.reduceat(asks, start) > 0)[group] & (star | many))
+        flags = asks[keep] * ASKS + star[keep] * STAR + many[keep] * MANY
+        rows = _deal(np.mod(node[keep], n_parts), (node[keep], 8), (gid[keep], 8), (node[first][keep], 8), (flags, 1))
+        return _columns(rows, ["part", "nodes", "groups", "pivots", "flags"], [pa.int64(), *[pa.binary()] * 4])
+
+    return run
+
+
+GROUPED = "part long, nodes binary, groups binary, pivots binary, flags binary"
+
+
+def _entries(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Nodes, groups, pivots and flags of a part's entries."""
+    widths = {"nodes": 8, "groups": 8, "pivots": 8, "flags": 1}
+    return tuple(np.concatenate([np.zeros(0, np.uint64), *[_unpack(x.as_py(), w) for x in t[c]]]).view(np.int64) for c, w in widths.items())
+
+
+def _stars(t: pa.Table) -> pa.Table:
+    """A part's entries -> rows (a, b, n): each pair of a pivot and a set once, with the signatures they share."""
+    node, _, pivot, flags = _entries(t)
+    ok = (flags & STAR) > 0
+    node, pivot = node[ok], pivot[ok]
+    order = np.lexsort((pivot, node))
+    a, b = pivot[order], node[order]
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    return pa.table([pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(new, len(a))))], names=["a", "b", "n"])
+
+
+def _labelled_groups(key, met: pa.Table, facts: pa.Table) -> pa.Table:
+    """A part's entries of larger groups with the components of their sets, dealt by bucket."""
+    node, gid, _, flags = _entries(met)
+    many = (flags & MANY) > 0
+    node, gid, flags = node[many], gid[many], flags[many]
+    names = facts["node"].to_numpy()
+    by = np.argsort(names)
+    at = by[np.searchsorted(names[by], node)] if len(node) else np.zeros(0, np.int64)
+    comp, n = facts["component"].to_numpy()[at], facts["n_shingles"].to_numpy()[at]
+    rows = _deal(gid >> 32, (gid, 8), (node, 8), (comp, 8), (n, 5), (flags & ASKS, 1))
+    return _columns(rows, ["bucket", "groups", "nodes", "comps", "sizes", "asks"], [pa.int64(), *[pa.binary()] * 5])
+
+
+LABELLED = "bucket long, groups binary, nodes binary, comps binary, sizes binary, asks binary"
+
+
+def _open(t: pa.Table) -> pa.Table:
+    """A bucket's groups -> the members of those with sets of several components; of groups with equal members one."""
     cat = lambda c, w: np.concatenate([_unpack(x.as_py(), w) for x in t[c]]).view(np.int64)
-    gid, node, size, asks = cat("groups", 4), cat("nodes", 8), cat("sizes", 5), cat("asks", 1).astype(bool)
-    order = np.lexsort((node, gid))
-    gid, node, size, asks = gid[order], node[order], size[order], asks[order]
-    start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1])) if len(gid) else np.zeros(0, np.int64)
+    gid, node, comp, n, asks = cat("groups", 8), cat("nodes", 8), cat("comps", 8), cat("sizes", 5), cat("asks", 1)
+    order = np.argsort(gid, kind="stable")
+    gid, node, comp, n, asks = gid[order], node[order], comp[order], n[order], asks[order]
+    start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
     count = np.diff(np.append(start, len(gid)))
-    some = np.add.reduceat(asks, start) > 0 if len(start) else np.zeros(0, bool)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    def add(x: np.ndarray, y: np.ndarray) -> None:
-        p, q = size[x], size[y]
-        ok = (asks[x] & (p <= q)) | (asks[y] & (q <= p))
-        ok &= 4 * np.minimum(p, q) >= 3 * np.maximum(p, q)
-        a.append(node[x[ok]])
-        b.append(node[y[ok]])
-
-    for g in np.unique(count[some & (count <= ALL_PAIRS)]).tolist():
-        rows = start[some & (count == g)][:, None] + np.arange(g)
-        i, j = np.triu_indices(g, 1)
-        add(rows[:, i].ravel(), rows[:, j].ravel())
-    many = some & (count > ALL_PAIRS)
-    pairs = sum(map(len, a))
-    s, c = start[many], count[many] - 1
-    a.append(np.repeat(node[s], c))
-    b.append(node[K.gather(s + 1, c)])
-    x, y = np.concatenate(a), np.concatenate(b)
-    big = np.arange(len(x)) >= pairs
-    order = np.lexsort((y, x))
-    x, y, big = x[order], y[order], big[order]
-    new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)])
-    n = np.diff(np.append(new, len(x)))
-    return pa.table([pa.array(x[new]), pa.array(y[new]), pa.array(n), pa.array(np.logical_or.reduceat(big, new) if len(new) else big)], names=["a", "b", "n", "big"])
+    several = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+    alike = np.add.reduceat(K.mix(node.view(np.uint64) * np.uint64(2) + asks.astype(np.uint64)), start) + count.astype(np.uint64)
+    _, one = np.unique(alike, return_index=True)
+    keep = np.zeros(len(start), bool)
+    keep[one] = True
+    rows = np.flatnonzero(np.repeat(keep & several, count))
+    size = np.repeat(count, count)[rows]
+    return pa.table([pa.array(x) for x in (gid[rows], size, node[rows], comp[rows], n[rows], asks[rows] > 0)], names=["gid", "size", "node", "component", "n_shingles", "asks"])
+
+
+OPEN = "gid long, size long, node long, component long, n_shingles long, asks boolean"
 
 
 def _verify(batches):
@@ -341,15 +387,17 @@ def _verify(batches):
 
 def _set_rows(batches):
     for batch in batches:
-        for ids, h, borders in sets(batch):
-            s1, _ = sums_of(h, borders)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes(ids, s1)), K.blobs(h, borders)], names=["node", "set"])
+        for _, h, borders in sets(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes(h, borders)), K.blobs(h, borders)], names=["node", "set"])
+
+
+ABOUT = "doc_id long, text_hash long, node long, n_shingles long, bears long, sketch binary, weak boolean"
 
 
 def _about(batches):
+    """(doc_id, text, text_hash) -> what is known of each document's set."""
     for batch in batches:
-        for ids, h, borders in sets(batch):
-            s1, s2 = sums_of(h, borders)
+        for rows, h, borders in sets(batch):
             n = np.diff(borders)
             doc = np.repeat(np.arange(len(n)), n)
             bins = np.bincount(doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=len(n) * BINS)
@@ -357,7 +405,8 @@ def _about(batches):
             *_, bears, weak = signatures(h, borders)
             is_weak = np.zeros(len(n), bool)
             is_weak[weak] = True
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(nodes(ids, s1)), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(bears), sketch, pa.array(is_weak)], names=["doc_id", "node", "n_shingles", "s1", "s2", "bears", "sketch", "weak"])
+            ids, texts = (rows.column(c).combine_chunks().cast(pa.int64()) for c in ("doc_id", "text_hash"))
+            yield pa.RecordBatch.from_arrays([ids, texts, pa.array(nodes(h, borders)), pa.array(n), pa.array(bears), sketch, pa.array(is_weak)], names=["doc_id", "text_hash", "node", "n_shingles", "bears", "sketch", "weak"])
 
 
 def _near(batches):
@@ -371,97 +420,103 @@ def _near(batches):
         yield batch.select(["a", "b", "n"]).filter(ok)
 
 
-def _blocks(t: pa.Table) -> pa.Table:
-    """Members of a cluster in two of its blocks -> pairs across components whose difference may be within the bound."""
-    block = t["block"].to_numpy()
-    i, j = t["i"][0].as_py(), t["j"][0].as_py()
-    node, comp, n = t["node"].to_numpy(), t["component"].to_numpy(), t["n_shingles"].to_numpy()
+def _across(t: pa.Table) -> pa.Table:
+    """Members of pairs (i, j) of blocks of groups -> pairs across components whose difference may be within the bound."""
+    unit = np.unique(np.stack([t[c].to_numpy() for c in ("gid", "i", "j")]), axis=1, return_inverse=True)[1]
+    order = np.argsort(unit, kind="stable")
+    t, unit = t.take(pa.array(order)), unit[order]
+    block, i, j, node, comp, n = (t[c].to_numpy() for c in ("block", "i", "j", "node", "component", "n_shingles"))
+    asks = t["asks"].to_numpy(zero_copy_only=False)
     sk = np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in t["sketch"]], np.int16).reshape(-1, BINS)
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for x in left.tolist():
-        y = right[(comp[right] != comp[x]) & (4 * np.minimum(n[right], n[x]) >= 3 * np.maximum(n[right], n[x]))]
-        if i == j:
-            y = y[node[y] > node[x]]
-        y = y[7 * np.abs(sk[y] - sk[x]).sum(1) <= n[y] + n[x]] if len(y) else y
-        a.append(np.full(len(y), node[x]))
-        b.append(node[y])
-    return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    seen: set[tuple[int, int]] = set()
+    for rows in np.split(np.arange(len(unit)), np.flatnonzero(unit[1:] != unit[:-1]) + 1):
+        left, right = rows[block[rows] == i[rows]], rows[block[rows] == j[rows]]
+        for x in left.tolist():
+            y = right[(comp[right] != comp[x]) & (4 * np.minimum(n[right], n[x]) >= 3 * np.maximum(n[right], n[x]))]
+            y = y[(asks[y] & (n[y] <= n[x])) | (asks[x] & (n[x] <= n[y]))]
+            y = y[7 * np.abs(sk[y] - sk[x]).sum(1) <= n[y] + n[x]] if len(y) else y
+            seen.update((min(node[x], z), max(node[x], z)) for z in node[y].tolist())
+    return _columns(sorted(seen), ["a", "b"], [pa.int64(), pa.int64()])
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, which name a row but for repeated ones."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
+
+def sets_of(texts: DataFrame, about: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, set of the nodes in ids, made from one text of each."""
+    one = about.join(ids.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    one = one.select(F.col("x.doc_id").alias("of_doc"), F.col("x.text_hash").alias("of_text")).distinct()
+    named = texts.join(one, texts["doc_id"].eqNullSafe(one["of_doc"]) & (texts["text_hash"] == one["of_text"]), "left_semi")
+    return scratch.settle(named.select("text").mapInArrow(_set_rows, "node long, set binary").dropDuplicates(["node"]), "sets")
 
 
 def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes, all of them linked, whose components are those of all links between different sets."""
-    texts = docs.select("doc_id", "text")
+    spark = docs.sparkSession
+    texts = hashed(docs)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, int(total) // 8 // BUCKET_SIGS + 1)
     n_parts = 2 * n_buckets + 1
     facts = scratch.settle(about.where("n_shingles > 2").groupBy("node").agg(*[F.min(c).alias(c) for c in ("n_shingles", "bears", "sketch")]), "facts")
-    sent = texts.mapInArrow(_emit(n_buckets), "bucket long, n long, sigs binary, nodes binary")
+    part = F.pmod("node", F.lit(n_parts)).alias("part")
+    sent = texts.select("doc_id", "text").mapInArrow(_emit(n_buckets), "bucket long, n long, sigs binary, nodes binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared(n_parts), "part long, nodes binary, groups binary, sizes binary, roles binary")
-    asked = facts.select(F.pmod("node", F.lit(n_parts)).alias("part"), "node", "n_shingles", "bears").groupBy("part")
+    asked = facts.select(part, "node", "n_shingles", "bears").groupBy("part")
     allotted = shared.groupBy("part").cogroup(asked).applyInArrow(_allot, "bucket long, groups binary, nodes binary, sizes binary, asks binary")
-    met = scratch.settle(allotted.groupBy("bucket").applyInArrow(_candidates, "a long, b long, n long, big boolean"), "met")
-    scratch.release(docs.sparkSession)
+    met = scratch.settle(allotted.groupBy("bucket").applyInArrow(_grouped(n_parts), GROUPED), "met")
+    scratch.release(spark)
 
     def of_node(x: str) -> DataFrame:
         return facts.select(F.col("node").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
-    paired = met.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    drawn = paired.join(of_node("a"), "a").join(of_node("b"), "b").where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
+    drawn = met.groupBy("part").applyInArrow(_stars, "a long, b long, n long").join(of_node("a"), "a").join(of_node("b"), "b")
     pairs = drawn.select("a", "b", "n", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long, n long")
     pairs = scratch.settle(pairs.withColumn("best", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")) == 1), "pairs")
+    rows = sets_of(texts, about, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
-    clusters = scratch.settle(components(met.where("big").select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
-    ids = reduce(DataFrame.unionByName, [pairs.select(F.col(c).alias("node")) for c in "ab"], clusters.select("node")).distinct()
-    wanted = about.join(ids, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    named = texts.join(wanted.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    if wanted.where("doc_id is null").limit(1).count():
-        named = named.unionByName(texts.where("doc_id is null"))
-    rows = scratch.settle(named.mapInArrow(_set_rows, "node long, set binary").dropDuplicates(["node"]), "sets")
-    scratch.release(docs.sparkSession)
-
-    def check(cand: DataFrame, name: str) -> DataFrame:
+    def check(cand: DataFrame, rows: DataFrame) -> DataFrame:
         left = cand.join(rows.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         full = left.join(rows.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        return scratch.settle(full.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "u long, v long"), name)
+        return scratch.settle(full.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "u long, v long"), "links")
 
-    first = check(pairs.where("best").select("a", "b"), "links")
+    first = check(pairs.where("best").select("a", "b"), rows)
     comp = scratch.settle(components(first), "components")
-    scratch.release(docs.sparkSession)
+    scratch.release(spark)
 
     def of(col: str) -> DataFrame:
         return comp.select(F.col("node").alias(col), F.col("component").alias(f"{col}_comp"))
 
     rest = pairs.where("not best").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b")
-    known = clusters.select("node", F.col("component").alias("gid")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = known.groupBy("gid").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid", "size")
-    members = known.join(split, "gid").join(facts.select("node", "n_shingles", "sketch"), "node").withColumn("n_blocks", (F.col("size") / BLOCK).cast("int") + 1)
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "sketch")
-    across = dealt.groupBy("gid", "i", "j").applyInArrow(_blocks, "a long, b long")
-    cand = rest.unionByName(across)
-    second = check(cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    known = facts.select("node", "n_shingles").join(comp, "node", "left").select(part, "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    dealt = met.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_labelled_groups, LABELLED)
+    undecided = scratch.settle(dealt.groupBy("bucket").applyInArrow(_open, OPEN), "open")
+    n_lumps = undecided.count() // LUMP_ROWS + 1
+    members = undecided.join(facts.select("node", "sketch"), "node").withColumn("n_blocks", (F.col("size") / BLOCK).cast("int") + 1)
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    members = members.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "asks", "sketch")
+    lumps = members.withColumn("lump", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(n_lumps))).groupBy("lump")
+    across = lumps.applyInArrow(_across, "a long, b long")
+    cand = scratch.settle(rest.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    scratch.release(spark)
+    more = cand.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(rows.select("node"), "node", "left_anti")
+    second = check(cand, rows.unionByName(sets_of(texts, about, more)))
     return reduce(DataFrame.unionByName, _weak_links(texts, about), first.unionByName(second))
 
 
-#: Shingles of weak documents that go out at once.
+#: Shingles of weak sets that go out at once.
 WEAK_SHINGLES = 2_000_000
 
 
 def _weak_links(texts: DataFrame, about: DataFrame) -> list[DataFrame]:
-    """Edges of the weak documents with all others, in blocks of weak documents of a fixed size, one pass over the texts each."""
+    """Edges of the weak sets with all others, in blocks of weak sets of a fixed size, one pass over the texts each."""
     weak = about.where("weak")
     if not weak.limit(1).count():
         return []
-    ids = weak.select("doc_id").distinct()
-    rows = texts.join(ids.where("doc_id is not null"), "doc_id", "left_semi")
-    if weak.where("doc_id is null").limit(1).count():
-        rows = rows.unionByName(texts.where("doc_id is null"))
-    sets_ = rows.mapInArrow(_set_rows, "node long, set binary").join(weak.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     blocks, held, size = [], [], 0
-    for r in scratch.settle(sets_, "weak").toLocalIterator():
+    for r in sets_of(texts, about, weak).toLocalIterator():
         held.append((r["node"], np.frombuffer(r["set"], np.uint64)))
         size += len(held[-1][1])
         if size >= WEAK_SHINGLES:
@@ -471,7 +526,7 @@ def _weak_links(texts: DataFrame, about: DataFrame) -> list[DataFrame]:
 
 
 def _against(texts: DataFrame, weak: list[tuple[int, np.ndarray]]) -> DataFrame:
-    """Edges between the weak sets and all documents, by exact counts."""
+    """Edges between the weak sets and all documents, by exact counts, settled."""
     token = np.concatenate([x for _, x in weak])
     owner = np.repeat(np.arange(len(weak)), [len(x) for _, x in weak])
     order = np.argsort(token, kind="stable")
@@ -480,58 +535,47 @@ def _against(texts: DataFrame, weak: list[tuple[int, np.ndarray]]) -> DataFrame:
     def run(batches):
         token, owner, names, sizes = shared.value
         for batch in batches:
-            for ids, h, borders in sets(batch):
-                s1, _ = sums_of(h, borders)
+            for _, h, borders in sets(batch):
                 lo, hi = np.searchsorted(token, h, "left"), np.searchsorted(token, h, "right")
                 doc = np.repeat(np.repeat(np.arange(len(borders) - 1), np.diff(borders)), hi - lo)
                 pair, both = np.unique(doc * len(names) + owner[K.gather(lo, hi - lo)], return_counts=True)
                 d, w = pair // len(names), pair % len(names)
                 ok = 100 * both >= 75 * (np.diff(borders)[d] + sizes[w] - both)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes(ids, s1)[d[ok]]), pa.array(names[w[ok]])], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes(h, borders)[d[ok]]), pa.array(names[w[ok]])], names=["u", "v"])
 
-    return texts.mapInArrow(run, "u long, v long").where("u <> v")
+    return scratch.settle(texts.select("text").mapInArrow(run, "u long, v long").where("u <> v").distinct(), "weak")
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles and component (the least node reached) of every document."""
-    about = scratch.settle(docs.select("doc_id", "text").mapInArrow(_about, "doc_id long, node long, n_shingles long, s1 long, s2 long, bears long, sketch binary, weak boolean"), "about")
-    found = links(docs, about)
-    full = about.where("n_shingles > 0")
-    least = full.groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("least"))
-    copies = full.join(least, ["s1", "s2", "n_shingles"]).select(F.col("node").alias("u"), F.col("least").alias("v"))
-    comp = scratch.settle(components(found.unionByName(copies)), "components")
-    alone = about.where("n_shingles = 0").select("doc_id", "node", "n_shingles", F.col("node").alias("component"))
-    reached = full.join(comp, "node", "left").select("doc_id", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    return reached.unionByName(alone)
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Settled: (doc_id, text_hash, n_shingles, component) of every document with words; each component's least (doc_id, text_hash), nulls last."""
+    about = scratch.settle(hashed(docs).mapInArrow(_about, ABOUT), "about")
+    comp = scratch.settle(components(links(docs, about)), "components")
+    reached = about.where("n_shingles > 0").select("doc_id", "text_hash", "node", "n_shingles").join(comp, "node", "left")
+    rows = scratch.settle(reached.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "node").alias("component")), "labels")
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
+    return rows, scratch.settle(least.select("component", "x.doc_id", "x.text_hash"), "least")
+
+
+def without_words(docs: DataFrame) -> DataFrame:
+    """The documents with a null text or none but white space."""
+    return docs.where(F.translate(F.coalesce("text", F.lit("")), BLANKS, "") == "")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    rows = _labelled(docs)
-    # the least node is the least doc_id, but where documents without doc_id are in the component
-    names = rows.where("component < 0 and n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = rows.join(names, "component", "left")
-    label = F.when((F.col("component") < 0) & (F.col("n_shingles") > 0), F.col("least")).when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", label.alias("component_id"))
+    rows, least = _labelled(docs)
+    named = rows.join(least.select("component", F.col("doc_id").alias("component_id")), "component").select("doc_id", "n_shingles", "component_id")
+    alone = without_words(docs).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return named.unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without those that follow another one of their component in doc_id order.
 
-    Documents without words all stay; of documents without doc_id that have a component for themselves one stays.
+    Documents without words all stay; of rows with equal doc_id and text one stays.
     """
-    rows = scratch.settle(_labelled(docs), "labels")
-    with_words = rows.where("n_shingles > 0 and node = component").select("node").distinct()
-    nothing = rows.where("n_shingles = 0").select("node").distinct()
-
-    def add_node(batches):
-        for batch in batches:
-            for part, h, borders in ((r, *K.distinct(*x, len(r))) for r, x in _shingled(batch)):
-                out = part.append_column("__node", pa.array(nodes(part.column("doc_id").combine_chunks(), sums_of(h, borders)[0])))
-                yield from out.to_batches()
-
-    some = docs.where("doc_id is not null").withColumn("__node", F.col("doc_id"))
-    if docs.where("doc_id is null").limit(1).count():
-        some = some.unionByName(docs.where("doc_id is null").mapInArrow(add_node, some.schema))
-    first = some.join(with_words.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"])
-    return first.unionByName(some.join(nothing.withColumnRenamed("node", "__node"), "__node", "left_semi")).select(*docs.columns)
+    _, least = _labelled(docs)
+    first = least.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"))
+    some = docs.where(F.translate("text", BLANKS, "") != "").withColumn("__text", F.xxhash64("text"))
+    kept = some.join(first, some["doc_id"].eqNullSafe(first["__doc"]) & (some["__text"] == first["__hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns).unionByName(without_words(docs))
