@@ -13,7 +13,7 @@ than b signatures with every linked larger set, so it need not ask with its b mo
 buckets; what is shared goes back to its sets, which say with what they ask. In each group of sets that share an asked
 signature the member with the least hash is the pivot, at every size of the group, and only pairs with a pivot become
 candidates, each once: as many as members at most. Count vectors over BINS hash ranges bound the difference from
-below; what is left is verified exactly on the sets, first each set with the pivot that it shares most with. A group
+below; what is left is verified exactly on the sets. A group
 whose members all came into one component is done. Of the others, members of different components are compared by
 count vectors inside a task, in blocks of BLOCK members, and only pairs within the bound leave it, to be verified.
 Nothing is capped: every pair that shares an asked signature is verified, out of bounds, or joined already.
@@ -30,7 +30,7 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -44,13 +44,15 @@ SMALL = 64
 MARGIN = 5
 BINS = 256
 BUCKET_SIGS = 1 << 20
-FLUSH_SIGS = 600_000
+FLUSH_SIGS = 1_000_000
 #: Text bytes that are hashed at once.
 SLICE_BYTES = 400_000
 #: Members of a group that are compared with as many others in one task.
 BLOCK = 4096
 #: Rows of open groups that one task takes, unless it is one block.
 LUMP_ROWS = 1 << 16
+#: Rows of two longs that are broadcast at most, about 40 MB.
+BROADCAST_ROWS = 1 << 19
 
 
 def sets(batch):
@@ -181,7 +183,10 @@ def _unpack(raw: bytes, width: int) -> np.ndarray:
 
 
 def _emit(n_buckets: int):
-    """Documents -> (bucket, n, sigs, nodes): each task sends each distinct set once."""
+    """Documents -> (bucket, sigs, at, nodes): each task sends each distinct set once.
+
+    sigs ascend and are sent as differences; at says which of the row's nodes each belongs to.
+    """
 
     def flush(sig, node, role):
         bucket = ((sig >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
@@ -190,12 +195,11 @@ def _emit(n_buckets: int):
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = np.append(cut[1:], len(sig))
         low = ((sig & np.uint64((1 << 44) - 1)) << np.uint64(1)) | role  # the role in the lowest bit
-        rows = [[], [], [], []]
+        rows = []
         for a, b in zip(cut.tolist(), ends.tolist()):
-            x = node[a:b].astype(np.int64).view(np.uint64)
-            for r, v in zip(rows, (int(bucket[a]), b - a, _pack(low[a:b], 6), _pack(x, 8))):
-                r.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["bucket", "n", "sigs", "nodes"])
+            own, at = np.unique(node[a:b], return_inverse=True)
+            rows.append((int(bucket[a]), _pack(np.diff(low[a:b], prepend=np.uint64(0)), 6), _pack(at.astype(np.uint64), 3), _pack(own.view(np.uint64), 8)))
+        return _columns(rows, ["bucket", "sigs", "at", "nodes"], [pa.int64(), *[pa.binary()] * 3]).combine_chunks().to_batches()[0]
 
     def run(batches):
         seen: set[int] = set()
@@ -230,9 +234,9 @@ def _columns(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def _deal(key: np.ndarray, *columns: tuple[np.ndarray, int]) -> list[tuple]:
-    """Rows (key, packed columns): the rows of each key together; columns with their widths in bytes."""
-    order = np.argsort(key, kind="stable")
+def _deal(key: np.ndarray, by: np.ndarray, *columns: tuple[np.ndarray, int]) -> list[tuple]:
+    """Rows (key, packed columns): the rows of each key together, ordered by `by`; columns with their widths in bytes."""
+    order = np.lexsort((by, key))
     key = key[order]
     cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(key))
@@ -244,8 +248,8 @@ def _shared(n_parts: int):
     """A bucket's signatures -> what several sets share, dealt by node: (part, nodes, groups, sizes, roles)."""
 
     def run(key, t):
-        low = np.concatenate([_unpack(x.as_py(), 6) for x in t["sigs"]])
-        node = np.concatenate([_unpack(x.as_py(), 8).view(np.int64) for x in t["nodes"]])
+        low = np.concatenate([np.cumsum(_unpack(x.as_py(), 6), dtype=np.uint64) for x in t["sigs"]])
+        node = np.concatenate([_unpack(x.as_py(), 8).view(np.int64)[_unpack(at.as_py(), 3).view(np.int64)] for x, at in zip(t["nodes"], t["at"])])
         sig, role = low >> np.uint64(1), (low & np.uint64(1)).astype(np.int64)
         order = np.lexsort((node, sig))
         sig, node, role = sig[order], node[order], role[order]
@@ -257,7 +261,7 @@ def _shared(n_parts: int):
         several = size[group] >= 2
         node, role, group = node[several], role[several], group[several]
         gid = (key[0].as_py() << 32) | group
-        rows = _deal(np.mod(node, n_parts), (node, 8), (gid, 8), (size[group], 5), (role, 1))
+        rows = _deal(np.mod(node, n_parts), node, (node, 8), (gid, 8), (size[group], 5), (role, 1))
         return _columns(rows, ["part", "nodes", "groups", "sizes", "roles"], [pa.int64(), *[pa.binary()] * 4])
 
     return run
@@ -279,7 +283,7 @@ def _allot(key, shared: pa.Table, facts: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
     rank = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
     asks = (role == 1) & (rank >= bears - bound(n) - 1)
-    rows = _deal(gid >> 32, (gid & 0xFFFFFFFF, 4), (node, 8), (n, 5), (asks, 1))
+    rows = _deal(gid >> 32, node, (gid & 0xFFFFFFFF, 4), (node, 8), (n, 5), (asks, 1))
     return _columns(rows, ["bucket", "groups", "nodes", "sizes", "asks"], [pa.int64(), *[pa.binary()] * 4])
 
 
@@ -305,7 +309,7 @@ def _grouped(n_parts: int):
         many = (count > 2)[group]
         keep = np.flatnonzero((np.add.reduceat(asks, start) > 0)[group] & (star | many))
         flags = asks[keep] * ASKS + star[keep] * STAR + many[keep] * MANY
-        rows = _deal(np.mod(node[keep], n_parts), (node[keep], 8), (gid[keep], 8), (node[first][keep], 8), (flags, 1))
+        rows = _deal(np.mod(node[keep], n_parts), node[keep], (node[keep], 8), (gid[keep], 8), (node[first][keep], 8), (flags, 1))
         return _columns(rows, ["part", "nodes", "groups", "pivots", "flags"], [pa.int64(), *[pa.binary()] * 4])
 
     return run
@@ -321,14 +325,14 @@ def _entries(t: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def _stars(t: pa.Table) -> pa.Table:
-    """A part's entries -> rows (a, b, n): each pair of a pivot and a set once, with the signatures they share."""
+    """A part's entries -> rows (a, b): each pair of a pivot and a set once."""
     node, _, pivot, flags = _entries(t)
     ok = (flags & STAR) > 0
     node, pivot = node[ok], pivot[ok]
     order = np.lexsort((pivot, node))
     a, b = pivot[order], node[order]
     new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
-    return pa.table([pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(new, len(a))))], names=["a", "b", "n"])
+    return pa.table([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
 
 def _labelled_groups(key, met: pa.Table, facts: pa.Table) -> pa.Table:
@@ -340,7 +344,7 @@ def _labelled_groups(key, met: pa.Table, facts: pa.Table) -> pa.Table:
     by = np.argsort(names)
     at = by[np.searchsorted(names[by], node)] if len(node) else np.zeros(0, np.int64)
     comp, n = facts["component"].to_numpy()[at], facts["n_shingles"].to_numpy()[at]
-    rows = _deal(gid >> 32, (gid, 8), (node, 8), (comp, 8), (n, 5), (flags & ASKS, 1))
+    rows = _deal(gid >> 32, node, (gid, 8), (node, 8), (comp, 8), (n, 5), (flags & ASKS, 1))
     return _columns(rows, ["bucket", "groups", "nodes", "comps", "sizes", "asks"], [pa.int64(), *[pa.binary()] * 5])
 
 
@@ -417,7 +421,7 @@ def _near(batches):
         x, y = (np.array([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(c)], np.int16) for c in ("sketch_a", "sketch_b"))
         size = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
         ok = pa.array(7 * np.abs(x - y).sum(1) <= size)
-        yield batch.select(["a", "b", "n"]).filter(ok)
+        yield batch.select(["a", "b"]).filter(ok)
 
 
 def _across(t: pa.Table) -> pa.Table:
@@ -444,10 +448,16 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
 
+def few(names: DataFrame) -> DataFrame:
+    """The settled names, to be broadcast where they are BROADCAST_ROWS at most: then the texts need not move."""
+    return F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+
+
 def sets_of(texts: DataFrame, about: DataFrame, ids: DataFrame) -> DataFrame:
     """node, set of the nodes in ids, made from one text of each."""
     one = about.join(ids.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
     one = one.select(F.col("x.doc_id").alias("of_doc"), F.col("x.text_hash").alias("of_text")).distinct()
+    one = few(scratch.settle(one, "named"))
     named = texts.join(one, texts["doc_id"].eqNullSafe(one["of_doc"]) & (texts["text_hash"] == one["of_text"]), "left_semi")
     return scratch.settle(named.select("text").mapInArrow(_set_rows, "node long, set binary").dropDuplicates(["node"]), "sets")
 
@@ -461,7 +471,7 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     n_parts = 2 * n_buckets + 1
     facts = scratch.settle(about.where("n_shingles > 2").groupBy("node").agg(*[F.min(c).alias(c) for c in ("n_shingles", "bears", "sketch")]), "facts")
     part = F.pmod("node", F.lit(n_parts)).alias("part")
-    sent = texts.select("doc_id", "text").mapInArrow(_emit(n_buckets), "bucket long, n long, sigs binary, nodes binary")
+    sent = texts.select("doc_id", "text").mapInArrow(_emit(n_buckets), "bucket long, sigs binary, at binary, nodes binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared(n_parts), "part long, nodes binary, groups binary, sizes binary, roles binary")
     asked = facts.select(part, "node", "n_shingles", "bears").groupBy("part")
     allotted = shared.groupBy("part").cogroup(asked).applyInArrow(_allot, "bucket long, groups binary, nodes binary, sizes binary, asks binary")
@@ -471,9 +481,9 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     def of_node(x: str) -> DataFrame:
         return facts.select(F.col("node").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
-    drawn = met.groupBy("part").applyInArrow(_stars, "a long, b long, n long").join(of_node("a"), "a").join(of_node("b"), "b")
-    pairs = drawn.select("a", "b", "n", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long, n long")
-    pairs = scratch.settle(pairs.withColumn("best", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")) == 1), "pairs")
+    drawn = met.groupBy("part").applyInArrow(_stars, "a long, b long").join(of_node("a"), "a").join(of_node("b"), "b")
+    near = drawn.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long")
+    pairs = scratch.settle(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     rows = sets_of(texts, about, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     def check(cand: DataFrame, rows: DataFrame) -> DataFrame:
@@ -481,15 +491,10 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
         full = left.join(rows.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return scratch.settle(full.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "u long, v long"), "links")
 
-    first = check(pairs.where("best").select("a", "b"), rows)
+    first = check(pairs, rows)
     comp = scratch.settle(components(first), "components")
     scratch.release(spark)
 
-    def of(col: str) -> DataFrame:
-        return comp.select(F.col("node").alias(col), F.col("component").alias(f"{col}_comp"))
-
-    rest = pairs.where("not best").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b")
     known = facts.select("node", "n_shingles").join(comp, "node", "left").select(part, "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     dealt = met.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_labelled_groups, LABELLED)
     undecided = scratch.settle(dealt.groupBy("bucket").applyInArrow(_open, OPEN), "open")
@@ -499,7 +504,7 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     members = members.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "asks", "sketch")
     lumps = members.withColumn("lump", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(n_lumps))).groupBy("lump")
     across = lumps.applyInArrow(_across, "a long, b long")
-    cand = scratch.settle(rest.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    cand = scratch.settle(across.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     scratch.release(spark)
     more = cand.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(rows.select("node"), "node", "left_anti")
     second = check(cand, rows.unionByName(sets_of(texts, about, more)))
@@ -575,7 +580,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Documents without words all stay; of rows with equal doc_id and text one stays.
     """
     _, least = _labelled(docs)
-    first = least.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"))
+    first = few(least.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")))
     some = docs.where(F.translate("text", BLANKS, "") != "").withColumn("__text", F.xxhash64("text"))
     kept = some.join(first, some["doc_id"].eqNullSafe(first["__doc"]) & (some["__text"] == first["__hash"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns).unionByName(without_words(docs))
