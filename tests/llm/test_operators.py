@@ -300,6 +300,63 @@ def test_quality_outliers(spark):
     assert {x["doc_id"] for x in kept.collect()} == set(range(300))
 
 
+def numpy_mcd(x, floor, rng, tries=200):
+    """Least log determinant, centre and covariance (floor added) of half the rows, from many random starts."""
+    h, best = (len(x) + 1) // 2, None
+    for _ in range(tries):
+        m, c = (y := x[rng.choice(len(x), 6, replace=False)]).mean(0), np.cov(y.T, bias=True) + np.diag(floor) ** 2
+        for _ in range(40):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            y = x[np.argsort(d, kind="stable")[:h]]
+            m, c = y.mean(0), np.cov(y.T, bias=True) + np.diag(floor) ** 2
+        det = np.linalg.slogdet(c)[1]
+        if best is None or det < best[0]:
+            best = det, m, c
+    return best
+
+
+@pytest.mark.parametrize("groups_limit", [quality.GROUPS, 0])
+def test_quality_mcd_equals_numpy(spark, monkeypatch, groups_limit):
+    """Centre, covariance and determinant of contaminated groups against numpy's best of many starts; both joins."""
+    monkeypatch.setattr(quality, "GROUPS", groups_limit)
+    rng = np.random.default_rng(4)
+    mix = np.array([[0.5, 0.1, 0, 0.2], [0, 0.4, 0.1, 0], [0, 0, 0.6, 0], [0, 0, 0, 0.3]])
+    data = {}
+    for g, (n, bad) in enumerate([(400, 120), (300, 0), (250, 50)]):
+        x = rng.normal(size=(n, 4)) @ mix
+        x[:bad] = rng.normal(size=(bad, 4)) * 0.2 + [3, -2, 4, 1]
+        data["g%d" % g] = x
+    rows = spark.createDataFrame([("en", g, *map(float, v)) for g, x in data.items() for v in x], "g0 string, g1 string, x0 double, x1 double, x2 double, x3 double")
+    got = {r["g1"]: r for r in quality.least_determinants(scratch.settle(rows, "t"))[0].collect()}
+    for g, x in data.items():
+        det, m, c = numpy_mcd(x, np.array(quality.FLOOR), rng)
+        r = got[g]
+        assert r["n"] == len(x) and r["det"] < det + 0.05
+        mine = np.array([[r[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)]) + np.diag(quality.FLOOR) ** 2
+        d = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        ref = c * max(1.0, np.median(d(m, c)) / quality.CHI2_MEDIAN)
+        centre = np.array([r[f"m{i}"] for i in range(4)])
+        assert np.abs(centre - m).max() < 0.1 and np.abs(mine / np.sqrt(np.outer(np.diag(ref), np.diag(ref))) - ref / np.sqrt(np.outer(np.diag(ref), np.diag(ref)))).max() < 0.2
+        ours, theirs = d(centre, mine) <= quality.CUTOFF, d(m, ref) <= quality.CUTOFF
+        assert (ours != theirs).mean() <= 0.01
+
+
+def test_quality_small_groups_and_ties(spark):
+    """A group of one row leans on its language; equal rows get equal verdicts; all rows null or short give no verdict."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(r.randint(60, 200))), "en", "s%d" % (i % 3)) for i in range(150)]
+    junk = " ".join(word() + "###" for _ in range(100))
+    rows += [(200, rows[0][1], "en", "alone"), (201, junk, "en", "odd"), (202, rows[1][1], None, None), *[(300, rows[2][1], "en", "s0")] * 20]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = collections.defaultdict(set)
+    for x in quality.judge(df).collect():
+        got[x["doc_id"]].add(x["kept"])
+    assert got[201] == {False} and all(got[i] == {True} for i in [*range(150), 200, 202, 300])
+    none = spark.createDataFrame([(1, None, None, None), (2, "few words", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert [(x["base_failed"], x["kept"], x["d"]) for x in quality.judge(none).collect()] == [(True, False, None)] * 2
+
+
 def test_quality_is_native(docs):
     plan = quality.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
