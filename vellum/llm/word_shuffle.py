@@ -6,7 +6,8 @@ distinct word of the whole table is encoded once; ids go back to (block, slot),
 together by position. Decoding looks ids up in the broadcast token-byte table (as many rows as the vocabulary).
 
 `docs` must be a plan that gives the same rows in each partition when it runs again (a table scan is), as words and
-positions come from two runs over it; each block's digest of its words is compared, and a difference is an error.
+positions come from two runs over it; each run gives a digest of each block's words in their order, and where the
+two differ, or a block is in one run only, it is an error.
 
 Edge cases: a null or empty text has 0 tokens and the hash of no bytes; repeated rows give a row each; a null
 doc_id stays null; an empty table gives an empty result; other columns of the input are not read.
@@ -28,9 +29,12 @@ from . import bpe, units
 from . import kernels as K
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: A block takes no further words beyond this; the task then begins another.
-BLOCK_WORDS = 1 << 20
+#: A block takes no further text beyond so many words or bytes; the task then begins another.
+BLOCK_WORDS, BLOCK_BYTES = 1 << 20, 64 << 20
+#: Distinct words whose ids a task keeps at most; beyond, it forgets them and encodes again what comes again.
+KNOWN_WORDS = 1 << 20
 TEXT_BYTES = 2_000_000
+IDS = ["block", "slots", "sizes", "ids", "digest"]
 _state: dict[str, object] = {}
 
 
@@ -110,11 +114,16 @@ class Slots:
                 won = self.key[where] == h[todo]
                 self.slot[where[won]] = slots[won]
                 todo, slots = todo[~won], slots[~won]
+            place = np.arange(self.n, self.n + len(new), dtype=np.uint64)
+            self.sum = (self.sum + int(np.sum(K.mix(h[new] + K.mix(place + np.uint64(1))), dtype=np.uint64))) & K.MASK
             self.n += len(new)
-            self.sum = (self.sum + int(np.bitwise_xor.reduce(h[new])) * self.n) & K.MASK
             at = self._at(h)
         return self.slot[at], new
 
+    def digest(self) -> bytes:
+        """Of the words in their order."""
+        return b"%d %d" % (self.n, self.sum)
+
     def _at(self, h: np.ndarray) -> np.ndarray:
         last = (1 << self.BITS) - 1
         at = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
@@ -142,11 +151,12 @@ def _unplanes(raw: bytes) -> np.ndarray:
 
 def _walk(batches, pattern: str):
     """For each slice of a task's texts: (block, slots of the block, rows, texts, borders, slot of each word, new words)."""
-    part, block, slots = TaskContext.get().partitionId(), 0, Slots()
+    part, block, slots, size = TaskContext.get().partitionId(), 0, Slots(), 0
     for batch in batches:
         for rows, buf, offs in K.pieces(batch, limit=TEXT_BYTES):
-            if slots.n > BLOCK_WORDS:
-                block, slots = block + 1, Slots()
+            if slots.n > BLOCK_WORDS or size > BLOCK_BYTES:
+                block, slots, size = block + 1, Slots(), 0
+            size += len(buf)
             borders = pretokens(buf, offs, pattern)
             h = K.spans_hash(K.rolling(buf), borders[:-1], borders[1:]) if len(borders) > 1 else np.zeros(0, np.uint64)
             slot, new = slots.add(h)
@@ -158,24 +168,44 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     spark, texts = docs.sparkSession, docs.select("doc_id", "text")
 
     def to_words(batches):
+        """New words of each slice; after each block a row without a word, its digest in its place."""
+
+        def end(block: int, slots: Slots) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), pa.array([slots.digest()], pa.binary())], names=["block", "slot", "word"])
+
+        last = None
         for block, slots, _, buf, _, borders, _, new in _walk(batches, pattern):
+            if last and last[0] != block:
+                yield end(*last)
+            last = block, slots
             lens = (borders[1:] - borders[:-1])[new] if len(new) else np.zeros(0, np.int64)
             words = K.blobs(buf[K.gather(borders[:-1][new], lens)], np.concatenate([[0], np.cumsum(lens)]))
             first = slots.n - len(new)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), block)), pa.array(np.arange(first, slots.n, dtype=np.int32)), words], names=["block", "slot", "word"])
+        if last:
+            yield end(*last)
 
     def to_docs(batches):
         for block, slots, rows, _, offs, borders, slot, _ in _walk(batches, pattern):
             n = np.diff(np.searchsorted(borders, offs, "left")).astype("<u4")
             col = rows.column("doc_id").combine_chunks()
             ids, null = col.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), col.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-            vals = [block, ids.tobytes(), null.tobytes(), n.tobytes(), _planes(slot), slots.n, slots.sum >> 1]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(vals, [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()])], names=["block", "doc_ids", "null_ids", "counts", "slots", "n_words", "digest"])
+            vals = [block, ids.tobytes(), null.tobytes(), n.tobytes(), _planes(slot), slots.n, slots.digest()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(vals, [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()])], names=["block", "doc_ids", "null_ids", "counts", "slots", "n_words", "digest"])
 
     def to_ids(batches):
         """A partition has all rows of its words: each is encoded once, and its ids go back to every (block, slot)."""
         enc, known = encoding(path, pattern), {}
         for batch in batches:
+            is_end = pc.less(batch.column("slot"), 0)
+            ends, batch = batch.filter(is_end), batch.filter(pc.invert(is_end))
+            if len(ends):
+                none = pa.nulls(len(ends), pa.binary())
+                yield pa.RecordBatch.from_arrays([ends.column("block"), none, none, none, ends.column("word").cast(pa.binary())], names=IDS)
+            if not len(batch):
+                continue
+            if len(known) > KNOWN_WORDS:
+                known.clear()
             coded = batch.column("word").dictionary_encode()
             got = []
             for w in coded.dictionary.to_pylist():
@@ -195,7 +225,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 c = code[x:y]
                 for o, v in zip(out, (int(blocks[x]), _planes(slots[x:y]), _planes(size[c]), _planes(flat[K.gather(start[c], size[c])]))):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(o, pa.binary()) for o in out[1:]]], names=["block", "slots", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(o, pa.binary()) for o in out[1:]], pa.nulls(len(out[0]), pa.binary())], names=IDS)
 
     vocabulary = ranks(path)
     table: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
@@ -206,6 +236,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens = shared.value
         n = max(pc.max(left["n_words"]).as_py() or 0, 0) if len(left) else 0
+        here = {d for k, d in zip(left["n_words"].to_pylist(), left["digest"].to_pylist()) if k == n}
+        there = set(right["digest"].drop_null().to_pylist())
+        if len(here) != 1 or here != there:
+            raise ValueError("the table gave other rows when it was read again")
+        right = right.filter(pc.is_null(right["digest"]))
         size, texts_, raws = np.zeros(n, np.int64), [b""] * n, [b""] * n
         for s, z, i in zip(right["slots"], right["sizes"], right["ids"]):
             slots, sizes, ids = _unplanes(s.as_py()), _unplanes(z.as_py()), _unplanes(i.as_py()).tolist()
@@ -236,6 +271,6 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     words = texts.mapInArrow(to_words, "block long, slot int, word binary")
-    ids = words.repartition("word").mapInArrow(to_ids, "block long, slots binary, sizes binary, ids binary")
-    positions = texts.mapInArrow(to_docs, "block long, doc_ids binary, null_ids binary, counts binary, slots binary, n_words long, digest long")
+    ids = words.repartition("word").mapInArrow(to_ids, "block long, slots binary, sizes binary, ids binary, digest binary")
+    positions = texts.mapInArrow(to_docs, "block long, doc_ids binary, null_ids binary, counts binary, slots binary, n_words long, digest binary")
     return positions.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(together, SCHEMA)
