@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from vellum.llm import fingerprints, jaccard, licenses, packing, quality, rans, scratch, suffixes, token_counts, word_shuffle
@@ -459,18 +463,46 @@ def test_rans_files(docs, empty, rows):
     known = [r for r in {r[:2]: r for r in rows}.values() if r[0] is not None]
     out = scratch.fresh(spark, "files")
     path = P.path("word_bpe_49k.json")
-    book = rans.write(spark.createDataFrame(known, SCHEMA), path, out, 2)
+    rans.write(spark.createDataFrame(known, SCHEMA), path, out, 2)
     want, start = [], 0
     for row in sorted(known):
         ids = [*library("word_bpe_49k.json", row[1]), 2]
         want.append((row[0], start, len(ids), crc(ids)))
         start += len(ids)
-    same(rans.read(spark, out, book), want, "doc_id", "start", "n_tokens", "ids_crc32")
-    assert rans.read(spark, out, book).count() == len(known)
+    same(rans.read(spark, out), want, "doc_id", "start", "n_tokens", "ids_crc32")
+    assert rans.read(spark, out).count() == len(known)
+    everything = [i for row in sorted(known) for i in [*library("word_bpe_49k.json", row[1]), 2]]
+    for first, last in ((0, 5), (17, len(everything) - 3), (len(everything) - 1, len(everything) + 10)):
+        runs = sorted((r["start"], r["ids"]) for r in rans.read_ids(spark, out, first, last).collect())
+        assert runs[0][0] == first and np.frombuffer(b"".join(x for _, x in runs), "<u4").tolist() == everything[first:last]
+    own = """import sys; from vellum.session import session; from vellum.llm import rans
+s = session("local[2]", spark__ui__enabled="false"); print("ROWS", sorted(map(tuple, rans.read(s, sys.argv[1]).collect())))"""
+    said = subprocess.run([sys.executable, "-c", own, out], capture_output=True, text=True, timeout=300, env={k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_LOCAL_DIRS", "_PYSPARK"))})
+    assert said.stdout.rpartition("ROWS ")[2].strip() == str(sorted(want)), said.stderr[-500:]
+    blocks = spark.read.schema(rans.BLOCKS).parquet(f"{out}/blocks").collect()
+    book = rans.codebook(spark, out)
+    for field in ("n_docs", "n_ids", "doc_ids", "null_ids", "lengths", "states", "words", "crc"):
+        row = blocks[0].asDict()
+        row[field] = row[field] + 1 if isinstance(row[field], int) else bytes([row[field][0] ^ 1]) + bytes(row[field][1:])
+        with pytest.raises(ValueError):
+            list(rans.checked(pa.RecordBatch.from_pylist([row]), book.crc))
+    row = dict(zip(["version", "scale_bits", "lanes", "step_rows", "ids", "freqs", "crc"], book.row()))
+    for field in ("version", "ids", "freqs", "crc"):
+        bad = row | {field: row[field] + 1 if isinstance(row[field], int) else bytes(row[field][:4]) + bytes([row[field][4] ^ 1]) + bytes(row[field][5:])}
+        with pytest.raises(ValueError):
+            rans.Codebook.of_row(bad)
+    repeated = [(7, "some text"), (7, "some text"), (7, "other text"), (None, "a"), (None, "a"), (None, None)]
+    for table in (docs, spark.createDataFrame(repeated, "doc_id long, text string")):
+        out = scratch.fresh(spark, "files")
+        rans.write(table, path, out, 2)
+        got = rans.read(spark, out, keep_ids=True).collect()
+        texts = collections.Counter((r["doc_id"], tuple(library("word_bpe_49k.json", r["text"]))) for r in table.collect())
+        assert collections.Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist()[:-1])) for r in got) == texts
+        ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
+        assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
     out = scratch.fresh(spark, "files")
-    assert rans.read(spark, out, rans.write(docs, path, out, 2)).count() == len(rows)
-    out = scratch.fresh(spark, "files")
-    assert rans.read(spark, out, rans.write(empty, path, out, 2)).count() == 0
+    rans.write(empty, path, out, 2)
+    assert rans.read(spark, out).count() == 0
 
 
 def test_rans_checkpoints_and_checksums():
@@ -480,15 +512,13 @@ def test_rans_checkpoints_and_checksums():
     book = rans.Codebook(values, counts)
     assert int(book.freq.sum()) == 1 << rans.SCALE_BITS
     states, marks, words = rans.encode_block(ids, book, lanes=16, step=100)
-    check = zlib.crc32(words)
-    assert np.array_equal(rans.decode_block(states, marks, words, len(ids), check, book, lanes=16, step=100), ids)
-    for row in (100, 777, 1249):
-        part = rans.decode_block(states, marks, words, len(ids), check, book, row, lanes=16, step=100)
-        assert np.array_equal(part, ids[row // 100 * 100 * 16 :])
+    at, got = rans.decode_block(states, marks, words, len(ids), book, lanes=16, step=100)
+    assert at == 0 and np.array_equal(got, ids)
+    for first, last in ((1600, None), (12433, 12500), (19999, 20000), (5, 6)):
+        at, part = rans.decode_block(states, marks, words, len(ids), book, first, last, lanes=16, step=100)
+        assert at == first // 1600 * 1600 and np.array_equal(part, ids[at:last])
     p = counts / counts.sum()
     assert len(words) * 8 < 1.02 * -(p * np.log2(p)).sum() * len(ids) + 16 * 64
-    with pytest.raises(ValueError):
-        rans.decode_block(states, marks, b"x" + words[1:], len(ids), check, book, lanes=16, step=100)
 
 
 def test_word_shuffle(settled, empty, rows):
@@ -502,6 +532,30 @@ def test_word_shuffle(settled, empty, rows):
     assert word_shuffle.encode_decode(empty, path, P.PATTERN).count() == 0
 
 
+def test_word_shuffle_in_small_blocks(settled, rows, monkeypatch):
+    """Blocks cut by bytes, and words forgotten and encoded again, give the same rows."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    whole = sorted(map(str, word_shuffle.encode_decode(settled, path, P.PATTERN).collect()))
+    for name, value in (("TEXT_BYTES", 200), ("BLOCK_BYTES", 1000), ("KNOWN_WORDS", 3)):
+        monkeypatch.setattr(word_shuffle, name, value)
+    assert sorted(map(str, word_shuffle.encode_decode(settled, path, P.PATTERN).collect())) == whole
+
+
+def test_word_shuffle_notices_other_rows(spark):
+    """A table that gives other words, or the same in another order, when it is read again is an error."""
+
+    def changing(batches):
+        words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+        random.SystemRandom().shuffle(words)
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words)])], names=["doc_id", "text"])
+
+    for seed in range(3):  # equal orders in both runs have a chance of 1 in 720 each time
+        df = spark.range(1).coalesce(1).mapInArrow(changing, "doc_id long, text string")
+        with pytest.raises(Exception, match="other rows"):
+            word_shuffle.encode_decode(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
+
+
 ALPHABET = [" ", "  ", "\n", "\t", "\r\n", "a", "Bc", "'s", "'ll", "1", "23", "<|endoftext|>", "<|", " ", "é", "é", "中", "!", "...", "\x1c", " ", "İ", "Σ", "\u0085", "­", "²", "ß", "É"]
 
 

@@ -47,9 +47,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch.fresh(spark, "token-files")
-    book = rans.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out, end_id=2)
+    rans.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out, end_id=2)
     scratch.release(spark)
-    return rans.read(spark, out, book)
+    return rans.read(spark, out)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
