@@ -190,11 +190,11 @@ def _emit(n_buckets: int):
 
     def flush(sig, node, role):
         bucket = ((sig >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-        order = np.lexsort((sig, bucket))
-        sig, node, role, bucket = sig[order], node[order], role[order], bucket[order]
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        ends = np.append(cut[1:], len(sig))
         low = ((sig & np.uint64((1 << 44) - 1)) << np.uint64(1)) | role  # the role in the lowest bit
+        order = np.lexsort((low, bucket))
+        low, node, bucket = low[order], node[order], bucket[order]
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        ends = np.append(cut[1:], len(low))
         rows = []
         for a, b in zip(cut.tolist(), ends.tolist()):
             own, at = np.unique(node[a:b], return_inverse=True)
