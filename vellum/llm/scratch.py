@@ -6,13 +6,20 @@ import gc
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A column of placed(): a hash of the row's file and its number there.
+PLACE = "__place"
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only where none is configured (tests)."""
+    """The shared folder of this session; a temporary one only where none is configured and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,6 +38,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df with PLACE, the same for a row whenever the plan runs; rows that are not read from files are settled first."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(PLACE)
+    try:
+        return df.select("*", place)
+    except AnalysisException:
+        return settle(df, "rows").select("*", place)
+
+
 def drop(spark: SparkSession, df_or_path) -> None:
     """Remove a settled table that is no longer read."""
     jvm = spark._jvm

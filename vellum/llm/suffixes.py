@@ -13,6 +13,9 @@ decide, its undecided strings are counted by hash over all parts, which no group
 With `words`, passages are so many words, whatever their bytes: the same search runs over texts in which each word is
 WORD_BYTES bytes of its hash, and words whose bytes all go take the white space between them along.
 
+Documents are dealt to parts by the place of their rows in the input's files, so repeated rows spread like others; an
+input that is not read from files is written once first. All passes see the same rows in the same parts.
+
 Edge cases: null or empty text: 0 bytes, nothing removed; rows may repeat and doc_ids may be null or equal, a row each
 comes out; texts shorter than `length` keep all; an empty table gives an empty result; other columns are not read.
 """
@@ -525,11 +528,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, keep_te
         k = min(k, length)
     spark = docs.sparkSession
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] * with_row
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *rest)
+    texts = scratch.placed(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *rest, scratch.PLACE)
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n_parts = max(1, -(-total // part_bytes))
     n_buckets = max(1, -(-total // (length // 3) // BUCKET_ANCHORS))
-    parted = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)))
+    parted = texts.withColumn("part", F.pmod(F.col(scratch.PLACE), F.lit(n_parts))).drop(scratch.PLACE)
     sent = parted.select("part", "text").mapInArrow(_kmers(n_buckets, length, k, by_word), "bucket long, part long, hashes binary, twice binary")
     repeated = scratch.settle(sent.groupBy("bucket").applyInArrow(_repeated, "part long, blob binary"), "kmers")
     runs = parted.select("doc_id", "text", "part").groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_contexts(n_buckets, length, k, by_word), "bucket long, part long, run binary")
