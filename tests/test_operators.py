@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from vellum.engine import Engine
 from vellum.functions import text as X
-from vellum.operators import bundle, chunks, federation, graph, incremental, links, records, registry, search
+from vellum.operators import bundle, chunks, federation, graph, incremental, links, records, registry, search, temporal
 from vellum.operators.memory import Memory
 from vellum.operators.records import Field, Predicate, ValidationError
 
@@ -36,9 +38,27 @@ def test_sections(spark):
     assert got == [("e", 0, "", "Empty"), ("p", 0, "", "intro"), ("p", 1, "Section A", "text a"), ("p", 2, "Section B", "text b")]
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_pagerank_mass_and_hub(spark, monkeypatch, small):
-    monkeypatch.setattr(graph, "SMALL_EDGES", small)
+@pytest.mark.parametrize("step", [temporal.STEP, 4])
+def test_drift_and_staleness(spark, monkeypatch, step):
+    """Against counts by hand, also where a file's commits fall into many steps, with repeated commits and bindings."""
+    monkeypatch.setattr(temporal, "STEP", step)
+    r = random.Random(2)
+    docs = [(f"d{r.randrange(8)}", r.randrange(60)) for _ in range(25)]
+    files = [(f"f{r.randrange(5)}", r.randrange(60)) for _ in range(150)]
+    bind = [(f"d{r.randrange(9)}", f"f{r.randrange(6)}") for _ in range(30)]
+    status = {f"d{i}": "Implemented" if i % 2 else "Draft" for i in range(9)}
+    last = {d: max(s for x, s in docs if x == d) for d, _ in docs}
+    after = lambda d, fs: len({s for f, s in files if f in fs and s > last[d]})
+    drifted = {(d, f, after(d, {f})) for d, f in bind if d in last and after(d, {f})}
+    sets = {d: {f for x, f in bind if x == d} for d, _ in bind if d in last}
+    stale = {(d, after(d, fs)) for d, fs in sets.items() if status[d] == "Implemented" and after(d, fs)}
+    feed = lambda x: spark.createDataFrame(x, "path string, seq long")
+    b = spark.createDataFrame(bind, "doc string, file string")
+    assert {tuple(x) for x in temporal.drift(feed(docs), b, feed(files)).collect()} == drifted
+    assert {tuple(x) for x in temporal.stale(feed(docs), b, feed(files), spark.createDataFrame(list(status.items()), "doc string, status string")).collect()} == stale
+
+
+def test_pagerank_mass_and_hub(spark):
     nodes = spark.createDataFrame([(k,) for k in ("hub", "a", "b", "c", "alone")], "key string")
     edges = spark.createDataFrame([("hub", "a"), ("a", "hub"), ("b", "hub"), ("c", "hub"), ("b", "missing")], "src string, dst string")
     s = {r["key"]: r["score"] for r in graph.pagerank(nodes, edges).collect()}

@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 ITERATIONS, DAMPING = 30, 0.85
 #: Iterations after which the ranks are written, so that neither lineage nor plan grows without bound.
 CUT = 10
-#: Up to so many neighbour pairs a graph is ranked in one task; beyond, by joins.
-SMALL_EDGES = 400_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir (a temporary one only where none is set)."""
+    """A new path in the folder of spark.checkpoint.dir (a temporary one only where none is set and the master is local)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
@@ -41,9 +41,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     """(key, score). Undirected, neighbours distinct, a fixed number of iterations; the mass of nodes without neighbours
     and the damping go to the restart vector: uniform, or the seeds (key, with multiplicity) that are nodes.
 
-    Adjacency is written once with its degrees. A graph of at most SMALL_EDGES pairs is then ranked in one task, as the
-    count shows that it fits there; beyond that an iteration is one join and one aggregation. The mass D of nodes
-    without neighbours needs none: they get restart mass only, so D' = (1 - d + d * D) * (their share of the restart).
+    Adjacency is written once with its degrees; an iteration is one join and one aggregation, at every size. The mass D
+    of nodes without neighbours needs none: they get restart mass only, so D' = (1 - d + d * D) * (their share of the
+    restart).
     """
     iterations = iterations if iterations > 0 else ITERATIONS
     damping = damping if 0 < damping < 1 else DAMPING
@@ -58,43 +58,20 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
         restart = nodes.withColumn("r", F.lit(1.0 / max(count, 1)))
     else:
         restart = nodes.join(valid.groupBy("key").agg((F.count("*") / F.lit(total)).alias("r")), "key", "left").na.fill({"r": 0.0})
-    base = _written(restart.join(degree.withColumnRenamed("src", "key"), "key", "left").select("key", "r", F.coalesce("deg", F.lit(0)).alias("deg")), "nodes")
-    adjacency = _written(both.join(degree, "src"), "adjacency")
-    if adjacency.count() <= SMALL_EDGES and base.count() <= SMALL_EDGES:
-        one = F.lit(0).alias("one")
-        return base.select(one, "*").groupBy("one").cogroup(adjacency.select(one, "src", "dst").groupBy("one")).applyInArrow(_ranked_at_once(iterations, damping), "key string, score double")
+    base = written(restart.join(degree.withColumnRenamed("src", "key"), "key", "left").select("key", "r", F.coalesce("deg", F.lit(0)).alias("deg")), "nodes")
+    adjacency = written(both.join(degree, "src"), "adjacency")
     alone = base.where("deg = 0").agg(F.sum("r")).first()[0] or 0.0
-    rank, loose = base.select("key", F.col("r").alias("p"), "r", "deg"), alone
+    rank, loose = base.select("key", F.col("r").alias("p")), alone
     for i in range(iterations):
-        given = adjacency.join(rank.select(F.col("key").alias("src"), "p"), "src").groupBy(F.col("dst").alias("key")).agg(F.sum(F.col("p") / F.col("deg")).alias("got"))
-        score = damping * F.coalesce("got", F.lit(0.0)) + ((1 - damping) + damping * loose) * F.col("r")
-        rank = base.join(given, "key", "left").select("key", score.alias("p"), "r", "deg")
+        given = adjacency.join(rank.withColumnRenamed("key", "src"), "src").select(F.col("dst").alias("key"), (damping * F.col("p") / F.col("deg")).alias("x"))
+        restarted = base.select("key", (((1 - damping) + damping * loose) * F.col("r")).alias("x"))
+        rank = given.unionByName(restarted).groupBy("key").agg(F.sum("x").alias("p"))
         loose = ((1 - damping) + damping * loose) * alone
         if (i + 1) % CUT == 0 and i + 1 < iterations:
-            rank = _written(rank, "rank")
+            rank = written(rank, "rank")
     return rank.select("key", F.col("p").alias("score"))
 
 
-def _ranked_at_once(iterations: int, damping: float):
-    """The same iteration over arrays, for a graph of bounded size."""
-
-    def run(nodes, edges):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        keys = nodes["key"].combine_chunks()
-        src, dst = (pc.index_in(edges[c], keys).to_numpy() for c in ("src", "dst"))
-        r, deg = nodes["r"].to_numpy(), nodes["deg"].to_numpy()
-        p, n = r.copy(), len(keys)
-        for _ in range(iterations):
-            given = np.bincount(dst, (p / np.maximum(deg, 1))[src], n)
-            p = damping * given + (1 - damping + damping * p[deg == 0].sum()) * r
-        return pa.table([keys, pa.array(p)], names=["key", "score"])
-
-    return run
-
-
 def neighbors(nodes: DataFrame, edges: DataFrame, start: str, hops: int) -> DataFrame:
     """Keys at most `hops` steps from start, without start."""
     both = undirected(edges)

@@ -10,31 +10,36 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 
+from .graph import written
+
 K1, B, RRF_K, POOL = 1.2, 0.75, 60, 5
 WEIGHTS = {"title": 2.0, "tags": 1.0, "heading": 1.5, "body": 1.0}
 LEAST_IDF = 1e-6
 
 
-def _times(words: Column, term: str) -> Column:
-    """How often the term is among the words."""
-    return F.size(F.filter(words, lambda x: x == term))
+def _words_and_hits(text: Column, asked: list[str]) -> Column:
+    """(n, hits): number of words and those that are asked; the words are made once a row."""
+    return F.transform(F.array(X.terms(text)), lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(asked)).alias("hits")))[0]
 
 
 def bm25(chunks: DataFrame, query: str, keys: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """Chunks that hold a query term, with their BM25 score; repeated terms score repeatedly.
 
-    Postings are never exploded: each row counts its own hits, and document frequencies and the mean length come from
-    one aggregation to a single row, used as scalar subqueries. The second pass scores only rows with a hit.
+    Postings are never exploded: each row counts its own hits. Texts are read and split once; the narrow rows (keys,
+    length, counts) are written, document frequencies and the mean length come from one aggregation over them to a
+    single row, used as a scalar subquery, and only rows with a hit are scored.
     """
     weights = weights or {c: w for c, w in WEIGHTS.items() if c in chunks.columns}
     asked = X.query_terms(query)
     if not asked:
         return chunks.select(*keys, F.lit(0.0).alias("score")).limit(0)
     distinct = list(dict.fromkeys(asked))
-    counted = chunks.select(*keys, *[X.terms(F.coalesce(F.col(c) if dict(chunks.dtypes)[c] == "string" else F.array_join(c, " "), F.lit(""))).alias(f"__{c}") for c in weights])
-    hits = [reduce(lambda a, b: a + b, [_times(F.col(f"__{c}"), t) * F.lit(w) for c, w in weights.items()]) for t in distinct]
-    length = reduce(lambda a, b: a + b, [F.size(f"__{c}") for c in weights])
-    rows = counted.select(*keys, length.alias("__len"), *[h.alias(f"__tf{i}") for i, h in enumerate(hits)])
+    whole = lambda c: F.coalesce(F.col(c) if dict(chunks.dtypes)[c] == "string" else F.array_join(c, " "), F.lit(""))
+    counted = chunks.select(*keys, *[_words_and_hits(whole(c), distinct).alias(f"__{c}") for c in weights])
+    times = lambda c, t: F.size(F.filter(F.col(f"__{c}.hits"), lambda x: x == t))
+    hits = [reduce(lambda a, b: a + b, [times(c, t) * F.lit(w) for c, w in weights.items()]) for t in distinct]
+    length = reduce(lambda a, b: a + b, [F.col(f"__{c}.n") for c in weights])
+    rows = written(counted.select(*keys, length.alias("__len"), *[h.alias(f"__tf{i}") for i, h in enumerate(hits)]), "terms")
     stats = rows.agg(F.count("*").alias("n"), F.avg("__len").alias("mean"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
     idf = [F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF)) for i in range(len(distinct))]
     one = stats.select(F.struct(F.col("mean"), *[x.alias(f"idf{i}") for i, x in enumerate(idf)]).alias("s")).scalar()

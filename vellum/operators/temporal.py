@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vellum.functions import text as X
 
 JACCARD_FLOOR, PER_ANCHOR, TOTAL, LEAST_TOKENS, SCORE_FLOOR, RECALL = 0.12, 3, 20, 2, 0.012, 8
+#: Consecutive commit numbers that one task sorts at most.
+STEP = 1 << 16
 
 
 def since(feed: DataFrame, cursor: int | None, seq: str = "seq") -> DataFrame:
@@ -82,14 +84,44 @@ def last_changes(feed: DataFrame) -> DataFrame:
     return feed.groupBy("path").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
 
 
+def _commits_after(points: DataFrame, commits: DataFrame) -> DataFrame:
+    """points (k, at) with commits: how many distinct numbers seq of (k, seq) are above at. No point meets a commit.
+
+    Numbers fall into steps of STEP. The commits of later steps come from running totals over a key's steps, those of
+    the point's own step from one sort of at most STEP numbers and the points there; a hot key spreads over its steps.
+    """
+    step = lambda c: F.floor(F.col(c) / STEP)
+    seen = commits.select("k", "seq").distinct().withColumn("step", step("seq"))
+    asked = points.select("k", F.col("at").alias("seq")).distinct().withColumn("step", step("seq"))
+    lone = asked.groupBy("k", "step").agg(F.lit(0).cast("long").alias("n"))
+    totals = seen.groupBy("k", "step").agg(F.count("*").alias("n")).unionByName(lone).groupBy("k", "step").agg(F.sum("n").alias("n"))
+    later = totals.withColumn("later", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("k", "step", "later")
+    both = seen.withColumn("own", F.lit(1)).unionByName(asked.withColumn("own", F.lit(0)))
+    above = F.coalesce(F.sum("own").over(Window.partitionBy("k", "step").orderBy(F.desc("seq"), "own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = both.withColumn("above", above).where("own = 0").select("k", "seq", "step", "above")
+    counted = within.join(later, ["k", "step"]).select("k", F.col("seq").alias("at"), (F.col("above") + F.col("later")).alias("commits"))
+    return points.join(counted, ["k", "at"]).where("commits > 0")
+
+
 def drift(doc_feed: DataFrame, bindings: DataFrame, file_feed: DataFrame) -> DataFrame:
-    """(doc, file, commits): distinct commits to a bound file after the document's last one; a document without commits never drifts.
+    """(doc, file, commits): distinct commits to a bound file after the document's last one; a document without commits never drifts."""
+    last = doc_feed.groupBy(F.col("path").alias("doc")).agg(F.max("seq").alias("at"))
+    points = bindings.select("doc", F.col("file").alias("k")).distinct().join(last, "doc")
+    return _commits_after(points, file_feed.select(F.col("path").alias("k"), "seq")).select("doc", F.col("k").alias("file"), "commits")
+
+
+def stale(doc_feed: DataFrame, bindings: DataFrame, file_feed: DataFrame, status: DataFrame) -> DataFrame:
+    """K5: (doc, commits): distinct commits to any bound file after the last one of a document of status Implemented.
 
-    The range condition rides on an equi-join by file; the documents' last commits come from one aggregation.
+    Documents with the same set of files share its commits, so each set meets its files' commits once.
     """
-    last = doc_feed.groupBy(F.col("path").alias("doc")).agg(F.max("seq").alias("last_seq"))
-    moved = bindings.select("doc", "file").distinct().join(last, "doc").join(file_feed.select(F.col("path").alias("file"), "seq"), "file").where("seq > last_seq")
-    return moved.groupBy("doc", "file").agg(F.countDistinct("seq").alias("commits"))
+    last = doc_feed.groupBy(F.col("path").alias("doc")).agg(F.max("seq").alias("at"))
+    live = bindings.join(status.where("status = 'Implemented'").select("doc"), "doc", "left_semi").join(last, "doc")
+    files = live.groupBy("doc", "at").agg(F.sort_array(F.collect_set("file")).alias("files"))
+    points = files.select("doc", "at", "files", F.sha2(F.to_json("files"), 256).alias("k"))
+    sets = points.groupBy("k").agg(F.first("files").alias("files")).select("k", F.explode("files").alias("file"))
+    commits = sets.join(file_feed.select(F.col("path").alias("file"), "seq").distinct(), "file")
+    return _commits_after(points.select("doc", "at", "k"), commits).select("doc", "commits")
 
 
 def governed(docs: DataFrame, files: DataFrame) -> DataFrame:

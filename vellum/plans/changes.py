@@ -75,15 +75,15 @@ def digest_by_area(spark, d):
     return TP.digest(TP.since(feed(spark, d), None)).select("area", "n")
 
 
-#: Lines with cues, made of the conversations: a word of the text and a fixed phrase for each turn.
-LINES = r"""cued AS (SELECT 'talk/'||conv_id||'-'||turn||'.md' AS path, '# head todo'||chr(10)||CASE turn % 4 WHEN 0 THEN 'TODO check ' WHEN 1 THEN 'we decided on ' WHEN 2 THEN 'This is no longer ' ELSE '- [ ] ' END||regexp_replace(substring(text, 1, 24), '[\n\r\s]+', ' ', 'g')||chr(10)||'plain words'||chr(10)||CASE WHEN turn % 4 = 1 THEN 'never mind the knot' ELSE 'I will go' END AS body FROM conversations WHERE text IS NOT NULL)"""
+#: Lines with cues, made of the conversations: the whole text after a fixed phrase for each turn.
+LINES = r"""cued AS (SELECT 'talk/'||conv_id||'-'||turn||'.md' AS path, '# head todo'||chr(10)||CASE turn % 4 WHEN 0 THEN 'TODO check ' WHEN 1 THEN 'we decided on ' WHEN 2 THEN 'This is no longer ' ELSE '- [ ] ' END||regexp_replace(coalesce(text, ''), '[\n\r\s]+', ' ', 'g')||chr(10)||'plain words'||chr(10)||CASE WHEN turn % 4 = 1 THEN 'never mind the knot' ELSE 'I will go' END AS body FROM conversations)"""
 
 
-def cued(spark, d, chars=None):
+def cued(spark, d):
     turn = F.col("turn") % 4
     lead = F.when(turn == 0, "TODO check ").when(turn == 1, "we decided on ").when(turn == 2, "This is no longer ").otherwise("- [ ] ")
-    body = F.concat(F.lit("# head todo\n"), lead, F.regexp_replace(F.substring("text", 1, chars) if chars else F.col("text"), r"[\n\r\s]+", " "), F.lit("\nplain words\n"), F.when(turn == 1, "never mind the knot").otherwise("I will go"))
-    return T.table(spark, d, "conversations").where("text is not null").select(F.concat(F.lit("talk/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".md")).alias("path"), body.alias("body"))
+    body = F.concat(F.lit("# head todo\n"), lead, F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r\s]+", " "), F.lit("\nplain words\n"), F.when(turn == 1, "never mind the knot").otherwise("I will go"))
+    return T.table(spark, d, "conversations").select(F.concat(F.lit("talk/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".md")).alias("path"), body.alias("body"))
 
 
 BODY_LINES = r"lines AS (SELECT path, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line_no, trim(unnest(string_split(body, chr(10)))) AS line FROM cued)"
@@ -91,7 +91,7 @@ BODY_LINES = r"lines AS (SELECT path, generate_subscripts(string_split(body, chr
 
 @query("commitments", rf"WITH {LINES}, {BODY_LINES} SELECT path, CAST(line_no AS INT) AS line_no, line FROM lines WHERE line <> '' AND line NOT LIKE '#%' AND regexp_matches(line, '(?i)(\btodo\b|\bfixme\b|\bi''ll\b|\bi will\b|\bneed to\b|\[ \])')")
 def commitments(spark, d):
-    return TP.commitments(cued(spark, d, 24))
+    return TP.commitments(cued(spark, d))
 
 
 def _cue_sql(cues: list[str]) -> str:
@@ -140,7 +140,7 @@ OPPOSED = f"""{ANCHORS}, tk AS (SELECT path, line_no, line, coalesce(rev, ass) A
 
 @query("contradictions", f"WITH {OPPOSED} SELECT path_a, path_b, line_a, line_b, cue, array_to_string(shared, ' ') AS shared, round(jaccard, 9) AS jaccard FROM one ORDER BY one.jaccard DESC, path_a, path_b, line_a, line_b LIMIT 20")
 def contradictions(spark, d):
-    a = TP.anchors(cued(spark, d, 24))
+    a = TP.anchors(cued(spark, d))
     found = TP.contradictions(TP.opposed(a, a))
     return found.select("path_a", "path_b", "line_a", "line_b", "cue", F.array_join("shared", " ").alias("shared"), F.round("jaccard", 9).alias("jaccard"))
 
@@ -177,13 +177,15 @@ def commit_distance_drift(spark, d):
     return TP.drift(*_bound(spark, d))
 
 
-@query("stale_docs", f"WITH {BOUND} SELECT doc, count(DISTINCT f.seq) AS commits FROM bind JOIN last ON last.path = doc JOIN files f ON f.path = file WHERE f.seq > last_seq AND doc LIKE '%2' GROUP BY 1")
+STATUS = "status AS (SELECT 'user-'||user_id AS doc, CASE max_by(event_type, event_id) WHEN 'purchase' THEN 'Implemented' ELSE 'Draft' END AS status FROM events GROUP BY 1)"
+
+
+@query("stale_docs", f"WITH {BOUND}, {STATUS} SELECT doc, count(DISTINCT f.seq) AS commits FROM bind JOIN last ON last.path = doc JOIN status USING (doc) JOIN files f ON f.path = file WHERE f.seq > last_seq AND status = 'Implemented' GROUP BY 1")
 def stale_docs(spark, d):
-    """Stale are only documents of status Implemented; here those whose path ends in 2."""
-    docs, bind, files = _bound(spark, d)
-    bind = bind.where(F.col("doc").endswith("2"))
-    last = docs.groupBy(F.col("path").alias("doc")).agg(F.max("seq").alias("last_seq"))
-    return bind.join(last, "doc").join(files.withColumnRenamed("path", "file"), "file").where("seq > last_seq").groupBy("doc").agg(F.countDistinct("seq").alias("commits"))
+    """Of all documents those of status Implemented, here those whose last event is a purchase."""
+    e = T.table(spark, d, "events")
+    status = e.groupBy(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("doc")).agg(F.when(F.max_by("event_type", "event_id") == "purchase", "Implemented").otherwise("Draft").alias("status"))
+    return TP.stale(*_bound(spark, d), status)
 
 
 @query("governs_glob_match", f"WITH {NOTES} SELECT 'plan-'||lang||'.md' AS path, p AS pattern, count(*) AS files FROM (SELECT *, unnest(['docs/src1/'||lang||'/*.md', 'docs/*/'||lang||'/1?.md', 'docs/src[23]/'||lang||'/?.md']) AS p FROM (SELECT DISTINCT lang FROM notes)) g JOIN notes n ON regexp_full_match(n.path, replace(replace(replace(p, '.', '\\.'), '*', '[^/]*'), '?', '[^/]')) AND n.lang = g.lang GROUP BY 1, 2".replace("SELECT 'plan-'||lang", "SELECT 'plan-'||g.lang"))

@@ -57,13 +57,11 @@ def bundle_provenance(spark, d):
     return _items(spark, d).select("path", F.array_join("provenance", ",").alias("provenance"))
 
 
-@query("bundle_pack", f"WITH {NOTES}, l AS (SELECT row_number() OVER (ORDER BY path) AS rank, path, '- '||substring(body, 1, 100 + (doc_id % 50)::INT) AS line FROM notes WHERE lang = 'de' QUALIFY rank <= 40), t AS (SELECT *, sum(floor(strlen(line) / 4)) OVER (ORDER BY rank) AS tokens FROM l) SELECT CAST(rank AS INT) AS rank, path, CAST(tokens AS BIGINT) AS tokens FROM t WHERE tokens <= 700")
+@query("bundle_pack", f"WITH {NOTES}, l AS (SELECT row_number() OVER (ORDER BY path) AS rank, path, '- '||coalesce(body, '') AS line FROM notes), t AS (SELECT *, sum(floor(strlen(line) / 4)) OVER (ORDER BY rank) AS tokens FROM l) SELECT CAST(rank AS INT) AS rank, path, CAST(tokens AS BIGINT) AS tokens FROM t WHERE tokens <= 28000")
 def bundle_pack(spark, d):
-    n = T.document_notes(spark, d).where("get_json_object(frontmatter, '$.lang') = 'de'")
-    cut = F.substring(F.col("body"), F.lit(1), (100 + F.col("doc_id") % 50).cast("int"))
-    first = n.select("path", F.concat(F.lit("- "), cut).alias("line")).orderBy("path").limit(40)
-    ranked = S.ranked(first.withColumn("score", F.lit(0)), ["path"]).drop("score")
-    return BU.packed(ranked, 1000).select("rank", "path", "tokens")
+    """Whole bodies of all notes by path. A line has a token or more in all but texts of two bytes, so what can fit is cut by the budget first."""
+    n = T.document_notes(spark, d).select("path", F.concat(F.lit("- "), F.coalesce("body", F.lit(""))).alias("line"))
+    return BU.packed(BU.within(n, ["path"], 40_000), 40_000).select("rank", "path", "tokens")
 
 
 @query("check_duplicate_names", f"WITH {NOTES}, p AS (SELECT 'a/'||lang||'/'||(doc_id % 400)||'.md' AS path FROM notes) SELECT 'warn' AS severity, 'duplicate-name' AS kind, min(path) AS path, count(*)||' notes named '||split_part(path, '/', 3) AS detail FROM p GROUP BY split_part(path, '/', 3) HAVING count(*) > 1")
