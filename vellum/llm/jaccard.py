@@ -453,9 +453,14 @@ def few(names: DataFrame) -> DataFrame:
     return F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
 
 
-def sets_of(texts: DataFrame, about: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, set of the nodes in ids, made from one text of each."""
-    one = about.join(ids.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+def names_of(about: DataFrame) -> DataFrame:
+    """node and x, the least (doc_id, text_hash) with this set: copies meet in a partial aggregation, not in a join."""
+    return about.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+
+
+def sets_of(texts: DataFrame, names: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, set of the nodes in ids, made from one text of each; names: node and x, the (doc_id, text_hash) of that text."""
+    one = names.select("node", "x").join(ids.select("node").distinct(), "node", "left_semi")
     one = one.select(F.col("x.doc_id").alias("of_doc"), F.col("x.text_hash").alias("of_text")).distinct()
     one = few(scratch.settle(one, "named"))
     named = texts.join(one, texts["doc_id"].eqNullSafe(one["of_doc"]) & (texts["text_hash"] == one["of_text"]), "left_semi")
@@ -469,7 +474,7 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, int(total) // 8 // BUCKET_SIGS + 1)
     n_parts = 2 * n_buckets + 1
-    facts = scratch.settle(about.where("n_shingles > 2").groupBy("node").agg(*[F.min(c).alias(c) for c in ("n_shingles", "bears", "sketch")]), "facts")
+    facts = scratch.settle(about.where("n_shingles > 2").groupBy("node").agg(*[F.min(c).alias(c) for c in ("n_shingles", "bears", "sketch")], F.min(F.struct("doc_id", "text_hash")).alias("x")), "facts")
     part = F.pmod("node", F.lit(n_parts)).alias("part")
     sent = texts.select("doc_id", "text").mapInArrow(_emit(n_buckets), "bucket long, sigs binary, at binary, nodes binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared(n_parts), "part long, nodes binary, groups binary, sizes binary, roles binary")
@@ -484,7 +489,7 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     drawn = met.groupBy("part").applyInArrow(_stars, "a long, b long").join(of_node("a"), "a").join(of_node("b"), "b")
     near = drawn.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long")
     pairs = scratch.settle(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    rows = sets_of(texts, about, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    rows = sets_of(texts, facts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     def check(cand: DataFrame, rows: DataFrame) -> DataFrame:
         left = cand.join(rows.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
@@ -507,7 +512,7 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame:
     cand = scratch.settle(across.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     scratch.release(spark)
     more = cand.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(rows.select("node"), "node", "left_anti")
-    second = check(cand, rows.unionByName(sets_of(texts, about, more)))
+    second = check(cand, rows.unionByName(sets_of(texts, facts, more)))
     return reduce(DataFrame.unionByName, _weak_links(texts, about), first.unionByName(second))
 
 
@@ -521,7 +526,7 @@ def _weak_links(texts: DataFrame, about: DataFrame) -> list[DataFrame]:
     if not weak.limit(1).count():
         return []
     blocks, held, size = [], [], 0
-    for r in sets_of(texts, about, weak).toLocalIterator():
+    for r in sets_of(texts, names_of(weak), weak).toLocalIterator():
         held.append((r["node"], np.frombuffer(r["set"], np.uint64)))
         size += len(held[-1][1])
         if size >= WEAK_SHINGLES:
