@@ -18,6 +18,25 @@ def test_blocks_of_broken_markup():
     assert blocks("") == [] and blocks("<p></p>") == []
 
 
+def test_broken_markup_takes_linear_time():
+    """A megabyte of unclosed tags, quotes, comments, nested or hidden elements: seconds each, not hours."""
+    import time
+
+    for piece in ("<b ", '<a "', "<a '", '<a ">', "<!-- ", "<![CDATA[", "<div>x", "<script>", "<svg>x", "<", "</p", "<li>x", "<p class='", "</x>y"):
+        page = piece * (1_000_000 // len(piece))
+        t = time.perf_counter()
+        blocks(page)
+        assert time.perf_counter() - t < 60, piece
+    assert [b.text for b in blocks('<p title="open>One</p><p>Two</p>')] == ["One", "Two"]
+    assert [b.text for b in blocks('<p title="a>b">One</p><p>Two</p><p x="')] == ["One", "Two"] + ['<p x="']
+
+
+def test_head_without_end():
+    found = blocks("<html><head><title>no</title><meta charset=x><link href=y><body><p>One</p>")
+    assert [b.text for b in found] == ["One"]
+    assert [b.text for b in blocks("<head><style>p{}</style><p>Two")] == ["Two"]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in labeller.start(rng).items()}
