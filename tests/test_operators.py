@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.engine import Engine
 from vellum.functions import text as X
-from vellum.operators import bundle, chunks, federation, graph, incremental, links, records, registry, search, temporal
+from vellum.operators import bundle, chunks, federation, graph, incremental, links, lint, records, registry, search, temporal
 from vellum.operators.memory import Memory
 from vellum.operators.records import Field, Predicate, ValidationError
 
@@ -213,3 +213,19 @@ def test_anchors_of_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {tuple(r) for r in catalog.QUERIES["anchors_classify"](spark, str(tmp_path)).collect()}
     assert got == {("talk/1-0.md", 1, "decided", False), ("talk/1-2.md", 1, "no longer", True), ("talk/2-3.md", 1, "no longer", True)}
+
+
+def test_graph_report_and_export(spark):
+    nodes = spark.createDataFrame([(k,) for k in ("hub", "a", "b", "alone")], "key string")
+    resolved = spark.createDataFrame([("a", "hub"), ("b", "hub"), ("b", None)], "src string, dst string")
+    scores = graph.pagerank(nodes, resolved.where("dst is not null"))
+    got = lint.graph_report(nodes, resolved, nodes.where("key = 'alone'"), scores, 2).collect()
+    assert [x.asDict() for x in got] == [{"notes": 4, "links": 2, "broken": 1, "orphans": 1, "top": "hub,a"}]
+    lines = {x["json"] for x in lint.graph_json(nodes, resolved.where("dst is not null")).collect()}
+    assert '{"key":"hub"}' in lines and '{"src":"a","dst":"hub"}' in lines and len(lines) == 6
+    docs = spark.createDataFrame([("note", "c"), ("adr", "b"), ("spec", "a"), (None, "d"), ("adr", "a")], "type string, path string")
+    assert [tuple(x) for x in lint.by_type(docs, ["adr", "spec"]).collect()] == [("adr", "a"), ("adr", "b"), ("spec", "a"), ("note", "c"), (None, "d")]
+    assert [x["path"] for x in lint.merged_paths(docs, spark.createDataFrame([("e",)], "path string")).collect()] == list("abcde")
+    words = spark.createDataFrame([("0123456789abc", 1, "", "p", ["x", "y"])], "sha string, n int, title string, path string, prov array<string>")
+    row = words.select(lint.short_sha(F.col("sha")), lint.commits(F.col("n")), lint.title_or(F.col("title"), F.col("path")), lint.tag(F.col("prov"))).first()
+    assert tuple(row) == ("0123456789", "1 commit", "p", " [x, y]")
