@@ -387,7 +387,7 @@ def test_licenses(docs, empty, rows):
 
 
 def test_template_markup():
-    m = licenses.Automaton({"x": ["use <<opt>>only<<end>> the <<any 2>> tool"]})
+    m = licenses.Automaton({"x": ["use <<opt>>only<<end>> the <<any 0-2>> tool"]})
 
     def accepts(text):
         states = m.start
@@ -399,8 +399,9 @@ def test_template_markup():
 
     assert all(map(accepts, ["use the tool", "use only the tool", "use the big tool", "use only the big old tool"]))
     assert not any(map(accepts, ["use the very big old tool", "use tool", "only the tool"]))
-    with pytest.raises(ValueError):
-        licenses.Automaton({"x": ["<<any 2>> tool"]})
+    for bad in ("<<any 0-2>> tool", "a <<any 2>>", "a <<opt>> b", "a <<end>>", "a <<or>> b", "<<opt>>a<<end>>"):
+        with pytest.raises(ValueError):
+            licenses.Automaton({"x": [bad]})
 
 
 def test_fingerprints(docs, empty, rows, monkeypatch):
