@@ -27,6 +27,8 @@ from . import kernels as K
 WINDOW, SCALE, LEAST = 16, 32, 32
 THRESHOLD = np.uint64((1 << 48) // SCALE)
 RANGE_BYTES = 24 << 20
+#: Ranges at most: borders are literals of one plan. A range is sorted with spill and read as a stream, so it may be any size.
+RANGES = 1 << 16
 FIRST = -(1 << 63)
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -98,7 +100,10 @@ def _deal(cuts: np.ndarray):
             key = batch.column("doc_id").fill_null(FIRST).to_numpy(zero_copy_only=False)
             bucket = np.searchsorted(cuts, key, "right") - 1
             n = batch.num_rows
+            tie = batch.column("tie").to_numpy()
             ends = np.flatnonzero(cuts[bucket] == key)
+            ends = ends[np.lexsort((tie[ends], bucket[ends]))]
+            ends = ends[np.unique(bucket[ends], return_index=True)[1]]  # the first in order alone can follow the range before
             row = np.concatenate([np.arange(n), ends])
             late = np.concatenate([np.zeros(n, np.int32), np.ones(len(ends), np.int32)])
             to = np.concatenate([bucket, (bucket[ends] - 1) % len(cuts)])
@@ -151,7 +156,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     key = F.coalesce("doc_id", F.lit(FIRST))
     total, least = texts.agg(F.sum(F.octet_length("text")), F.min(key)).first()
-    n = max(1, -(-int(total or 0) // RANGE_BYTES))
+    n = min(RANGES, max(1, -(-int(total or 0) // RANGE_BYTES)))
     shares = [i / n for i in range(1, n)]
     inner = texts.agg(F.percentile_approx(key, shares, 20 * n)).first()[0] if n > 1 else []
     cuts = np.unique(np.array([least if least is not None else 0, *(inner or [])], np.int64))
