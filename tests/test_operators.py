@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.engine import Engine
+from vellum.functions import markup
 from vellum.functions import text as X
-from vellum.operators import bundle, chunks, federation, graph, incremental, links, lint, records, registry, search, temporal
+from vellum.operators import bundle, chunks, embed, federation, graph, incremental, links, lint, records, registry, reports, search, temporal
 from vellum.operators.memory import Memory
 from vellum.operators.records import Field, Predicate, ValidationError
+from vellum.sources import config
 
 
 def test_rrf(spark):
@@ -229,3 +231,119 @@ def test_graph_report_and_export(spark):
     words = spark.createDataFrame([("0123456789abc", 1, "", "p", ["x", "y"])], "sha string, n int, title string, path string, prov array<string>")
     row = words.select(lint.short_sha(F.col("sha")), lint.commits(F.col("n")), lint.title_or(F.col("title"), F.col("path")), lint.tag(F.col("prov"))).first()
     assert tuple(row) == ("0123456789", "1 commit", "p", " [x, y]")
+
+
+def test_embedders_and_reuse(spark):
+    e = embed.hashing(8)
+    assert e.available() and not embed.Embedder("bad", lambda t: 1 / 0).available()
+    chunks = spark.createDataFrame([("h1", "one two"), ("h2", "three"), ("h2", "three"), ("h3", None)], "chunk_hash string, text string")
+    stored = spark.createDataFrame([("h1", e.model, [1.0]), ("h2", "other", [2.0])], "chunk_hash string, model string, vec array<double>")
+    got = {r["chunk_hash"]: r["vec"] for r in embed.refreshed(chunks, stored, e).collect()}
+    assert got == {"h1": [1.0], "h2": e.call(["three"])[0], "h3": [0.0] * 8}
+    cache: dict = {}
+    first = embed.description_vectors(["a b", "", "a b", "c"], cache, e)
+    assert set(first) == {"a b", "c"} and len(cache) == 2
+    assert embed.description_vectors(["a b"], cache, embed.Embedder(e.model, lambda t: 1 / 0)) == {"a b": first["a b"]}
+
+
+def test_reranker_choice():
+    def score(url, query, documents):
+        if url == "down":
+            raise OSError("down")
+        return {"odd": [None, 1.0], "none": []}.get(url, [0.1, 0.2])
+
+    assert embed.choose(" http://x ", ["y"], score) == ("http://x", "configured", "")
+    assert embed.choose("OFF", ["y"], score) == ("", "off", "disabled")
+    assert embed.choose("", ["down", "odd", "none", "good", "y"], score) == ("good", "discovered", "")
+    assert embed.choose("", ["down"], score) == ("", "off", "no runtime")
+
+
+def test_nearest_of_each_in_blocks(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, [r.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(120)] + [(200, None), (None, [1.0, 1.0, 1.0]), (201, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    facts = v.where("id % 5 = 0 or id is null")
+    known = {i: x for i, x in rows if i is not None and x is not None}
+    unit = {i: [a / max(sum(b * b for b in x) ** 0.5, 1e-300) for a in x] for i, x in known.items()}
+    for block in (7, 1000):
+        got = {r["fact"]: (r["note"], round(r["score"], 9)) for r in embed.nearest_each(facts, v, "id", "v", block).collect()}
+        want = {f: max(((round(sum(a * b for a, b in zip(unit[f], unit[i])), 9), -i) for i in known if i != f)) for f in known if f % 5 == 0}
+        assert {f: s for f, (_, s) in got.items()} == {f: s for f, (s, _) in want.items()}
+    assert embed.nearest_each(facts.limit(0), v, "id", "v").count() == 0
+
+
+def test_a_scorer_that_fails_while_it_runs_changes_nothing(spark):
+    hits = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "path string, score double")
+    assert search.rerank(hits, lambda h: h.select("path", F.raise_error(F.lit("down")).cast("double").alias("rerank_score"))).collect() == hits.collect()
+
+
+def test_sections_of_a_long_note(spark):
+    body = "before\n" + "\n".join(f"## H{i}\ntext {i}\n\n" for i in range(2000)) + "# empty\n#none\n###### \n"
+    n = spark.createDataFrame([("a", "A", body), ("b", "B", ""), ("c", "C", "# only"), ("d", "D", None)], "path string, title string, body string")
+    got = {(r["path"], r["ord"]): (r["heading"], r["body"]) for r in chunks.sections(n).collect()}
+    assert got[("a", 0)] == ("", "before") and got[("a", 5)] == ("H4", "text 4") and got[("a", 2001)] == ("empty", "#none\n######")
+    assert got[("b", 0)] == ("", "B") and got[("c", 0)] == ("", "C") and len([k for k in got if k[0] == "a"]) == 2002
+
+
+def test_markup_edges(spark):
+    rows = [
+        ("a.adoc", "// c\n== Sub\n= Doc _T_ \n:toc: x\n:a b: keep\n====\n*b* `c` _em_ x_y_z (_q_).\n--\n|===\n|=x\n***", "Doc _T_", "Sub\nDoc T \n:a b: keep\nb c em x_y_z (q).\n|=x"),
+        ("b.rst", "=====\nTi tle\n======\n.. note:: x\n  ..\n..nope\n`t <u>`_ :ref:`x` *e*\n---\n", "Ti tle", "Ti tle\n..nope\nt x e"),
+        ("b2.rst", "longer title\n===", "b2", "longer title"),
+        ("c.textile", 'p. para\nh2. Head _x_\nbq. q "l":http://x.y z\n*b* @c@ v1. x\nh1.no', "Head _x_", "para\nHead x\nq l z\nb c v1. x\nh1.no"),
+        ("d.org", "* H one\n#+TITLE:  My T\n  :PROPERTIES:\n** Sub /it/ a/b =v= [[u][d]] [[w]] ~c~\n:9a: keep\n**bold** t", "My T", "H one\nSub it a/b v d w c\n:9a: keep\nbold t"),
+        ("e.org", "x\r\n** Deep\r\nz", "Deep", "x\r\nDeep\r\nz"),
+        ("f.wiki", "= x =", "f", "= x ="),
+        ("g.rst", "", "g", ""),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "path string, content string")
+    title, body = markup.plain(F.col("path"), F.col("content"))
+    got = {r[0]: (r[1], r[2]) for r in df.select("path", title, body).collect()}
+    assert got == {r[0]: r[2:] for r in rows}
+
+
+def test_files_of_configuration(tmp_path):
+    root = str(tmp_path / "c")
+    c = config.Collection("tasks", "work/tasks", 'a "b"', [Field("state", "enum", True, ("open", "done")), Field("due", "date")])
+    config.save_collection(root, c)
+    assert config.collections(root) == [c]
+    for bad in ("../x", "", "a/b"):
+        with pytest.raises(ValidationError):
+            config.save_collection(root, config.Collection(bad, "p"))
+    config.remove_collection(root, "tasks")
+    assert config.collections(root) == []
+    with pytest.raises(ValidationError):
+        config.remove_collection(root, "tasks")
+    for name, text in {"a": '[run]\nkind = "exec"\nexec = "ls"\n[trigger]\nschedule = "* * * * *"\n', "b": '[run]\nkind = "agent"\n', "c": "not toml"}.items():
+        (tmp_path / "jobs" / name).mkdir(parents=True)
+        (tmp_path / "jobs" / name / "config.toml").write_text(text)
+    good, bad = config.jobs(str(tmp_path / "jobs"))
+    assert [j.name for j in good] == ["a"] and [b[0] for b in bad] == ["b", "c"]
+    (tmp_path / "m" / "x").mkdir(parents=True)
+    (tmp_path / "m" / "x" / "config.toml").write_text('command = "run"\nkeywords = ["k"]\n')
+    assert config.mounts(str(tmp_path / "m")) == [config.MountFile("x", "run", keywords=["k"])] and config.mounts(str(tmp_path / "none")) == []
+    (tmp_path / "s.toml").write_text('source_root = "../src"\nagents_dir = " "\n[directory_indexes]\nenabled = true\n')
+    s = config.settings(str(tmp_path / "s.toml"))
+    assert s["source_root"] == "../src" and s["agents_dir"] == "docs/agents" and s["directory_indexes"] == {"filename": "INDEX.md", "mode": "managed-block", "enabled": True}
+
+
+def test_memory_dispatch_and_reports(spark, tmp_path):
+    import datetime
+
+    m, seen = Memory(str(tmp_path)), []
+    assert m.run("create", seen.append, path="a.md", text="x") == "created a.md" and m.run("view", path="a.md") == "x"
+    assert m.run("rename", seen.append, path="a.md", to="b.md") == "renamed a.md -> b.md" and seen == ["a.md", "a.md", "b.md"]
+    with pytest.raises(ValidationError):
+        m.run("chmod", path="b.md")
+    at = datetime.datetime(2024, 3, 5, 7, 9)
+    path, text = reports.new_doc("adr", ' Use "it" ', "use-it", 12, at, governs=["a/*.py"])
+    assert path == "docs/adr/0012-use-it.md" and 'status: "Proposed"\ncreated: "2024-03-05"' in text and 'governs: ["a/*.py"]\n---\n\n# Use "it"\n' in text
+    assert reports.new_doc("spec", "T", "t", 0, at)[0] == "docs/specs/2024-03-05-0709-t.md"
+    with pytest.raises(ValidationError):
+        reports.new_doc("memo", "T", "t", 0, at)
+    stale = spark.createDataFrame([("spec", "T", "Implemented", "d.md", 3, ["a", "b"])], "type string, title string, status string, doc string, commits long, matched array<string>")
+    page = reports.report("Stale Docs", ["Type", "Title"], reports.stale_rows(stale), "No stale docs found.")
+    assert page == "# Stale Docs\n\n| Type | Title |\n|---|---|\n| spec | T | Implemented | `d.md` | 3 | `a, b` |\n"
+    assert reports.report("Stale Docs", [], reports.stale_rows(stale.limit(0)), "No stale docs found.") == "# Stale Docs\n\nNo stale docs found.\n"

@@ -188,6 +188,13 @@ def page_key(path: Column) -> Column:
     return F.when(in_docs, F.concat_ws("/", F.get(parts, F.lit(1)), F.element_at(parts, -1))).otherwise(p)
 
 
+def collection_key(path: Column) -> Column:
+    """Base name of a note, after its folder for one under docs/<folder>/; lower case, no .md."""
+    parts = F.split(path, "/")
+    folder = F.when((F.get(parts, F.lit(0)) == "docs") & (F.size(parts) >= 3), F.lower(F.get(parts, F.lit(1))))
+    return F.concat_ws("/", folder, normal_link(path))
+
+
 def normal_link(target: Column) -> Column:
     """Base name without .md, lower case."""
     return F.lower(F.regexp_replace(base_name(strip(target)), r"(?i)\.md$", ""))

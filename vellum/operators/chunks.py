@@ -14,20 +14,22 @@ HEADING = r"^#{1,6}[\t\f\r ]+\S"
 def sections(notes: DataFrame) -> DataFrame:
     """(path, title, heading, ord, body): the text under each heading line; sections without text vanish.
 
-    The section of a line is a running count of heading lines in an array fold of its own note, so nothing is shuffled.
+    A section is a slice of its note's lines from one heading to the next, so a note costs its lines once and nothing is
+    shuffled. Lines and places are bound as lambda variables, as an expression inside a lambda is evaluated anew for each element.
     """
-    is_heading = lambda s: s.rlike(HEADING)
-    lines = F.split(F.concat(F.lit("\n"), F.col("body")), "\n")
-    empty = F.array().cast("array<struct<heading:string,body:string>>")
-    zero = F.struct(empty.alias("done"), F.lit("").alias("heading"), F.array().cast("array<string>").alias("open"))
-    close = lambda a: F.concat(a["done"], F.array(F.struct(a["heading"].alias("heading"), F.array_join(a["open"], "\n").alias("body"))))
-
-    def step(a, s):
-        fresh = F.struct(close(a).alias("done"), X.strip(F.regexp_replace(s, r"^#{1,6}", "")).alias("heading"), F.array().cast("array<string>").alias("open"))
-        return F.when(is_heading(s), fresh).otherwise(F.struct(a["done"].alias("done"), a["heading"].alias("heading"), F.concat(a["open"], F.array(s)).alias("open")))
-
-    parts = F.aggregate(lines, zero, step, close)
-    kept = F.filter(F.transform(parts, lambda p: F.struct(p["heading"].alias("heading"), X.strip(p["body"]).alias("body"))), lambda p: p["body"] != "")
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def of(lines):
+        """Line 0 is a blank one before the text, for what stands before the first heading."""
+        heads = F.filter(F.transform(lines, lambda s, i: F.when(s.rlike(HEADING) | (i == 0), i)), lambda i: i.isNotNull())
+        return bound(heads, lambda at: F.transform(at, lambda i, k: part(lines, i, F.coalesce(F.get(at, k + 1), F.size(lines)))))
+
+    def part(lines, i, end):
+        heading = X.strip(F.regexp_replace(F.get(lines, i), r"^#{1,6}", ""))
+        return F.struct(heading.alias("heading"), X.strip(F.array_join(F.slice(lines, i + 2, end - i - 1), "\n")).alias("body"))
+
+    parts = bound(F.split(F.concat(F.lit("\n"), F.col("body")), "\n"), of)
+    kept = F.filter(parts, lambda p: p["body"] != "")
     whole = F.when(F.size(kept) == 0, F.array(F.struct(F.lit("").alias("heading"), F.col("title").alias("body")))).otherwise(kept)
     at = notes.select("path", "title", F.posexplode(whole).alias("ord", "part"))
     return at.select("path", "title", F.col("part.heading").alias("heading"), "ord", F.col("part.body").alias("body"))

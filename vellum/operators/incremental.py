@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +33,37 @@ def embed_plan(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     return chunks.join(have, "chunk_hash", "left").withColumn("reused", F.col("vec").isNotNull())
 
 
+def refreshed(chunks: DataFrame, path: str, new: DataFrame | None = None) -> DataFrame:
+    """The chunks after an index run of one path: its rows are those of `new`, none where its file is gone. Other pages than .md stay as they are."""
+    if not path.lower().endswith(".md"):
+        return chunks
+    others = chunks.where(F.col("path") != path)
+    return others if new is None else others.unionByName(new.where(F.col("path") == path).select(*chunks.columns))
+
+
 class Cursors:
-    """Named cursors in a small Parquet table; consumers move independently."""
+    """Named cursors in a small Parquet table; consumers move independently.
+
+    Each move appends a row and the latest one of a key counts, so a reader never sees half a table and a move never
+    loses another key. Only a table that does not exist yet is empty; any other error is raised.
+    """
+
+    SCHEMA = "key string, value long, at long"
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
 
     def all(self) -> dict[str, int]:
         try:
-            return {r["key"]: r["value"] for r in self.spark.read.parquet(self.path).collect()}
-        except Exception:  # noqa: BLE001 - no table yet
+            rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return {}
+        return {r["key"]: r["value"] for r in rows.groupBy("key").agg(F.max_by("value", "at").alias("value")).collect()}
 
     def get(self, key: str) -> int | None:
         return self.all().get(key)
 
     def set(self, key: str, value: int) -> None:
-        rows = self.all() | {key: value}
-        self.spark.createDataFrame(sorted(rows.items()), "key string, value long").coalesce(1).write.mode("overwrite").parquet(self.path)
+        self.spark.createDataFrame([(key, value, time.time_ns())], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)

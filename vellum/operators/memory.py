@@ -1,7 +1,8 @@
-"""Edits of note files on the driver, confined to one folder (A26); each is followed by a refresh of its path."""
+"""Edits of note files on the driver, confined to one folder (A26), by verbs that are followed by a refresh of their paths."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 from vellum.operators.records import ValidationError
@@ -57,3 +58,16 @@ class Memory:
             raise ValidationError(f"{to!r} exists")
         target.parent.mkdir(parents=True, exist_ok=True)
         self._safe(path).rename(target)
+
+    def run(self, verb: str, refresh: Callable[[str], None] = lambda path: None, **given) -> str:
+        """One verb with its arguments; refresh(path) is called for each path that a write touched."""
+        path, to = given.get("path", ""), given.get("to", "")
+        done = {"create": f"created {path}", "append": f"appended to {path}", "str_replace": f"replaced in {path}", "insert": f"inserted into {path}", "delete": f"deleted {path}", "rename": f"renamed {path} -> {to}"}
+        if verb == "view":
+            return self.view(**given)
+        if verb not in done:
+            raise ValidationError(f"unknown verb {verb!r}")
+        getattr(self, verb)(**given)
+        for p in (path, to) if verb == "rename" else (path,):
+            refresh(p)
+        return done[verb]

@@ -109,7 +109,7 @@ def rerank(hits: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None) ->
     if scorer is None:
         return hits
     try:
-        scored = scorer(hits)
+        scored = written(scorer(hits).select("path", "rerank_score"), "reranked")  # a few rows; a scorer that fails does so here
     except Exception:  # noqa: BLE001 - a scorer is foreign code; search must not fail with it
         return hits
     old = hits.withColumn("old_rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))

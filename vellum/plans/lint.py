@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.operators import graph as G
+from vellum.operators import incremental as I
 from vellum.operators import links as L
 from vellum.operators import lint as LI
+from vellum.operators import reports as RP
 from vellum.operators import temporal as TP
 from vellum.sources import tables as T
 
@@ -15,11 +17,6 @@ from . import changes, structure
 from .base import NOTES, query
 
 
-@query("code_mask_cases", "SELECT * FROM (VALUES ('inline', 'b'), ('fence', 'b'), ('tilde', 'b'), ('escaped', 'b'), ('open', 'b')) t(path, links)")
-def code_mask_cases(spark, d):
-    return structure.code_mask(spark, d)
-
-
 @query("owning_collection", f"WITH {NOTES}, c AS (SELECT DISTINCT source AS name, 'docs/'||source AS folder FROM documents WHERE source IS NOT NULL UNION SELECT DISTINCT 'z-'||lang, 'docs/'||source||'/'||lang FROM documents), o AS (SELECT n.path, min(name) AS name FROM notes n JOIN c ON starts_with(n.path, folder||'/') GROUP BY 1) SELECT path, name FROM o")
 def owning_collection(spark, d):
     docs = T.table(spark, d, "documents")
@@ -120,3 +117,37 @@ def list_field_cases(spark, d):
 @query("ignored_paths", f"WITH {NOTES} SELECT path, (list_contains(string_split(path, '/'), 'fr') OR starts_with(path, 'docs/src2/')) AS ignored FROM notes")
 def ignored_paths(spark, d):
     return T.document_notes(spark, d).select("path", LI.ignored(F.col("path"), ["fr"], ["docs/src2"]).alias("ignored"))
+
+
+@query("collection_keys", "SELECT path, k FROM (VALUES ('docs/Specs/a/My Note.md', 'specs/my note'), ('docs/x.md', 'x'), ('notes/Y.MD', 'y'), ('docs/adr/0001-z.md', 'adr/0001-z')) t(path, k)")
+def collection_keys(spark, d):
+    rows = ["docs/Specs/a/My Note.md", "docs/x.md", "notes/Y.MD", "docs/adr/0001-z.md"]
+    return spark.createDataFrame([(x,) for x in rows], "path string").select("path", X.collection_key(F.col("path")).alias("k"))
+
+
+@query("convention_names", """WITH t AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY user_id % 2 ORDER BY 'docs/'||CASE WHEN user_id % 2 = 0 THEN 'adr' ELSE 'specs' END||'/U '||user_id||'.md') AS k FROM t)
+ SELECT 'docs/'||CASE WHEN user_id % 2 = 0 THEN 'adr' ELSE 'specs' END||'/U '||user_id||'.md' AS path, CASE WHEN user_id % 2 = 0 THEN 'docs/adr/'||lpad(CAST(6 + k AS VARCHAR), CAST(greatest(4, length(CAST(6 + k AS VARCHAR))) AS INT), '0') ELSE 'docs/specs/day'||first||'-0000' END||CASE WHEN user_id % 3 = 0 THEN '-u-'||user_id ELSE '-the-title' END||'.md' AS name FROM r""")
+def convention_names(spark, d):
+    u = F.col("user_id")
+    e = T.table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").cast("string").alias("first"))
+    folder = F.when(u % 2 == 0, "adr").otherwise("specs")
+    path = F.concat(F.lit("docs/"), folder, F.lit("/U "), u.cast("string"), F.lit(".md"))
+    docs = e.select(path.alias("path"), F.when(u % 2 == 0, "adr").otherwise("spec").alias("doc_type"), F.when(u % 3 == 0, "").otherwise("The Title").alias("title"), F.concat(F.lit("day"), "first").alias("first_date"))
+    return RP.convention_name(docs, spark.createDataFrame([("docs/adr", 7)], "dir string, next_number int"))
+
+
+@query("drift_report", f"WITH {changes.BOUND} SELECT doc, file, '| spec | T '||doc||' | `'||doc||'` | `'||file||CASE WHEN file LIKE '%3' THEN ' (source repo)' ELSE '' END||'` | '||count(DISTINCT f.seq)||' |' AS line FROM bind JOIN last ON last.path = doc JOIN files f ON f.path = file WHERE f.seq > last_seq GROUP BY 1, 2")
+def drift_report(spark, d):
+    found = TP.drift(*changes._bound(spark, d))
+    source = F.when(F.col("file").endswith("3"), "repo")
+    return RP.drift_rows(found.withColumn("type", F.lit("spec")).withColumn("title", F.concat(F.lit("T "), "doc")).withColumn("source", source))
+
+
+@query("refreshed_path", f"WITH {NOTES} SELECT path, sha256(body) AS chunk_hash FROM notes WHERE doc_id NOT IN (1, 2) UNION ALL SELECT path, sha256('new text') FROM notes WHERE doc_id = 1")
+def refreshed_path(spark, d):
+    """One note has a new text, another's file is gone."""
+    n = T.document_notes(spark, d).select("doc_id", "path", X.content_hash(F.col("body")).alias("chunk_hash"))
+    one, two = (n.where(F.col("doc_id") == k).first()["path"] for k in (1, 2))
+    chunks = n.select("path", "chunk_hash")
+    new = spark.createDataFrame([(one, "new text")], "path string, t string").select("path", X.content_hash(F.col("t")).alias("chunk_hash"))
+    return I.refreshed(I.refreshed(chunks, one, new), two)

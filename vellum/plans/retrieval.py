@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.operators import chunks as C
+from vellum.operators import embed as E
 from vellum.operators import search as S
 from vellum.sources import tables as T
 
@@ -120,29 +121,16 @@ def rerank_text(spark, d):
 @query("remember_dedup", f"""WITH p AS (SELECT a.vec_id AS fact, b.vec_id AS note, {cosine('a.embedding', 'b.embedding')} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
  k AS (SELECT *, row_number() OVER (PARTITION BY fact ORDER BY score DESC, note) AS r FROM p) SELECT fact, note, round(score, 6) AS score, CASE WHEN score >= 0.6 THEN 'append' ELSE 'create' END AS decision FROM k WHERE r = 1""")
 def remember_dedup(spark, d):
-    """J14 in a batch: each fact against all notes, in blocks of normalised vectors multiplied on the executors."""
-    import numpy as np
-    import pyarrow as pa
-
     v = T.table(spark, d, "embeddings").select("vec_id", "embedding")
-    facts = v.where("vec_id % 20 = 0").toArrow()  # the stated query set
-    ids = np.asarray(facts["vec_id"])
-    asked = np.array(facts["embedding"].to_pylist(), np.float64).reshape(len(ids), -1)
-    asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
-    shared = spark.sparkContext.broadcast((ids, asked))
-
-    def best(batches):
-        ids, asked = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column("vec_id").to_numpy()
-            x = np.array(batch.column("embedding").to_pylist(), np.float64)
-            s = asked @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            s[ids[:, None] == own[None, :]] = -2
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own[order]), pa.array(s[np.arange(len(ids)), order])], names=["fact", "note", "score"])
-
-    near = v.mapInArrow(best, "fact long, note long, score double").where("score > -2")
-    top = near.groupBy("fact").agg(F.max_by(F.struct("note", "score"), F.struct("score", F.negate("note"))).alias("b")).select("fact", "b.note", "b.score")
+    top = E.nearest_each(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding")  # the stated query set
     return top.select("fact", "note", F.round("score", 6).alias("score"), F.when(F.col("score") >= 0.6, "append").otherwise("create").alias("decision"))
+
+
+@query("embedded_chunks", "SELECT DISTINCT sha256(text) AS chunk_hash, h.doc_id IS NOT NULL AS reused, CASE WHEN h.doc_id IS NULL THEN CAST(length(text) AS DOUBLE) ELSE -1.0 END AS v0, CASE WHEN h.doc_id IS NULL THEN CAST(octet_length(encode(text)) AS DOUBLE) ELSE -1.0 END AS v1 FROM documents d LEFT JOIN (SELECT sha256(text) AS k, min(doc_id) AS doc_id FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL GROUP BY 1) h ON h.k = sha256(d.text) WHERE text IS NOT NULL")
+def embedded_chunks(spark, d):
+    """Documents of every third id have stored vectors; the others' texts are embedded, each distinct one once."""
+    chunks = T.table(spark, d, "documents").where("text is not null").select("doc_id", X.content_hash(F.col("text")).alias("chunk_hash"), "text")
+    stored = chunks.where("doc_id % 3 = 0").select("chunk_hash", F.lit("sizes").alias("model"), F.array(F.lit(-1.0), F.lit(-1.0)).alias("vec"))
+    sizes = E.Embedder("sizes", lambda texts: [[float(len(t)), float(len(t.encode()))] for t in texts])
+    got = E.refreshed(chunks, stored, sizes)
+    return got.select("chunk_hash", (F.col("vec")[0] == -1).alias("reused"), F.col("vec")[0].alias("v0"), F.col("vec")[1].alias("v1"))

@@ -204,7 +204,7 @@ def neighbors_2hop(spark, d):
     return G.neighbors(nodes, edges, "nation-1", 2).select("key", "hop")
 
 
-@query("code_mask")
+@query("code_mask", "SELECT * FROM (VALUES ('inline', 'b'), ('fence', 'b'), ('tilde', 'b'), ('escaped', 'b'), ('open', 'b')) t(path, links)")
 def code_mask(spark, d):
     rows = [("inline", "see `[[a]]` and [[b]]"), ("fence", "```\n[[a]]\n```\n[[b]]"), ("tilde", "~~~ x\n[[a]]\n~~~\n[[b]]"), ("escaped", "\\`[[b]]\\`"), ("open", "`` [[b]] `")]
     n = spark.createDataFrame(rows, "path string, raw string").withColumn("body", L.prose(F.col("raw")))
