@@ -19,12 +19,11 @@ def convention_name(docs: DataFrame, numbers: DataFrame) -> DataFrame:
     """(path, name) of documents (path, doc_type, title, first_date), numbers: (dir, next_number).
 
     An adr is <number>-<slug>, in a folder the numbers go on by path; others are <first date>-0000-<slug>. The slug is the
-    title's, else the file name's, else the type.
+    title's; a blank title gives the slug of a blank text.
     """
     from pyspark.sql import Window
 
-    stem = F.regexp_replace(X.base_name(F.col("path")), r"\.[^.]*$", "")
-    slug = F.coalesce(F.nullif(X.slugify(F.coalesce("title", F.lit(""))), F.lit("")), F.nullif(X.slugify(stem), F.lit("")), F.col("doc_type"))
+    slug = X.slugify(F.coalesce("title", F.lit("")))
     rows = docs.select("path", "doc_type", "first_date", X.dir_name(F.col("path")).alias("dir"), slug.alias("slug")).join(numbers, "dir", "left")
     is_adr = F.col("doc_type") == "adr"
     place = F.row_number().over(Window.partitionBy("dir", is_adr).orderBy("path")) - 1

@@ -126,7 +126,7 @@ def collection_keys(spark, d):
 
 
 @query("convention_names", """WITH t AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY user_id % 2 ORDER BY 'docs/'||CASE WHEN user_id % 2 = 0 THEN 'adr' ELSE 'specs' END||'/U '||user_id||'.md') AS k FROM t)
- SELECT 'docs/'||CASE WHEN user_id % 2 = 0 THEN 'adr' ELSE 'specs' END||'/U '||user_id||'.md' AS path, CASE WHEN user_id % 2 = 0 THEN 'docs/adr/'||lpad(CAST(6 + k AS VARCHAR), CAST(greatest(4, length(CAST(6 + k AS VARCHAR))) AS INT), '0') ELSE 'docs/specs/day'||first||'-0000' END||CASE WHEN user_id % 3 = 0 THEN '-u-'||user_id ELSE '-the-title' END||'.md' AS name FROM r""")
+ SELECT 'docs/'||CASE WHEN user_id % 2 = 0 THEN 'adr' ELSE 'specs' END||'/U '||user_id||'.md' AS path, CASE WHEN user_id % 2 = 0 THEN 'docs/adr/'||lpad(CAST(6 + k AS VARCHAR), CAST(greatest(4, length(CAST(6 + k AS VARCHAR))) AS INT), '0') ELSE 'docs/specs/day'||first||'-0000' END||CASE WHEN user_id % 3 = 0 THEN '-note' ELSE '-the-title' END||'.md' AS name FROM r""")
 def convention_names(spark, d):
     u = F.col("user_id")
     e = T.table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").cast("string").alias("first"))
