@@ -542,6 +542,27 @@ def test_word_shuffle_in_small_blocks(settled, rows, monkeypatch):
     assert sorted(map(str, word_shuffle.encode_decode(settled, path, P.PATTERN).collect())) == whole
 
 
+def test_slots_grow_beyond_their_first_size(spark, monkeypatch):
+    """One text with far more distinct words than the table has places at first, read in one slice."""
+    monkeypatch.setattr(word_shuffle.Slots, "BITS", 6)
+    r = np.random.default_rng(5)
+    slots, seen = word_shuffle.Slots(), {}
+    for _ in range(8):
+        h = r.integers(0, 1500, 700).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        got, new = slots.add(h)
+        for x, s in zip(h.tolist(), got.tolist()):
+            assert seen.setdefault(x or 1, s) == s
+        assert len(set(seen.values())) == len(seen) == slots.n and 2 * slots.n <= len(slots.key)
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = word_shuffle.encoding(path, P.PATTERN)
+    long = " ".join(f"w{i}x{i * 7919 % 10007}" for i in range(5000))
+    got = word_shuffle.encode_decode(spark.createDataFrame([(1, long), (2, "w1x7919 short")], "doc_id long, text string").coalesce(1), path, P.PATTERN).collect()
+    for row, text in zip(sorted(got, key=lambda g: g["doc_id"]), [long, "w1x7919 short"]):
+        ids = enc.encode_ordinary(text)
+        assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_word_shuffle_notices_other_rows(spark):
     """A table that gives other words, or the same in another order, when it is read again is an error."""
 

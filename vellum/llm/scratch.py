@@ -38,6 +38,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(df: DataFrame, each: int) -> int:
+    """Partitions so that each has about `each` bytes of df as the optimizer estimates them, the session's number at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # rows that no file holds have no estimate
+    return max(least, -(-size // each)) if known else least
+
+
 def placed(df: DataFrame) -> DataFrame:
     """df with PLACE, the same for a row whenever the plan runs; rows that are not read from files are settled first."""
     place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(PLACE)

@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, units
+from . import bpe, scratch, units
 from . import kernels as K
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: A block takes no further text beyond so many words or bytes; the task then begins another.
 BLOCK_WORDS, BLOCK_BYTES = 1 << 20, 64 << 20
+#: Table bytes for each partition of the word shuffle.
+SHUFFLE_BYTES = 32 << 20
 #: Distinct words whose ids a task keeps at most; beyond, it forgets them and encodes again what comes again.
 KNOWN_WORDS = 1 << 20
 TEXT_BYTES = 2_000_000
@@ -89,13 +91,14 @@ def pretokens(buf: np.ndarray, offs: np.ndarray, pattern: str) -> np.ndarray:
 
 
 class Slots:
-    """The words of a block: 64-bit hash -> slot, in order of first appearance."""
+    """The words of a block: 64-bit hash -> slot, in order of first appearance. The table doubles when half full."""
 
     BITS = 22
 
     def __init__(self):
-        self.key = np.zeros(1 << self.BITS, np.uint64)
-        self.slot = np.zeros(1 << self.BITS, np.uint32)
+        self.bits = self.BITS
+        self.key = np.zeros(1 << self.bits, np.uint64)
+        self.slot = np.zeros(1 << self.bits, np.uint32)
         self.n, self.sum = 0, 0
 
     def add(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,26 +110,40 @@ class Slots:
         if len(miss):
             _, one = np.unique(h[miss], return_index=True)
             new = np.sort(miss[one])
-            todo, slots = new, self.n + np.arange(len(new))
-            while len(todo):
-                where = self._at(h[todo])
-                self.key[where] = h[todo]
-                won = self.key[where] == h[todo]
-                self.slot[where[won]] = slots[won]
-                todo, slots = todo[~won], slots[~won]
+            self._make_room(self.n + len(new))
             place = np.arange(self.n, self.n + len(new), dtype=np.uint64)
+            self._insert(h[new], place)
             self.sum = (self.sum + int(np.sum(K.mix(h[new] + K.mix(place + np.uint64(1))), dtype=np.uint64))) & K.MASK
             self.n += len(new)
             at = self._at(h)
         return self.slot[at], new
 
+    def _make_room(self, words: int) -> None:
+        if 2 * words <= len(self.key):
+            return
+        full = np.flatnonzero(self.key)
+        h, slots = self.key[full], self.slot[full]
+        self.bits = (2 * words - 1).bit_length()
+        self.key = np.zeros(1 << self.bits, np.uint64)
+        self.slot = np.zeros(1 << self.bits, np.uint32)
+        self._insert(h, slots)
+
+    def _insert(self, h: np.ndarray, slots: np.ndarray) -> None:
+        """Different hashes that are not in the table; those that ask for the same free place take turns."""
+        while len(h):
+            where = self._at(h)
+            self.key[where] = h
+            won = self.key[where] == h
+            self.slot[where[won]] = slots[won]
+            h, slots = h[~won], slots[~won]
+
     def digest(self) -> bytes:
         """Of the words in their order."""
         return b"%d %d" % (self.n, self.sum)
 
     def _at(self, h: np.ndarray) -> np.ndarray:
-        last = (1 << self.BITS) - 1
-        at = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        last = (1 << self.bits) - 1
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         got = self.key[at]
         open_ = np.flatnonzero((got != h) & (got != 0))
         while len(open_):
@@ -271,6 +288,6 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     words = texts.mapInArrow(to_words, "block long, slot int, word binary")
-    ids = words.repartition("word").mapInArrow(to_ids, "block long, slots binary, sizes binary, ids binary, digest binary")
+    ids = words.repartition(scratch.parts(docs, SHUFFLE_BYTES), "word").mapInArrow(to_ids, "block long, slots binary, sizes binary, ids binary, digest binary")
     positions = texts.mapInArrow(to_docs, "block long, doc_ids binary, null_ids binary, counts binary, slots binary, n_words long, digest binary")
     return positions.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(together, SCHEMA)
