@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, jaccard, licenses, packing, quality, rans, scratch, suffixes, token_counts, word_shuffle
+from . import fingerprints, html_text, jaccard, licenses, merkle, packing, quality, rans, scratch, suffixes, token_counts, word_shuffle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,32 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_shuffle.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_html_text, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_license_scan, op8_fingerprints, op9_token_files, op10_byte_bpe)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_html_text, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_license_scan, op8_fingerprints, op9_token_files, op10_byte_bpe, op13_merkle_manifest)}
+
+def _merkle_sql() -> str:
+    """Levels by a recursive query, siblings by number, folding by a list reduction; CRC-32 bit by bit."""
+    field = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    of = lambda n: " || ".join(field.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", n, "text"))
+    step = "CASE WHEN x[1] = 'L' THEN sha256(x[2:] || a) WHEN x[1] = 'R' THEN sha256(a || x[2:]) ELSE sha256(a) END"
+    sides = "list(CASE WHEN t.h IS NULL THEN 'N' WHEN t.i < b.i >> l.k THEN 'L' || t.h ELSE 'R' || t.h END ORDER BY l.k)"
+    levels = lambda base, out: f"{out}(k, g, i, n, h) AS (SELECT 0, g, i, n, h FROM {base} UNION ALL SELECT any_value(k) + 1, g, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {out} WHERE n > 1 GROUP BY g, i // 2)"
+    ways = lambda base, tree, out: f"{out} AS (SELECT b.r, {sides} AS s FROM {base} b JOIN (SELECT DISTINCT g, k FROM {tree} WHERE n > 1) l ON l.g = b.g LEFT JOIN {tree} t ON t.g = b.g AND t.k = l.k AND t.i = xor(b.i >> l.k, 1) GROUP BY b.r)"
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, sha256({of("n_chars")}) AS h, sha256({of("(n_chars + 1)")}) AS c,
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * strlen(CAST(doc_id AS VARCHAR))), lambda j: j)), lambda a, j: xor(CASE WHEN j % 8 = 0 THEN xor(a, ascii(CAST(doc_id AS VARCHAR)[j // 8 + 1])) ELSE a END >> 1, CASE WHEN CASE WHEN j % 8 = 0 THEN xor(a, ascii(CAST(doc_id AS VARCHAR)[j // 8 + 1])) ELSE a END % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)) AS crc FROM documents),
+ b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+ {levels("b", "t")}, {ways("b", "t", "w")},
+ u AS (SELECT g AS r, '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM t WHERE n = 1),
+ {levels("u", "v")}, {ways("u", "v", "x")},
+ z AS (SELECT b.*, u.h AS subroot, (SELECT h FROM v WHERE n = 1) AS root, list_concat(coalesce(w.s, []), coalesce(x.s, [])) AS s FROM b JOIN u ON u.r = b.g LEFT JOIN w ON w.r = b.r LEFT JOIN x ON x.r = b.g),
+ y AS (SELECT doc_id, h AS leaf, subroot, root, sha256(array_to_string(list_transform(s, lambda q: q[2:]), '')) AS proof_sha256,
+  list_reduce(list_prepend(CASE WHEN n_claim THEN coalesce(c, h) ELSE h END, s), lambda a, x: {step}) AS folded_root FROM (SELECT *, xor(crc, 4294967295::BIGINT) % 7 = 0 AS n_claim FROM z))
+ SELECT *, folded_root = root AS verified FROM y"""
+
+
 #: Exact sets, all pairs and reachability; the other operators' results can't be expressed in SQL and are tested by brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -68,4 +93,5 @@ ORACLE_SQL: dict[str, str] = {
  r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reach),
  c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
  SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
+    "op13_merkle_manifest": _merkle_sql(),
 }
