@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, jaccard, licenses, merkle, packing, quality, rans, scratch, suffixes, token_counts, word_shuffle
+from . import collocations, fingerprints, html_text, jaccard, licenses, merkle, packing, quality, rans, scratch, suffixes, token_counts, word_shuffle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +56,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_shuffle.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_html_text, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_license_scan, op8_fingerprints, op9_token_files, op10_byte_bpe, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_html_text, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_license_scan, op8_fingerprints, op9_token_files, op10_byte_bpe, op12_collocations, op13_merkle_manifest)}
 
 def _merkle_sql() -> str:
     """Levels by a recursive query, siblings by number, folding by a list reduction; CRC-32 bit by bit."""
@@ -93,5 +97,17 @@ ORACLE_SQL: dict[str, str] = {
  r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reach),
  c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
  SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
+    "op12_collocations": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+ w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+ g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS s, count(*) AS f FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, (VALUES (1), (2), (3)) AS k(m)) GROUP BY ALL),
+ n AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY 1),
+ c AS (SELECT lang, m, s, f AS a, string_split(s, ' ') AS w FROM g WHERE m >= 2 AND f >= 10),
+ x AS (SELECT lang, m, s, a, k, array_to_string(w[1:k], ' ') AS ls, array_to_string(w[k + 1:], ' ') AS rs FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c)),
+ y AS (SELECT x.lang, x.s, x.m, x.a, l.f AS l, r.f AS r, x.k, CAST(1000000 AS HUGEINT) * x.a * x.a // (CAST(l.f AS HUGEINT) * r.f) AS score FROM x JOIN g l ON l.lang = x.lang AND l.s = x.ls AND l.m = x.k JOIN g r ON r.lang = x.lang AND r.s = x.rs AND r.m = x.m - x.k),
+ z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1),
+ b AS (SELECT DISTINCT t.lang, array_to_string(t.w[i:i + 1], ' ') AS s, t.a FROM c t, (VALUES (1), (2)) AS v(i) WHERE t.m = 3),
+ d AS (SELECT lang, s, max(a) AS a FROM b GROUP BY ALL),
+ q AS (SELECT z.* FROM z LEFT JOIN d ON z.m = 2 AND d.lang = z.lang AND d.s = z.s WHERE d.a IS NULL OR 100 * d.a < 50 * z.a)
+ SELECT q.lang, row_number() OVER (PARTITION BY q.lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM q JOIN n ON n.lang = q.lang QUALIFY rank <= 2000""",
     "op13_merkle_manifest": _merkle_sql(),
 }
