@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, fingerprints, html_text, jaccard, licenses, merkle, packing, quality, rans, scratch, suffixes, token_counts, word_shuffle
+from . import collocations, fingerprints, html_text, jaccard, licenses, merkle, packing, pii, quality, rans, scratch, suffixes, token_counts, word_shuffle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_shuffle.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_html_text, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_license_scan, op8_fingerprints, op9_token_files, op10_byte_bpe, op12_collocations, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_html_text, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_license_scan, op8_fingerprints, op9_token_files, op10_byte_bpe, op11_pii_spans, op12_collocations, op13_merkle_manifest)}
 
 def _merkle_sql() -> str:
     """Levels by a recursive query, siblings by number, folding by a list reduction; CRC-32 bit by bit."""
