@@ -101,10 +101,15 @@ def first_cue(line: Column, cues: list[str]) -> Column:
     return F.coalesce(*[F.when(line.rlike(bounded(c)), F.lit(c)) for c in cues])
 
 
+#: Any cue, so that one test leaves out the lines without one.
+ANY_CUE = "(?i)(?<![A-Za-z0-9_])(?:" + "|".join(map(re.escape, [*REVERSAL_CUES, *ASSERTION_CUES])) + ")(?![A-Za-z0-9_])"
+
+
 def anchor(line: Column) -> Column:
-    """struct(cue, reversal) of a line, null without a cue; a reversal wins."""
-    rev, ass = first_cue(line, REVERSAL_CUES), first_cue(line, ASSERTION_CUES)
-    return F.when(rev.isNotNull() | ass.isNotNull(), F.struct(F.coalesce(rev, ass).alias("cue"), rev.isNotNull().alias("reversal")))
+    """struct(cue, reversal) of a line, null without a cue; a reversal wins. The cues are looked for once a line."""
+    cues = F.struct(first_cue(line, REVERSAL_CUES).alias("rev"), first_cue(line, ASSERTION_CUES).alias("ass"))
+    told = F.transform(F.array(cues), lambda c: F.struct(F.coalesce(c["rev"], c["ass"]).alias("cue"), c["rev"].isNotNull().alias("reversal")))[0]
+    return F.when(line.rlike(ANY_CUE), told)
 
 
 COMMITMENT = r"(?i)(?<![A-Za-z0-9_])(todo|fixme|i'll|i will|need to)(?![A-Za-z0-9_])|\[ \]"

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 
+from . import recall
+from .search import POOL, RRF_K
+
+#: Folder names of templates (fixed values).
+TEMPLATES = ["template", "templates", "_templates"]
 JACCARD_FLOOR, PER_ANCHOR, TOTAL, LEAST_TOKENS, SCORE_FLOOR, RECALL = 0.12, 3, 20, 2, 0.012, 8
 #: Consecutive commit numbers that one task sorts at most.
 STEP = 1 << 16
@@ -35,34 +40,46 @@ def digest(changes: DataFrame) -> DataFrame:
 
 
 def anchors(notes: DataFrame) -> DataFrame:
-    """(path, line_no, line, cue, reversal, tokens) of lines with a cue."""
-    lines = notes.select("path", F.posexplode(F.split("body", "\n")).alias("line_no", "raw"))
-    found = lines.withColumn("line", X.strip(F.col("raw"))).withColumn("a", X.anchor(F.col("line"))).where("a is not null")
-    return found.select("path", "line_no", "line", F.col("a.cue").alias("cue"), F.col("a.reversal").alias("reversal"), X.content_tokens(F.col("line")).alias("tokens"))
+    """(path, line_no, line, cue, reversal, tokens) of lines with a cue; headings have none."""
+    lines = notes.select("path", F.posexplode(F.split("body", "\n")).alias("line_no", "raw")).where(F.col("raw").rlike(X.ANY_CUE))
+    stripped = lines.select("path", "line_no", X.strip(F.col("raw")).alias("line")).where(~F.col("line").startswith("#"))
+    found = stripped.select("*", F.inline(F.filter(F.array(X.anchor(F.col("line"))), lambda a: a.isNotNull())))
+    return found.select("path", "line_no", "line", "cue", "reversal", X.content_tokens(F.col("line")).alias("tokens"))
+
 
+def recalled(anchor_lines: DataFrame, chunks: DataFrame, terms: dict[str, float], limit: int = RECALL) -> DataFrame:
+    """(path_a, line_no_a, path_b, hit, place): for each anchor line the first `limit` notes that full-text search gives for it."""
+    asked = anchor_lines.where(F.size("tokens") >= LEAST_TOKENS).select(F.col("path").alias("path_a"), F.col("line_no").alias("line_no_a"), X.terms(F.col("line")).alias("terms"))
+    q = ["path_a", "line_no_a"]
+    hits = recall.best(asked, recall.postings(chunks, ["path", "ord"], terms), q, ["path", "ord"], limit * POOL)
+    return recall.notes(hits, q, limit, RRF_K).withColumnRenamed("path", "path_b")
 
-def opposed(a_side: DataFrame, b_side: DataFrame, floor: float = JACCARD_FLOOR) -> DataFrame:
-    """The best opposing line of each other note for each anchor.
 
-    Candidates come from an equi-join on shared subject words, not from a cross join; a word in very many lines still
-    makes one row a pair, so both sides are distinct lines and words.
+def opposed(a_side: DataFrame, b_side: DataFrame, found: DataFrame, floor: float = JACCARD_FLOOR, least: float = SCORE_FLOOR) -> DataFrame:
+    """For each anchor and recalled note the line of the other polarity that shares most words, the first of equal ones.
+
+    Notes with the anchor's collection key are other versions of one record and take no part.
     """
-    a = a_side.where(F.size("tokens") >= LEAST_TOKENS)
-    left = a.select(F.col("path").alias("path_a"), F.col("line_no").alias("line_no_a"), F.col("reversal").alias("rev_a"), F.explode("tokens").alias("t"))
-    right = b_side.select(F.col("path").alias("path_b"), F.col("line_no").alias("line_no_b"), F.col("reversal").alias("rev_b"), F.explode("tokens").alias("t"))
-    shared = left.join(right, "t").where("path_a <> path_b and rev_a <> rev_b").groupBy("path_a", "line_no_a", "path_b", "line_no_b").agg(F.sort_array(F.collect_set("t")).alias("shared"))
-    facts_a = a.select(F.col("path").alias("path_a"), F.col("line_no").alias("line_no_a"), F.col("line").alias("line_a"), F.col("cue").alias("cue_a"), F.col("reversal").alias("rev_a"), F.size("tokens").alias("n_a"))
-    facts_b = b_side.select(F.col("path").alias("path_b"), F.col("line_no").alias("line_no_b"), F.col("line").alias("line_b"), F.col("cue").alias("cue_b"), F.size("tokens").alias("n_b"))
-    both = shared.join(facts_a, ["path_a", "line_no_a"]).join(facts_b, ["path_b", "line_no_b"])
-    both = both.withColumn("jaccard", F.size("shared") / (F.col("n_a") + F.col("n_b") - F.size("shared"))).where(F.col("jaccard") >= floor)
+    side = lambda df, s, more: df.select(F.col("path").alias(f"path_{s}"), F.col("line_no").alias(f"line_no_{s}"), F.col("line").alias(f"line_{s}"), F.col("cue").alias(f"cue_{s}"), F.col("reversal").alias(f"rev_{s}"), F.col("tokens").alias(f"tokens_{s}"), *more)
+    some = found.where((F.col("path_a") != F.col("path_b")) & (F.col("hit") >= least) & (X.collection_key(F.col("path_a")) != X.collection_key(F.col("path_b"))))
+    both = side(a_side, "a", []).join(some, ["path_a", "line_no_a"]).join(side(b_side, "b", []), "path_b").where("rev_a <> rev_b")
+    both = both.withColumn("shared", F.sort_array(F.array_intersect("tokens_a", "tokens_b")))
+    both = both.withColumn("jaccard", F.size("shared") / (F.size("tokens_a") + F.size("tokens_b") - F.size("shared"))).where((F.size("shared") > 0) & (F.col("jaccard") >= floor)).drop("tokens_a", "tokens_b")
     best = F.max_by(F.struct(*both.columns), F.struct("jaccard", F.negate("line_no_b")))
     return both.groupBy("path_a", "line_no_a", "path_b").agg(best.alias("b")).select("b.*").withColumn("cue", F.when(F.col("rev_a"), F.col("cue_a")).otherwise(F.col("cue_b")))
 
 
 def excluded(path: Column, frontmatter: Column) -> Column:
-    """Superseded notes and templates take no part."""
-    given = lambda k: F.coalesce(F.trim(F.get_json_object(frontmatter, f"$.{k}")), F.lit("")) != ""
-    return given("superseded_by") | given("supersedes") | F.exists(F.split(F.lower(path), "/"), lambda s: s.rlike(r"^_?templates?(\.md)?$"))
+    """Notes that say which note replaced them or until when they held, and templates, take no part."""
+    given = lambda k: F.coalesce(X.strip(F.get_json_object(frontmatter, f"$.{k}")), F.lit("")) != ""
+    folders = F.split(F.lower(path), "/")
+    return given("superseded_by") | given("valid_to") | F.arrays_overlap(folders, F.array(*[F.lit(x) for x in TEMPLATES]))
+
+
+def sources(notes: DataFrame, indexes: DataFrame | None = None) -> DataFrame:
+    """Notes that may contradict others; `indexes` (path) are directory indexes, which take no part."""
+    some = notes.where(~excluded(F.col("path"), F.col("frontmatter")))
+    return some if indexes is None else some.join(indexes.select("path"), "path", "left_anti")
 
 
 def governing(docs: DataFrame, path: str) -> DataFrame:
@@ -72,11 +89,12 @@ def governing(docs: DataFrame, path: str) -> DataFrame:
 
 
 def contradictions(pairs: DataFrame, per_anchor: int = PER_ANCHOR, total: int = TOTAL) -> DataFrame:
-    """at most `per_anchor` a line, the best of each pair of notes, `total` in all, best first."""
-    some = pairs.withColumn("k", F.row_number().over(Window.partitionBy("path_a", "line_no_a").orderBy(F.desc("jaccard"), "path_b"))).where(F.col("k") <= per_anchor)
-    keyed = some.withColumn("pair", X.pair_key(F.col("path_a"), F.col("path_b")))
-    first = keyed.withColumn("p", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("jaccard"), "path_a", "path_b", "line_a", "line_b"))).where("p = 1")
-    return first.orderBy(F.desc("jaccard"), "path_a", "path_b", "line_a", "line_b").limit(total).drop("k", "p", "pair")
+    """the first `per_anchor` notes of a line, the best pair of two notes, `total` in all by similarity and hit."""
+    some = pairs.withColumn("k", F.row_number().over(Window.partitionBy("path_a", "line_no_a").orderBy("place"))).where(F.col("k") <= per_anchor)
+    keyed = some.withColumn("pair", X.pair_key(F.col("path_a"), F.col("path_b"))).withColumn("score", F.col("jaccard") + F.col("hit"))
+    order = [F.desc(F.round("score", 9)), "path_a", "path_b", "line_a", "line_no_a", "line_b"]
+    first = keyed.withColumn("p", F.row_number().over(Window.partitionBy("pair").orderBy(*order))).where("p = 1")
+    return first.orderBy(*order).limit(total).drop("k", "p", "pair")
 
 
 def last_changes(feed: DataFrame) -> DataFrame:

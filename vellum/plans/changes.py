@@ -8,9 +8,10 @@ from vellum.functions import text as X
 from vellum.operators import federation as FED
 from vellum.operators import incremental as I
 from vellum.operators import temporal as TP
+from vellum.operators.graph import written
 from vellum.sources import tables as T
 
-from .base import NOTES, TALKS, query
+from .base import NOTES, TALKS, query, terms
 
 CURSOR = 9000
 #: The feed that stands for a history: event_id is the commit, the user the path, the type the status (error: deleted).
@@ -98,7 +99,7 @@ def _cue_sql(cues: list[str]) -> str:
     return "CASE " + " ".join("WHEN regexp_matches(line, '(?i)\\b{}\\b') THEN '{}'".format(c.replace("'", "''"), c.replace("'", "''")) for c in cues) + " END"
 
 
-ANCHORS = f"{LINES}, {BODY_LINES}, an AS (SELECT path, line_no, line, {_cue_sql(X.REVERSAL_CUES)} AS rev, {_cue_sql(X.ASSERTION_CUES)} AS ass FROM lines)"
+ANCHORS = f"{LINES}, {BODY_LINES}, an AS (SELECT path, line_no, line, {_cue_sql(X.REVERSAL_CUES)} AS rev, {_cue_sql(X.ASSERTION_CUES)} AS ass FROM lines WHERE NOT starts_with(line, '#'))"
 
 
 @query("anchors_classify", f"WITH {ANCHORS} SELECT path, CAST(line_no AS INT) AS line_no, coalesce(rev, ass) AS cue, rev IS NOT NULL AS reversal FROM an WHERE rev IS NOT NULL OR ass IS NOT NULL")
@@ -130,19 +131,60 @@ def jaccard_pairs(spark, d):
     return both.select("a", "b", F.round(F.col("n") / (F.col("ka") + F.col("kb") - F.col("n")), 9).alias("jaccard"))
 
 
-OPPOSED = f"""{ANCHORS}, tk AS (SELECT path, line_no, line, coalesce(rev, ass) AS cue, rev IS NOT NULL AS reversal, {_tokens_sql('line')} AS t FROM an WHERE rev IS NOT NULL OR ass IS NOT NULL),
- pr AS (SELECT a.path AS path_a, a.line_no AS na, b.path AS path_b, b.line_no AS nb, a.line AS line_a, b.line AS line_b, CASE WHEN a.reversal THEN a.cue ELSE b.cue END AS cue, len(list_intersect(a.t, b.t)) AS i, list_sort(list_intersect(a.t, b.t)) AS shared, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) AS jaccard
-  FROM tk a JOIN tk b ON a.path <> b.path AND a.reversal <> b.reversal AND len(a.t) >= 2),
- best AS (SELECT * FROM pr WHERE i > 0 AND jaccard >= 0.12 QUALIFY row_number() OVER (PARTITION BY path_a, na, path_b ORDER BY jaccard DESC, nb) = 1),
- few AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY path_a, na ORDER BY jaccard DESC, path_b) <= 3),
- one AS (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY least(path_a, path_b), greatest(path_a, path_b) ORDER BY jaccard DESC, path_a, path_b, line_a, line_b) = 1)"""
+SAID = r"""said AS (SELECT CASE WHEN conv_id % 17 = 0 THEN 'x/Templates/' WHEN conv_id % 17 = 1 THEN 'template.md/' ELSE 'talk/' END||conv_id||'-'||turn||'.md' AS path,
+  CASE conv_id % 11 WHEN 0 THEN 'talk/new.md' WHEN 1 THEN '  ' END AS superseded_by, CASE WHEN conv_id % 13 = 0 THEN '2026-01-01' END AS valid_to, CASE WHEN conv_id % 7 = 0 THEN 'old.md' END AS supersedes, conv_id % 19 = 0 AND turn = 0 AS is_index,
+  '# no longer a head'||chr(10)||CASE (conv_id + turn) % 4 WHEN 0 THEN 'We will ' WHEN 1 THEN 'we decided on ' WHEN 2 THEN 'This is no longer ' ELSE 'never mind ' END||string_split(t, '. ')[1]||chr(10)||substring(t, length(string_split(t, '. ')[1]) + 1) AS body
+  FROM (SELECT *, regexp_replace(coalesce(text, ''), '[\n\r\s]+', ' ', 'g') AS t FROM conversations))"""
+LEFT_OUT = "(coalesce(trim(superseded_by), '') <> '' OR valid_to IS NOT NULL OR len(list_intersect(string_split(lower(path), '/'), ['template', 'templates', '_templates'])) > 0)"
+
+
+def said(spark, d):
+    """Turns of conversations as notes: some replaced, some with an end, some that replace others, some under template folders."""
+    c, k = T.table(spark, d, "conversations"), F.col("conv_id")
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r\s]+", " ")
+    way = (k + F.col("turn")) % 4
+    lead = F.when(way == 0, "We will ").when(way == 1, "we decided on ").when(way == 2, "This is no longer ").otherwise("never mind ")
+    folder = F.when(k % 17 == 0, "x/Templates/").when(k % 17 == 1, "template.md/").otherwise("talk/")
+    first = F.substring_index("t", ". ", 1)
+    front = F.struct(F.when(k % 11 == 0, "talk/new.md").when(k % 11 == 1, "  ").alias("superseded_by"), F.when(k % 13 == 0, "2026-01-01").alias("valid_to"), F.when(k % 7 == 0, "old.md").alias("supersedes"))
+    body = F.concat(F.lit("# no longer a head\n"), lead, first, F.lit("\n"), F.substring("t", F.char_length(first) + 1, F.char_length("t")))
+    path = F.concat(folder, k.cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".md"))
+    return c.withColumn("t", t).select(path.alias("path"), F.to_json(front).alias("frontmatter"), body.alias("body"), ((k % 19 == 0) & (F.col("turn") == 0)).alias("is_index"))
+
+
+OPPOSED = f"""{SAID}, src AS (SELECT path, body FROM said WHERE NOT {LEFT_OUT} AND NOT is_index), ln AS (SELECT path, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line_no, trim(unnest(string_split(body, chr(10)))) AS line FROM src),
+ an AS (SELECT path, line_no, line, {_cue_sql(X.REVERSAL_CUES)} AS rev, {_cue_sql(X.ASSERTION_CUES)} AS ass FROM ln WHERE NOT starts_with(line, '#')),
+ tk AS (SELECT path, line_no, line, coalesce(rev, ass) AS cue, rev IS NOT NULL AS reversal, {_tokens_sql('line')} AS t FROM an WHERE rev IS NOT NULL OR ass IS NOT NULL),
+ wd AS (SELECT path, {terms('body')} AS w FROM said), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM wd), po AS (SELECT path, t, any_value(len) AS len, count(*) AS tf FROM (SELECT path, len(w) AS len, unnest(w) AS t FROM wd) GROUP BY 1, 2),
+ fr AS (SELECT t, count(*) AS df FROM po GROUP BY 1), im AS (SELECT path, po.t, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS w FROM po JOIN fr ON fr.t = po.t, st),
+ qs AS (SELECT path AS path_a, line_no AS na, unnest({terms('line')}) AS t FROM tk WHERE len(t) >= 2), sc AS (SELECT path_a, na, im.path AS path_b, sum(w) AS score FROM qs JOIN im ON im.t = qs.t GROUP BY 1, 2, 3),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY path_a, na ORDER BY round(score, 9) DESC, path_b) AS r FROM sc QUALIFY r <= 40), ht AS (SELECT path_a, na, path_b, CAST(1 AS DOUBLE) / (60 + r) AS hit, row_number() OVER (PARTITION BY path_a, na ORDER BY r) AS place FROM rk QUALIFY place <= 8),
+ pr AS (SELECT h.path_a, h.na, h.path_b, b.line_no AS nb, a.line AS line_a, b.line AS line_b, h.hit, h.place, CASE WHEN a.reversal THEN a.cue ELSE b.cue END AS cue, list_sort(list_intersect(a.t, b.t)) AS shared, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) AS jaccard
+  FROM ht h JOIN tk a ON a.path = h.path_a AND a.line_no = h.na JOIN tk b ON b.path = h.path_b WHERE h.path_a <> h.path_b AND h.hit >= 0.012 AND a.reversal <> b.reversal),
+ best AS (SELECT * FROM pr WHERE len(shared) > 0 AND jaccard >= 0.12 QUALIFY row_number() OVER (PARTITION BY path_a, na, path_b ORDER BY jaccard DESC, nb) = 1),
+ few AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY path_a, na ORDER BY place) <= 3),
+ one AS (SELECT *, round(jaccard + hit, 9) AS score FROM few QUALIFY row_number() OVER (PARTITION BY least(path_a, path_b), greatest(path_a, path_b) ORDER BY round(jaccard + hit, 9) DESC, path_a, path_b, line_a, na, line_b) = 1)"""
+
+
+def _opposed(spark, d):
+    n = said(spark, d)
+    lines = written(TP.anchors(TP.sources(n, n.where("is_index"))), "anchors")
+    chunks = n.select("path", F.lit(0).alias("ord"), X.terms(F.col("body")).alias("words"))
+    return TP.opposed(lines, lines, TP.recalled(lines, chunks, {"words": 1.0}))
+
+
+@query("contradictions", f"WITH {OPPOSED} SELECT path_a, path_b, line_a, line_b, cue, array_to_string(shared, ' ') AS shared, score FROM one ORDER BY one.score DESC, path_a, path_b, line_a, na, line_b LIMIT 20")
+def contradictions(spark, d):
+    found = TP.contradictions(_opposed(spark, d))
+    return found.select("path_a", "path_b", "line_a", "line_b", "cue", F.array_join("shared", " ").alias("shared"), F.round("score", 9).alias("score"))
 
 
-@query("contradictions", f"WITH {OPPOSED} SELECT path_a, path_b, line_a, line_b, cue, array_to_string(shared, ' ') AS shared, round(jaccard, 9) AS jaccard FROM one ORDER BY one.jaccard DESC, path_a, path_b, line_a, line_b LIMIT 20")
-def contradictions(spark, d):
-    a = TP.anchors(cued(spark, d))
-    found = TP.contradictions(TP.opposed(a, a))
-    return found.select("path_a", "path_b", "line_a", "line_b", "cue", F.array_join("shared", " ").alias("shared"), F.round("jaccard", 9).alias("jaccard"))
+@query("contradiction_recall", f"WITH {OPPOSED} SELECT path_a, CAST(na AS INT) AS line_no_a, path_b, round(hit, 9) AS hit, CAST(place AS INT) AS place FROM ht")
+def contradiction_recall(spark, d):
+    n = said(spark, d)
+    lines = TP.anchors(TP.sources(n, n.where("is_index")))
+    found = TP.recalled(lines, n.select("path", F.lit(0).alias("ord"), X.terms(F.col("body")).alias("words")), {"words": 1.0})
+    return found.select("path_a", "line_no_a", "path_b", F.round("hit", 9).alias("hit"), "place")
 
 
 @query("lag_behind_head", f"SELECT count(*) FILTER (event_id > {CURSOR}) AS behind FROM events")
@@ -198,10 +240,9 @@ def governs_glob_match(spark, d):
     return found.groupBy("path", "pattern").agg(F.count("*").alias("files"))
 
 
-@query("contradiction_exclusions", "SELECT * FROM (VALUES ('a.md', false), ('b.md', true), ('c.md', false), ('templates/d.md', true), ('x/Template/e.md', true), ('mytemplates/f.md', false)) t(path, excluded)")
+@query("contradiction_exclusions", f"WITH {SAID} SELECT path, {LEFT_OUT} AS excluded FROM said")
 def contradiction_exclusions(spark, d):
-    rows = [("a.md", "{}"), ("b.md", '{"superseded_by":"x"}'), ("c.md", '{"superseded_by":" "}'), ("templates/d.md", "{}"), ("x/Template/e.md", "{}"), ("mytemplates/f.md", "{}")]
-    return spark.createDataFrame(rows, "path string, j string").select("path", TP.excluded(F.col("path"), F.col("j")).alias("excluded"))
+    return said(spark, d).select("path", TP.excluded(F.col("path"), F.col("frontmatter")).alias("excluded"))
 
 
 @query("governing_docs", "SELECT 'plan-'||lang||'.md' AS path, 'docs/*/'||lang||'/1?.md' AS matched FROM (SELECT DISTINCT lang FROM documents) WHERE lang = 'en'")

@@ -24,7 +24,7 @@ def title_extract(spark, d):
     return n.select("path", F.coalesce(h1, F.regexp_replace(X.base_name(F.col("path")), r"\.md$", "")).alias("title"))
 
 
-@query("inline_tags", r"WITH b AS (SELECT doc_id, '#'||lang||' '||substring(text, 1, 200)||chr(10)||'#'||source||'/x #1no' AS body FROM documents) SELECT doc_id, array_to_string(list_transform(regexp_extract_all(body, '(?:^|\s)#([a-zA-Z][\w/-]+)', 1), lambda x: x), ',') AS tags FROM b")
+@query("inline_tags", r"WITH b AS (SELECT doc_id, '#'||lang||' '||text||chr(10)||'#'||source||'/x #1no' AS body FROM documents) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS tags FROM (SELECT doc_id, regexp_extract_all(body, '(?:^|\s)#([a-zA-Z][\w/-]+)', 1) AS l FROM b)")
 def inline_tags(spark, d):
     b = T.table(spark, d, "documents").select("doc_id", F.concat(F.lit("#"), "lang", F.lit(" "), "text", F.lit("\n#"), "source", F.lit("/x #1no")).alias("body"))
     return b.select("doc_id", F.array_join(F.array_distinct(F.regexp_extract_all("body", F.lit(r"(?:^|\s)#([a-zA-Z][\w/-]+)"), F.lit(1))), ",").alias("tags"))
