@@ -8,7 +8,10 @@ from vellum.functions import text as X
 from vellum.operators import chunks as C
 from vellum.operators import embed as E
 from vellum.operators import search as S
+from vellum.operators.graph import shared_folder
+from vellum.operators.store import Store
 from vellum.sources import tables as T
+from vellum.streaming.ingest import run_index
 
 from .base import CHUNKS, NOTES, bm25, cosine, query
 
@@ -65,6 +68,53 @@ def fts_repeated_term(spark, d):
     return S.bm25(_chunks(spark, d), "that that with", ["path", "ord"], {"body": 1.0}).select("path", "ord", F.round("score", 6).alias("score"))
 
 
+LIVE = f"WITH {CHUNKS}, live AS (SELECT *, '' AS heading FROM chunks WHERE doc_id % 7 <> 0)"
+
+
+def change_batches(spark, d):
+    """Document notes as three batches of changes: some with an older text, then all others and the new texts, then some that go."""
+    n = T.document_notes(spark, d).select("doc_id", "path", "title", "tags", F.coalesce("body", F.lit("")).alias("body"))
+    old = n.where("doc_id % 5 <> 0").withColumn("body", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("that older text "), "body")).otherwise(F.col("body")))
+    new = n.where("doc_id % 5 = 0 OR doc_id % 4 = 0 OR doc_id % 3 = 0")
+    return [(old, n.limit(0)), (new, n.limit(0)), (n.limit(0), n.where("doc_id % 7 = 0"))]
+
+
+def stored_index(spark, d):
+    """The store after these three versions."""
+    store = Store(spark, shared_folder(spark, "index"), pieces=lambda notes: C.document_windows(notes.withColumn("doc_id", F.lit(0))).withColumn("heading", F.lit("")))
+    for number, (fresh, gone) in enumerate(change_batches(spark, d)):
+        store.apply(number, fresh.drop("doc_id"), gone)
+    return store
+
+
+@query("fts_stored", f"{LIVE} SELECT path, ord, round(score, 6) AS score FROM {bm25('live', {'title': 2.0, 'heading': 1.5, 'body': 1.0}, WORDS, 'path, ord')}")
+def fts_stored(spark, d):
+    return stored_index(spark, d).search(TEXT).select("path", "ord", F.round("score", 6).alias("score"))
+
+
+@query("fts_stored_top", f"{LIVE} SELECT path, ord, round(score, 6) AS score FROM {bm25('live', {'title': 2.0, 'heading': 1.5, 'body': 1.0}, WORDS, 'path, ord')} ORDER BY round(score, 9) DESC, path, ord LIMIT 25")
+def fts_stored_top(spark, d):
+    return stored_index(spark, d).search(TEXT, 25).select("path", "ord", F.round("score", 6).alias("score"))
+
+
+@query("stored_chunks", f"{LIVE} SELECT path, ord, sha256(body) AS body_hash FROM live")
+def stored_chunks(spark, d):
+    return stored_index(spark, d).table("chunks").select("path", "ord", F.sha2("body", 256).alias("body_hash"))
+
+
+@query("stream_index_changes", f"{LIVE} SELECT path, count(*) AS n_chunks, sum(length(body)) AS n_chars FROM live GROUP BY 1")
+def stream_index_changes(spark, d):
+    """The same changes by a stream: three runs, each over what arrived, and one that finds nothing."""
+    root = shared_folder(spark, "changes")
+    store = Store(spark, f"{root}/index", pieces=lambda notes: C.document_windows(notes.withColumn("doc_id", F.lit(0))).withColumn("heading", F.lit("")))
+    for number, (fresh, gone) in enumerate(change_batches(spark, d)):
+        rows = fresh.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True))).drop("doc_id").withColumn("seq", F.lit(number))
+        rows.write.mode("append").parquet(f"{root}/in")
+        run_index(spark, f"{root}/in", rows.schema, store, f"{root}/checkpoint")
+    run_index(spark, f"{root}/in", rows.schema, store, f"{root}/checkpoint")
+    return store.table("chunks").groupBy("path").agg(F.count("*").alias("n_chunks"), F.sum(F.char_length("body")).alias("n_chars"))
+
+
 @query("vector_topk", f"SELECT vec_id, round({cosine('e.embedding', 'q.embedding')}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY round({cosine('e.embedding', 'q.embedding')}, 9) DESC, vec_id LIMIT 10")
 def vector_topk(spark, d):
     s = S.vector_scores(T.table(spark, d, "embeddings"), _probe(spark, d), ["vec_id"])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vellum.operators.store import Store
+
 
 def run_available(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str, transform) -> None:
     """One run: new files through `transform` into Parquet at sink. The checkpoint is the cursor; a second run adds nothing."""
@@ -18,6 +20,21 @@ def run_available(spark: SparkSession, source: str, schema: StructType, sink: st
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_index(spark: SparkSession, source: str, schema: StructType, store: Store, checkpoint: str) -> None:
+    """One run of the index over arriving changes (path, title, tags, body, deleted, seq): each batch is one version of the store.
+
+    Of a path's changes in a batch the last one counts. The batch number goes into the version, so a batch that is run
+    again after a failure changes nothing if it had been committed, and starts over if it had not.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "seq").alias("c")).select("path", "c.*")
+        store.apply(number, last.where("NOT deleted").drop("deleted", "seq"), last.where("deleted").select("path"))
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by window and type with a watermark; works on batch and streaming tables alike."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
