@@ -3,11 +3,12 @@
 Level by level (words, pairs, triples) a phrase is a candidate only if all shorter phrases inside it may be frequent:
 that is a lookup in a bit array of fixed size, BITS bits, where the frequent keys of the level before have their bits,
 so it lets some others through and holds none back. Mappers reduce the keys of a block of text to distinct ones with
-counts, in one row of arrays a shard. A shard is a range of 64-bit keys. Its candidates get a minimal perfect hash
-that stores them; for each part of the blocks one task turns keys into slots, compares the stored keys, and adds
-the counts by numpy.bincount; the parts' arrays are summed shard by shard. A last scan brings the words of frequent
-phrases (again by bit array, then by stored key), and the counts of a phrase's parts are read by slot: each shard asks
-for each part once, however many of its phrases share it, so a frequent word makes no hot group.
+counts and the keys of their words, in one row of arrays a shard. A shard is a range of 64-bit keys. Its candidates
+get a minimal perfect hash that stores them; for each part of the blocks one task turns keys into slots, compares the
+stored keys, and adds the counts by numpy.bincount; the parts' arrays are summed shard by shard. The counts of a
+phrase's parts are read by slot: each shard asks for each part once, in one array a shard that it asks, however many
+of its phrases share it, so a frequent word makes no hot group. Only phrases that may be among a language's best (with
+all that tie) become rows; a last scan brings their words, again by bit array and then by key.
 
 Counts and products are exact: scores are computed with integers of any size. Phrases, and language totals, are
 identified by 64-bit hashes.
@@ -32,8 +33,8 @@ from . import kernels as K
 from . import scratch
 from .perfect_hash import PerfectHash
 
-#: Places of the bit arrays (8 MB); table bytes of a shard and shards at most; blocks of a part, of so many table bytes.
-BITS, SHARD_BYTES, SHARDS, PART_BYTES = 26, 16 << 20, 1 << 14, 8 << 30
+#: Places of the bit arrays (8 MB); table bytes of a shard, shards at most, bits of their number at least; table bytes of a part's blocks.
+BITS, SHARD_BYTES, SHARDS, LEAST_BITS, PART_BYTES = 26, 16 << 20, 1 << 14, 5, 8 << 30
 #: Keys that a mapper holds before it reduces them, and distinct ones of a block.
 HELD, BLOCK = 1 << 21, 1 << 22
 #: First windows of the ranking, a language.
@@ -43,7 +44,6 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in BREAKS]] = True
 _WORD = ~_BREAK
 _WORD[[0x20, 0x09]] = False
-STORE = "shard int, sizes array<int>, bits array<binary>, keys binary, counts binary"
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,69 +101,81 @@ def _phrases(key: np.ndarray, follows: np.ndarray, level: int, bits: list[Bits])
     return first, _join(pair, key[first + 2])
 
 
-def _reduce(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with the sums of their counts."""
+def _reduce(keys: list[np.ndarray], counts: list[np.ndarray], words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their counts and one of their rows of words."""
     every, number = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(every, kind="stable")
     every, number = every[order], number[order]
     first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-    return every[first], np.add.reduceat(number, first) if len(first) else np.zeros(0, np.int64)
+    return every[first], np.add.reduceat(number, first) if len(first) else np.zeros(0, np.int64), np.concatenate(words)[order[first]]
+
+
+def _distinct(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all rows, ascending, with their rows of `width` words."""
+    found, one = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]), return_index=True)
+    words = np.concatenate([np.frombuffer(x, "<u8") for x in table["words"].to_pylist()])
+    return found, words.reshape(-1, width)[one] if width else np.zeros((len(found), 0), np.uint64)
 
 
 def _shards(docs: DataFrame) -> tuple[int, int]:
     """(bits of a shard's number, parts of the blocks), by the size of the table."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     size = size if size < 1 << 60 else 0
-    return min((max(1, size // SHARD_BYTES) - 1).bit_length() if size > SHARD_BYTES else 1, SHARDS.bit_length() - 1), max(1, -(-size // PART_BYTES))
+    bits = (-(-size // SHARD_BYTES) - 1).bit_length() if size > SHARD_BYTES else 0
+    return min(max(bits, LEAST_BITS), SHARDS.bit_length() - 1), max(1, -(-size // PART_BYTES))
 
 
 def count_level(docs: DataFrame, level: int, given: list, shard_bits: int, parts: int, name: str) -> DataFrame:
     """The level's store, written: for each shard the perfect hash of its candidates and their counts by slot."""
 
+    width = level + 1 if level > 1 else 0  # words and language of a phrase
+
     def scan(batches):
         part = TaskContext.get().partitionId() % parts
         bits = [Bits(b.value) for b in given]
-        keys, counts, held = [], [], 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
         def rows() -> pa.RecordBatch:
-            k, n = keys[0], counts[0]
+            k, n, w = held[0]
             shard = (k >> np.uint64(64 - shard_bits)).astype(np.int64)
             cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
             borders = np.append(cut, len(k))
-            kinds = [pa.array(shard[cut].astype(np.int32)), pa.array(np.full(len(cut), part, np.int32)), K.blobs(k, borders), K.blobs(n.astype(np.int64), borders)]
-            return pa.RecordBatch.from_arrays(kinds, names=["shard", "part", "keys", "counts"])
+            kinds = [pa.array(shard[cut].astype(np.int32)), pa.array(np.full(len(cut), part, np.int32)), K.blobs(k, borders), K.blobs(n.astype("<u4"), borders), K.blobs(w.reshape(-1), borders * width)]
+            return pa.RecordBatch.from_arrays(kinds, names=["shard", "part", "keys", "counts", "words"])
 
-        for langs, _, starts, _, key, follows, of_lang, n_words, _ in _sentences(batches):
+        for _, _, _, _, key, follows, of_lang, n_words, doc in _sentences(batches):
             if level == 1:
-                keys += [key, of_lang]
-                counts += [np.ones(len(key), np.int64), n_words.astype(np.int64)]
-                held += len(key) + len(of_lang)
+                none = np.zeros((len(key) + len(of_lang), 0), np.uint64)
+                held.append((np.concatenate([key, of_lang]), np.concatenate([np.ones(len(key), np.int64), n_words.astype(np.int64)]), none))
             elif len(key) >= level:
-                found = _phrases(key, follows, level, bits)[1]
-                keys.append(found)
-                counts.append(np.ones(len(found), np.int64))
-                held += len(found)
-            if held > HELD:
-                k, n = _reduce(keys, counts)
-                keys, counts, held = [k], [n], 0
-                if len(k) > BLOCK:
+                first, found = _phrases(key, follows, level, bits)
+                held.append((found, np.ones(len(found), np.int64), np.stack([*[key[first + k] for k in range(level)], of_lang[doc[first]]], 1)))
+            else:
+                continue
+            size += len(held[-1][0])
+            if size > HELD:
+                held, size = [_reduce(*zip(*held))], 0
+                if len(held[0][0]) > BLOCK:
                     yield rows()
-                    keys, counts = [], []
-        if keys:
-            k, n = _reduce(keys, counts)
-            keys, counts = [k], [n]
-            if len(k):
+                    held = []
+        if held:
+            held = [_reduce(*zip(*held))]
+            if len(held[0][0]):
                 yield rows()
 
     def union(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Distinct keys of a shard's part."""
-        found = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([found.tobytes()], pa.binary())})
+        found, words = _distinct(table, width)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([found.tobytes()], pa.binary()), "words": pa.array([words.tobytes()], pa.binary())})
 
     def hashed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]))
-        sizes, bits, keys = PerfectHash.build(found).dump()
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([sizes], pa.list_(pa.int32())), "bits": pa.array([bits], pa.list_(pa.binary())), "keys": pa.array([keys], pa.binary())})
+        found, words = _distinct(table, width)
+        made = PerfectHash.build(found)
+        sizes, bits, keys = made.dump()
+        by_slot = np.empty_like(words)
+        by_slot[made.find(found)[0]] = words
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([sizes], pa.list_(pa.int32())), "bits": pa.array([bits], pa.list_(pa.binary())), "keys": pa.array([keys], pa.binary()), "words": pa.array([by_slot.tobytes()], pa.binary())})
 
     def add(key: tuple[pa.Scalar, ...], hashes: pa.Table, blocks: pa.Table) -> pa.Table:
         """A part's counts by slot."""
@@ -171,7 +183,7 @@ def count_level(docs: DataFrame, level: int, given: list, shard_bits: int, parts
         table, total = PerfectHash.load(h["sizes"], h["bits"], h["keys"]), None
         for k, n in zip(blocks["keys"].to_pylist(), blocks["counts"].to_pylist()):
             slot, known = table.find(np.frombuffer(k, "<u8"))
-            n = np.frombuffer(n, "<i8")
+            n = np.frombuffer(n, "<u4")  # a block's words are far fewer than 2**32
             # weights are floats: exact below 2**53, and a block's counts lie far below
             got = np.bincount(slot[known], weights=n[known], minlength=len(table.keys)).astype(np.int64)
             total = got if total is None else total + got
@@ -181,15 +193,18 @@ def count_level(docs: DataFrame, level: int, given: list, shard_bits: int, parts
         total = np.sum([np.frombuffer(x, "<i8") for x in table["counts"].to_pylist()], axis=0, dtype=np.int64)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    blocks = scratch.settle(docs.select("lang", "text").mapInArrow(scan, "shard int, part int, keys binary, counts binary"), f"{name}-{level}-blocks")
-    distinct = blocks.select("shard", "part", "keys").groupBy("shard", "part").applyInArrow(union, "shard int, keys binary")
-    hashes = scratch.settle(distinct.groupBy("shard").applyInArrow(hashed, "shard int, sizes array<int>, bits array<binary>, keys binary"), f"{name}-{level}-hashes")
-    for_parts = hashes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    summed = for_parts.groupBy("shard", "part").cogroup(blocks.groupBy("shard", "part")).applyInArrow(add, "shard int, counts binary")
+    blocks = scratch.settle(docs.select("lang", "text").mapInArrow(scan, "shard int, part int, keys binary, counts binary, words binary"), f"{name}-{level}-blocks")
+    distinct = blocks.select("shard", "part", "keys", "words")
+    if parts > 1:
+        distinct = distinct.groupBy("shard", "part").applyInArrow(union, "shard int, keys binary, words binary")
+    hashes = scratch.settle(distinct.groupBy("shard").applyInArrow(hashed, "shard int, sizes array<int>, bits array<binary>, keys binary, words binary"), f"{name}-{level}-hashes")
+    for_parts = hashes.drop("words").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    summed = for_parts.groupBy("shard", "part").cogroup(blocks.select("shard", "part", "keys", "counts").groupBy("shard", "part")).applyInArrow(add, "shard int, counts binary")
     totals = summed.groupBy("shard").applyInArrow(tree_sum, "shard int, counts binary")
-    store = scratch.settle(hashes.join(totals, "shard"), f"{name}-{level}-store")
+    store = scratch.settle(hashes.join(totals, "shard").withColumn("level", F.lit(level)), f"{name}-{level}-store")
     for t in (blocks, hashes):
         scratch.drop(docs.sparkSession, t)
+    scratch.release(docs.sparkSession)
     return store
 
 
@@ -212,102 +227,169 @@ def frequent_bits(store: DataFrame, least: int, shard_bits: int) -> np.ndarray:
     return out
 
 
-def spelled(docs: DataFrame, bits: list, shard_bits: int) -> DataFrame:
-    """(key, level, shard, lang, phrase, words) of phrases that may be frequent, one row a phrase and block; words are keys."""
+def _survivors(row: dict, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, keys of the cuts' parts, language keys) of a shard's phrases with `least` and more."""
+    level, counts = row["level"], np.frombuffer(row["counts"], "<i8")
+    some = np.flatnonzero(counts >= least)
+    words = np.frombuffer(row["words"], "<u8").reshape(-1, level + 1)[some]
+    w = [words[:, k] for k in range(level)]
+    cuts = [w[0], w[1]] if level == 2 else [w[0], _join(w[1], w[2]), _join(w[0], w[1]), w[2]]
+    return np.frombuffer(row["keys"], "<u8")[some], counts[some], np.stack(cuts, 1), words[:, level]
+
+
+ASKED = "level int, shard int, from_level int, source int, keys binary"
+
+
+def asked(store: DataFrame, least: int, shard_bits: int) -> DataFrame:
+    """For each shard of phrases and each shard that holds parts of theirs, the distinct parts: (level, shard, from_level, source, keys)."""
+
+    def read(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                _, _, cuts, langs = _survivors(r, least)
+                if not len(langs):
+                    continue
+                ones = [langs, cuts[:, 0], cuts[:, -1]]
+                for level, keys in ((1, np.unique(np.concatenate(ones))), (2, np.unique(cuts[:, 1:3]) if r["level"] == 3 else np.zeros(0, np.uint64))):
+                    if not len(keys):
+                        continue
+                    shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int32)
+                    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+                    n = len(cut)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, level, np.int32)), pa.array(shard[cut]), pa.array(np.full(n, r["level"], np.int32)), pa.array(np.full(n, r["shard"], np.int32)), K.blobs(keys, np.append(cut, len(keys)))], names=["level", "shard", "from_level", "source", "keys"])
+
+    return store.where("level > 1").select("level", "shard", "keys", "counts", "words").mapInArrow(read, ASKED)
+
+
+def answers(questions: DataFrame, store: DataFrame) -> DataFrame:
+    """(level, shard, keys, counts) for the shards that asked: counts read by slot."""
+
+    def read(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"level": left["from_level"], "shard": left["source"], "keys": left["keys"]}
+        counts = []
+        if len(left):
+            s = right.to_pylist()[0]
+            table, by_slot = PerfectHash.load(s["sizes"], s["bits"], s["keys"]), np.frombuffer(s["counts"], "<i8")
+            for keys in left["keys"].to_pylist():
+                slot, known = table.find(np.frombuffer(keys, "<u8"))
+                counts.append(np.where(known, by_slot[slot], 0).astype("<i8").tobytes())
+        return pa.table({**out, "counts": pa.array(counts, pa.binary())})
+
+    return questions.groupBy("level", "shard").cogroup(store.drop("words").groupBy("level", "shard")).applyInArrow(read, "level int, shard int, keys binary, counts binary")
+
+
+SCORED = "level int, shard int, keys binary, langs binary, a binary, l binary, r binary, n binary, score binary, beaten binary"
+NUMBERS = ["a", "l", "r", "n", "score"]
+
+
+def scores(a: np.ndarray, cuts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, r, score) at the cut with the least score, the first of equal ones; integers of any size in between."""
+    square = a.astype(object) ** 2 * 1_000_000
+    best = None
+    for l, r in cuts:  # noqa: E741
+        # all parts have the phrase's count at least, so a score is one million at most
+        s = (square // (l.astype(object) * r.astype(object))).astype(np.int64)
+        if best is None:
+            best = [l.copy(), r.copy(), s]
+        else:
+            less = s < best[2]
+            for old, new in zip(best, (l, r, s)):
+                old[less] = new[less]
+    return tuple(best)
+
+
+def score(store: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+    """Arrays a shard: each phrase with its worst cut, its language's words; `beaten`: pairs that the triples make superfluous."""
+
+    def read(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("level", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("keys", "langs", *NUMBERS, "beaten")]])
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        row = left.to_pylist()[0]
+        keys, a, cuts, langs = _survivors(row, least)
+        known, f = (np.concatenate([np.frombuffer(x, t) for x in right[c].to_pylist()]) for c, t in (("keys", "<u8"), ("counts", "<i8")))
+        order = np.argsort(known)
+        known, f = known[order], f[order]
+        of = lambda k: f[np.searchsorted(known, k)]
+        parts = of(cuts)
+        l, r, s = scores(a, [(parts[:, k], parts[:, k + 1]) for k in range(0, parts.shape[1], 2)])  # noqa: E741
+        beaten = np.unique(cuts[:, 1:3][100 * a[:, None] >= 50 * parts[:, 1:3]]) if row["level"] == 3 else np.zeros(0, np.uint64)
+        values = [keys, langs, a, l, r, of(langs), s, beaten]
+        return pa.table([pa.array([row["level"]], pa.int32()), pa.array([row["shard"]], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in values]], schema=schema)
+
+    given = store.where("level > 1").select("level", "shard", "keys", "counts", "words")
+    return given.groupBy("level", "shard").cogroup(counts.groupBy("level", "shard")).applyInArrow(read, SCORED)
+
+
+def best(scored: DataFrame, top: int, shard_bits: int) -> DataFrame:
+    """(key, lang_key, a, l, r, n, score) of phrases that no triple beats, of each shard and language the `top` best and all that tie with the last."""
+
+    def send(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = np.frombuffer(r["beaten"], "<u8")
+                shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int32)
+                cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(keys) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), 2, np.int32)), pa.array(shard[cut]), K.blobs(keys, np.append(cut, len(keys)))], names=["level", "shard", "beaten"])
+
+    def pick(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["key", "lang_key", *NUMBERS]
+        cols = {c: np.zeros(0, np.int64) for c in names}
+        if len(left):
+            row = left.to_pylist()[0]
+            keys, langs = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["langs"], "<i8")
+            num = {c: np.frombuffer(row[c], "<i8") for c in NUMBERS}
+            ok = np.ones(len(keys), bool)
+            if len(right):
+                ok = ~np.isin(keys, np.concatenate([np.frombuffer(x, "<u8") for x in right["beaten"].to_pylist()]))
+            order = np.lexsort((-num["a"], -num["score"], langs))
+            order = order[ok[order]]
+            s, a, lang = num["score"][order], num["a"][order], langs[order]
+            begin = np.flatnonzero(np.append(True, lang[1:] != lang[:-1])) if len(order) else np.zeros(0, np.int64)
+            size = np.diff(np.append(begin, len(order)))
+            last = np.repeat(begin + np.minimum(size, top) - 1, size)
+            chosen = order[(s > s[last]) | ((s == s[last]) & (a >= a[last]))]
+            cols = {"key": keys[chosen].view(np.int64), "lang_key": langs[chosen], **{c: v[chosen] for c, v in num.items()}}
+        return pa.table({c: pa.array(cols[c]) for c in names})
+
+    beaten = scored.where("level = 3").select("beaten").mapInArrow(send, "level int, shard int, beaten binary")
+    schema = "key long, lang_key long, a long, l long, r long, n long, score long"
+    return scored.drop("beaten").groupBy("level", "shard").cogroup(beaten.groupBy("level", "shard")).applyInArrow(pick, schema)
+
+
+def spelled(docs: DataFrame, bits: list, wanted) -> DataFrame:
+    """(key, lang, phrase) of the phrases whose keys have their bit in `wanted`, once a task or a few times."""
 
     def scan(batches):
-        filters = [Bits(b.value) for b in bits]
-        seen = {2: np.zeros(0, np.uint64), 3: np.zeros(0, np.uint64)}
+        filters, asked_for = [Bits(b.value) for b in bits], Bits(wanted.value)
+        seen: set[int] = set()
         for langs, buf, starts, ends, key, follows, _, _, doc in _sentences(batches):
             for level in (2, 3):
                 if len(key) < level:
                     continue
                 first, found = _phrases(key, follows, level, filters)
-                ok = filters[level - 1].has(found)
+                ok = asked_for.has(found)
                 found, one = np.unique(found[ok], return_index=True)
                 first = first[ok][one]
-                new = ~np.isin(found, seen[level], assume_unique=True)
+                new = np.array([k not in seen for k in found.tolist()], bool)
                 found, first = found[new], first[new]
-                if not len(found):
-                    continue
-                if len(seen[level]) > BLOCK:
-                    seen[level] = np.zeros(0, np.uint64)
-                seen[level] = np.concatenate([seen[level], found])
-                phrases = []
-                low = K.LOWER[buf]
-                for i in first.tolist():
-                    phrases.append(" ".join([low[starts[i + k] : ends[i + k]].tobytes().decode() for k in range(level)]))
-                words = np.stack([key[first + k] for k in range(level)], 1).astype("<u8")
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(found.view(np.int64)), pa.array(np.full(n, level, np.int32)), pa.array((found >> np.uint64(64 - shard_bits)).astype(np.int32)),
-                    pa.array([langs[d] for d in doc[first].tolist()], pa.string()), pa.array(phrases, pa.string()), K.blobs(words.reshape(-1), np.arange(n + 1) * level)],
-                    names=["key", "level", "shard", "lang", "phrase", "words"])
-
-    rows = docs.select("lang", "text").mapInArrow(scan, "key long, level int, shard int, lang string, phrase string, words binary")
-    return rows.dropDuplicates(["level", "key"])
-
-
-def survivors(phrases: DataFrame, store: DataFrame, least: int) -> DataFrame:
-    """Phrases with their counts, by slot: (source, level, key, lang, phrase, a, total, cuts), cuts as keys of first part and rest."""
-
-    def read(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("source", "level", "key", "lang", "phrase", "a", "total", "cuts")}
-        if len(left) and len(right):
-            s, level = right.to_pylist()[0], key[0].as_py()
-            table, counts = PerfectHash.load(s["sizes"], s["bits"], s["keys"]), np.frombuffer(s["counts"], "<i8")
-            slot, known = table.find(left["key"].to_numpy().view(np.uint64))
-            a = np.where(known, counts[slot], 0)
-            some = left.append_column("a", pa.array(a)).filter(pa.array(a >= least))
-            words = np.frombuffer(b"".join(some["words"].to_pylist()), "<u8").reshape(len(some), level)
-            w = [words[:, k] for k in range(level)]
-            cuts = [w[0], w[1]] if level == 2 else [w[0], _join(w[1], w[2]), _join(w[0], w[1]), w[2]]
-            langs = some["lang"].to_pylist()
-            out = {"source": [key[1].as_py()] * len(some), "level": [level] * len(some), "key": some["key"], "lang": langs, "phrase": some["phrase"], "a": some["a"],
-                   "total": _lang_keys(langs).view(np.int64) if langs else [], "cuts": list(np.stack(cuts, 1).view(np.int64)) if len(some) else []}
-        types = {"source": pa.int32(), "level": pa.int32(), "key": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "a": pa.int64(), "total": pa.int64(), "cuts": pa.list_(pa.int64())}
-        return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v, types[k]) for k, v in out.items()}, schema=pa.schema(types))
-
-    schema = "source int, level int, key long, lang string, phrase string, a long, total long, cuts array<long>"
-    return phrases.groupBy("level", "shard").cogroup(store.groupBy("level", "shard")).applyInArrow(read, schema)
-
-
-def answers(asked: DataFrame, store: DataFrame, shard_bits: int) -> DataFrame:
-    """(source, key, f) of the distinct (source, level, key) asked for: counts by slot."""
-
-    def read(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"source": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "f": pa.array([], pa.int64())})
-        s = right.to_pylist()[0]
-        slot, known = PerfectHash.load(s["sizes"], s["bits"], s["keys"]).find(left["key"].to_numpy().view(np.uint64))
-        f = np.where(known, np.frombuffer(s["counts"], "<i8")[slot], 0)
-        return pa.table({"source": left["source"], "key": left["key"], "f": pa.array(f)})
-
-    placed = asked.withColumn("shard", F.shiftrightunsigned("key", 64 - shard_bits).cast("int"))
-    return placed.groupBy("level", "shard").cogroup(store.groupBy("level", "shard")).applyInArrow(read, "source int, key long, f long")
-
+                if len(seen) > BLOCK:
+                    seen.clear()
+                seen.update(found.tolist())
+                phrases = [" ".join([K.LOWER[buf[starts[i + k] : ends[i + k]]].tobytes().decode() for k in range(level)]) for i in first.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array([langs[d] for d in doc[first].tolist()], pa.string()), pa.array(phrases, pa.string())], names=["key", "lang", "phrase"])
 
-SCORED = "lang string, level int, key long, phrase string, a long, l long, r long, n long, score long, beaten array<long>"
+    return docs.select("lang", "text").mapInArrow(scan, "key long, lang string, phrase string")
 
 
-def score(some: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each phrase with its worst cut, its language's words and the pairs inside it that it makes superfluous."""
-
-    def read(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        f = dict(zip(right["key"].to_pylist(), right["f"].to_pylist()))
-        out = []
-        for r in left.to_pylist():
-            a, cuts = r["a"], r["cuts"]
-            parts = [(f[cuts[k]], f[cuts[k + 1]]) for k in range(0, len(cuts), 2)]
-            scores = [1_000_000 * a * a // (x * y) for x, y in parts]
-            worst = scores.index(min(scores))
-            beaten = [k for k in cuts[1:3] if 100 * a >= 50 * f[k]] if r["level"] == 3 else []
-            out.append((r["lang"], r["level"], r["key"], r["phrase"], a, *parts[worst], f[r["total"]], scores[worst], beaten))
-        types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        names = ["lang", "level", "key", "phrase", "a", "l", "r", "n", "score", "beaten"]
-        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=names)
-
-    return some.groupBy("source").cogroup(counts.groupBy("source")).applyInArrow(read, SCORED)
+def _bits_of(keys: DataFrame) -> np.ndarray:
+    """The packed bits of the column `key`, set in Spark byte by byte; at most 2**BITS / 8 bytes with a bit reach the driver."""
+    at = keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("at"))
+    words = at.groupBy(F.shiftrightunsigned("at", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(7 - at % 8 AS int)))").alias("flags"))
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in words.toLocalIterator():
+        out[r["byte"]] = r["flags"]
+    return out
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000) -> DataFrame:
@@ -321,19 +403,18 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000) -> DataFrame
     stores, bits = [], []
     for level in (1, 2, 3):
         stores.append(count_level(docs, level, bits, shard_bits, parts, "collocations"))
-        bits.append(spark.sparkContext.broadcast(frequent_bits(stores[-1], least, shard_bits)))
-    store = stores[0].withColumn("level", F.lit(1))
-    for level in (2, 3):
-        store = store.unionByName(stores[level - 1].withColumn("level", F.lit(level)))
-    some = scratch.settle(survivors(spelled(docs, bits, shard_bits), store, least), "collocations-phrases")
-    words = F.when(F.col("level") == 2, F.col("cuts")).otherwise(F.array(F.get("cuts", 0), F.get("cuts", 3)))
-    of_words = some.select("source", F.lit(1).alias("level"), F.explode(F.concat(words, F.array("total"))).alias("key"))
-    of_pairs = some.where("level = 3").select("source", F.lit(2).alias("level"), F.explode(F.slice("cuts", 2, 2)).alias("key"))
-    counts = answers(of_words.unionByName(of_pairs).distinct(), store, shard_bits)
-    scored = scratch.settle(score(some, counts), "collocations-scores")
-    beaten = scored.where("level = 3").select(F.explode("beaten").alias("key")).distinct()
-    kept = scored.where("level = 3").unionByName(scored.where("level = 2").join(beaten, "key", "left_anti"))
-    best = [F.desc("score"), F.desc("a"), "phrase"]
-    first = kept.withColumn("salt", F.pmod("key", F.lit(SALTS))).withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).where(F.col("k") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
+        if level < 3:
+            bits.append(spark.sparkContext.broadcast(frequent_bits(stores[-1], least, shard_bits)))
+    store = stores[0].unionByName(stores[1]).unionByName(stores[2])
+    scored = scratch.settle(score(store, answers(asked(store, least, shard_bits), store), least), "collocations-scores")
+    some = scratch.settle(best(scored, top, shard_bits), "collocations-best")
+    for t in [*stores, scored]:
+        scratch.drop(spark, t)
+    ties = [F.desc("score"), F.desc("a")]
+    salted = some.withColumn("salt", F.pmod("key", F.lit(SALTS))).withColumn("k", F.rank().over(Window.partitionBy("lang_key", "salt").orderBy(*ties))).where(F.col("k") <= top)
+    chosen = scratch.settle(salted.withColumn("k", F.rank().over(Window.partitionBy("lang_key").orderBy(*ties))).where(F.col("k") <= top).drop("salt", "k"), "collocations-chosen")
+    wanted = spark.sparkContext.broadcast(_bits_of(chosen.select("key")))
+    phrases = spelled(docs, bits, wanted).dropDuplicates(["key"])
+    order = Window.partitionBy("lang").orderBy(*ties, "phrase")
+    ranked = chosen.join(phrases, "key").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
