@@ -258,9 +258,11 @@ def test_reranker_choice():
     assert embed.choose("", ["down"], score) == ("", "off", "no runtime")
 
 
-def test_nearest_of_each_in_blocks(spark):
+def test_nearest_of_each_in_blocks(spark, monkeypatch):
     import random
 
+    from vellum.operators import vectors
+
     r = random.Random(3)
     rows = [(i, [r.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(120)] + [(200, None), (None, [1.0, 1.0, 1.0]), (201, [0.0, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
@@ -268,7 +270,8 @@ def test_nearest_of_each_in_blocks(spark):
     known = {i: x for i, x in rows if i is not None and x is not None}
     unit = {i: [a / max(sum(b * b for b in x) ** 0.5, 1e-300) for a in x] for i, x in known.items()}
     for block in (7, 1000):
-        got = {r["fact"]: (r["note"], round(r["score"], 9)) for r in embed.nearest_each(facts, v, "id", "v", block).collect()}
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        got = {r["fact"]: (r["note"], round(r["score"], 9)) for r in embed.nearest_each(facts, v, "id", "v").collect()}
         want = {f: max(((round(sum(a * b for a, b in zip(unit[f], unit[i])), 9), -i) for i in known if i != f)) for f in known if f % 5 == 0}
         assert {f: s for f, (_, s) in got.items()} == {f: s for f, (s, _) in want.items()}
     assert embed.nearest_each(facts.limit(0), v, "id", "v").count() == 0

@@ -12,11 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.operators import incremental
-from vellum.operators.graph import written
+from vellum.operators import incremental, vectors
 
-#: Facts that one pass over the notes takes; a pass sends each task about this many vectors.
-FACTS = 1 << 14
 VECTOR = "array<double>"
 
 
@@ -68,9 +65,9 @@ def embed(texts: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame
     return texts.drop("vec").mapInArrow(run, schema)
 
 
-def refreshed(chunks: DataFrame, vectors: DataFrame, embedder: Embedder) -> DataFrame:
+def refreshed(chunks: DataFrame, stored: DataFrame, embedder: Embedder) -> DataFrame:
     """(chunk_hash, model, vec) of all chunks (chunk_hash, text): stored vectors of the model, the others embedded once a hash."""
-    plan = incremental.embed_plan(chunks.select("chunk_hash", "text").dropDuplicates(["chunk_hash"]), vectors, embedder.model)
+    plan = incremental.embed_plan(chunks.select("chunk_hash", "text").dropDuplicates(["chunk_hash"]), stored, embedder.model)
     model = F.lit(embedder.model).alias("model")
     kept = plan.where("reused").select("chunk_hash", model, F.col("vec").cast(VECTOR).alias("vec"))
     new = embed(plan.where(~F.col("reused")).select("chunk_hash", "text"), embedder)
@@ -107,54 +104,16 @@ def choose(configured: str, candidates: Iterable[str], score: Callable[[str, str
     return "", "off", "no runtime"
 
 
-def nearest_each(facts: DataFrame, notes: DataFrame, key: str, vector: str, block: int = FACTS) -> DataFrame:
+def nearest_each(facts: DataFrame, notes: DataFrame, key: str, vector: str, by_index: bool = False, probes: int | None = None) -> DataFrame:
     """J14 in a batch: (fact, note, score): of each fact the most similar other row, the least key among equals.
 
-    Facts go in blocks of about `block`, each against all notes: its vectors are broadcast (block times the vector's
-    size, whatever the tables' sizes), a task keeps one best note a fact, and the block's result is written before the
-    next one starts. Vectors of another length than a block's first one, null ones and null keys take no part.
+    The exact route compares each fact with all rows of its length, in blocks; the index compares it with the rows of
+    the cells that it probes. Null vectors and null keys take no part.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    spark = facts.sparkSession
-    ready = lambda df: df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast(VECTOR).alias("v")).where("k is not null and v is not null")
-    asked, rows = ready(facts), ready(notes)
-    n = -(-asked.count() // block)
-    dealt = written(asked.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(max(1, n)))), "facts")
-    out = None
-    for b in range(n):
-        mine = dealt.where(F.col("b") == b).toArrow()  # about `block` rows
-        size = len(mine["v"][0]) if len(mine) else 0
-        some = [(k, v) for k, v in zip(mine["k"].to_pylist(), mine["v"].to_pylist()) if len(v) == size]
-        if not size or not some:
-            continue
-        ids, matrix = np.array([k for k, _ in some]), np.array([v for _, v in some], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches, shared=shared):
-            ids, matrix = shared.value
-            score, note = np.full(len(ids), -2.0), np.zeros(len(ids), np.int64)
-            for batch in batches:
-                fits = [i for i, v in enumerate(batch.column("v")) if len(v) == matrix.shape[1]]
-                for at in range(0, len(fits), 1024):
-                    part = batch.take(pa.array(fits[at : at + 1024]))
-                    own = part.column("k").to_numpy()
-                    order = np.argsort(own, kind="stable")
-                    x = np.array(part.column("v").to_pylist(), np.float64)[order]
-                    own = own[order]
-                    s = matrix @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                    s[ids[:, None] == own[None, :]] = -2
-                    top = s.argmax(axis=1)  # the first of equals has the least key
-                    value, key_ = s[np.arange(len(ids)), top], own[top]
-                    better = (value > score) | ((value == score) & (value > -2) & (key_ < note))
-                    score, note = np.where(better, value, score), np.where(better, key_, note)
-            found = score > -2
-            yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(note[found]), pa.array(score[found])], names=["fact", "note", "score"])
-
-        near = rows.mapInArrow(best, "fact long, note long, score double")
-        done = written(near.groupBy("fact").agg(F.max_by(F.struct("note", "score"), F.struct("score", F.negate("note"))).alias("b")).select("fact", "b.note", "b.score"), "nearest")
-        shared.unpersist()
-        out = done if out is None else out.unionByName(done)
-    return out if out is not None else spark.createDataFrame([], "fact long, note long, score double")
+    asked, rows = vectors.ready(facts, key, vector), vectors.ready(notes, key, vector)
+    if by_index:
+        coarse = vectors.fit(rows)
+        found = vectors.near(asked, vectors.index(rows, coarse), 1, coarse, probes)
+    else:
+        found = vectors.near(asked, vectors.exact(rows), 1)
+    return found.select(F.col("query").alias("fact"), F.col("k").alias("note"), "score")

@@ -8,6 +8,7 @@ from vellum.functions import text as X
 from vellum.operators import chunks as C
 from vellum.operators import embed as E
 from vellum.operators import search as S
+from vellum.operators import vectors as V
 from vellum.operators.graph import shared_folder
 from vellum.operators.store import Store
 from vellum.sources import tables as T
@@ -176,6 +177,24 @@ def remember_dedup(spark, d):
     return top.select("fact", "note", F.round("score", 6).alias("score"), F.when(F.col("score") >= 0.6, "append").otherwise("create").alias("decision"))
 
 
+@query("remember_dedup_index", "SELECT count(*) FILTER (vec_id % 20 = 0) AS facts, true AS recall_is_enough FROM embeddings")
+def remember_dedup_index(spark, d):
+    """How many facts the inverted file answers, and whether 0.9 of them and more are those of the exact route."""
+    v = T.table(spark, d, "embeddings").select("vec_id", "embedding")
+    rows, facts = V.ready(v, "vec_id", "embedding"), V.ready(v.where("vec_id % 20 = 0"), "vec_id", "embedding")
+    coarse = V.fit(rows)
+    found, truth = V.near(facts, V.index(rows, coarse), 1, coarse), V.near(facts, V.exact(rows), 1)
+    both = truth.select("query", "k").join(found.select("query", F.col("k").alias("got")), "query", "left")
+    return both.agg(F.count("*").alias("facts"), (F.avg((F.col("got") == F.col("k")).cast("int")) >= 0.9).alias("recall_is_enough"))
+
+
+@query("vector_topk_each", f"SELECT a.vec_id AS query, b.vec_id AS k, round({cosine('a.embedding', 'b.embedding')}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({cosine('a.embedding', 'b.embedding')}, 12) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 10")
+def vector_topk_each(spark, d):
+    """The ten nearest rows of each stated query, by the exact route."""
+    rows = V.ready(T.table(spark, d, "embeddings"), "vec_id", "embedding")
+    return V.near(rows.where("k % 20 = 0"), V.exact(rows), 10).select("query", "k", F.round("score", 6).alias("score"), "rank")
+
+
 @query("embedded_chunks", "SELECT DISTINCT sha256(text) AS chunk_hash, h.doc_id IS NOT NULL AS reused, CASE WHEN h.doc_id IS NULL THEN CAST(length(text) AS DOUBLE) ELSE -1.0 END AS v0, CASE WHEN h.doc_id IS NULL THEN CAST(octet_length(encode(text)) AS DOUBLE) ELSE -1.0 END AS v1 FROM documents d LEFT JOIN (SELECT sha256(text) AS k, min(doc_id) AS doc_id FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL GROUP BY 1) h ON h.k = sha256(d.text) WHERE text IS NOT NULL")
 def embedded_chunks(spark, d):
     """Documents of every third id have stored vectors; the others' texts are embedded, each distinct one once."""
