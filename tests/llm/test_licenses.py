@@ -111,3 +111,18 @@ def test_scores_rise_with_the_wording(spark):
     rows = [(1, "nothing here"), (2, "all rights reserved"), (3, "released under the MIT license"), (4, " ".join(whole)), (5, None), (6, "")]
     got = {x["doc_id"]: x["score"] for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == got[5] == got[6] == 0 and got[2] == 0.5 < got[3] < got[4] == 1
+
+
+def test_whole_texts_are_read_to_their_end(spark):
+    """A text whose last mandatory words are others has no -text label; nor has one with another word near its beginning."""
+    wholes = {label: render(parse(t[0]), random.Random(3)) for label, t in licenses.stock().items() if label.endswith("-text")}
+    rows = []
+    for label, words in wholes.items():
+        rows += [(label, "whole", " ".join(words)), (label, "end", " ".join([*words[:-12], "unless", "the", "buyer", "pays"])), (label, "word", " ".join([*words[:4], "never", *words[5:]]))]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(df).collect()}
+    for i, (label, kind, _) in enumerate(rows):
+        assert (label in found[i]) == (kind == "whole"), (label, kind)
+    mit = " ".join(wholes["mit-text"]).split(" whether in an action")[0]
+    (row,) = licenses.scan(spark.createDataFrame([(1, mit + " unless the buyer pays a fee of ten dollars each month")], "doc_id long, text string")).collect()
+    assert "mit-text" not in row["labels"]

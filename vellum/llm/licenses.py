@@ -43,6 +43,8 @@ NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 #: A template's tokens: markup, or a word as texts have them.
 TOKEN = re.compile(r"<<[^>]*>>|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Transitions that a worker remembers at most.
+MEMO = 1 << 18
 #: Words of wording at which the score reaches 1.
 SURE = 32
 
@@ -141,6 +143,8 @@ class Automaton:
         known, like = any(word in self.edges[s] for s in states), kinds(word)
         key = (states, like, word if known else None)
         if key not in self.memo:
+            if len(self.memo) >= MEMO:  # a worker that lives long starts again
+                self.memo.clear()
             new = set()
             for s in states:
                 for kind in like:
