@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 
-from . import recall
+from . import globs, recall
 from .search import POOL, RRF_K
 
 #: Folder names of templates (fixed values).
@@ -84,8 +84,8 @@ def sources(notes: DataFrame, indexes: DataFrame | None = None) -> DataFrame:
 
 def governing(docs: DataFrame, path: str) -> DataFrame:
     """M4: documents with a glob that matches one path."""
-    globs = docs.select("path", F.explode("governs").alias("pattern"))
-    return globs.where(F.rlike(F.lit(path), X.glob_pattern(F.col("pattern")))).groupBy("path").agg(F.sort_array(F.collect_set("pattern")).alias("matched"))
+    patterns = docs.select("path", F.explode("governs").alias("pattern"))
+    return patterns.where(F.rlike(F.lit(path), X.glob_pattern(F.col("pattern")))).groupBy("path").agg(F.sort_array(F.collect_set("pattern")).alias("matched"))
 
 
 def contradictions(pairs: DataFrame, per_anchor: int = PER_ANCHOR, total: int = TOTAL) -> DataFrame:
@@ -143,17 +143,5 @@ def stale(doc_feed: DataFrame, bindings: DataFrame, file_feed: DataFrame, status
 
 
 def governed(docs: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, pattern, file) of files that a document's globs match.
-
-    Globs share a literal folder with the files they match, so the join is an equi-join on the longest folder without
-    wildcards where there is one, and the regular expression is a residual.
-    """
-    globs = docs.select("path", F.explode("governs").alias("pattern"))
-    folder = X.dir_name(F.col("pattern"))
-    plain = ~folder.rlike(r"[*?\[]")
-    keyed = globs.withColumn("dir", F.when(plain, folder)).withColumn("re", X.glob_pattern(F.col("pattern")))
-    seen = files.select(F.col("path").alias("file"), X.dir_name(F.col("path")).alias("dir"))
-    exact = keyed.where("dir is not null").join(seen, "dir").where(F.rlike(F.col("file"), F.col("re")))
-    depth = lambda c: F.size(F.split(c, "/"))
-    loose = keyed.where("dir is null").drop("dir").withColumn("depth", depth("pattern")).join(seen.withColumn("depth", depth("file")), "depth").where(F.rlike(F.col("file"), F.col("re")))
-    return exact.select("path", "pattern", "file").unionByName(loose.select("path", "pattern", "file"))
+    """(path, pattern, file) of files (path) that a document's globs match, by a walk of both trees."""
+    return globs.governed(docs, files.select(F.col("path").alias("file"))).select("path", "pattern", "file")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.operators import federation as FED
+from vellum.operators import globs as GL
 from vellum.operators import incremental as I
+from vellum.operators import snapshots as SN
 from vellum.operators import temporal as TP
 from vellum.operators.graph import written
 from vellum.sources import tables as T
@@ -240,6 +242,62 @@ def governs_glob_match(spark, d):
     return found.groupBy("path", "pattern").agg(F.count("*").alias("files"))
 
 
+GLOBS = "unnest(['docs/'||source||'/*/*.md', '*/'||source||'/'||lang||'/?.md', 'src/'||lang||'/*'||(doc_id % 10)||'.py', 'src/[a-e]*/'||(doc_id % 7)||'*', '*/*/'||doc_id||'.*', 'none/'||lang])"
+
+
+@query("governed_two_trees", rf"""WITH {NOTES}, g AS (SELECT DISTINCT p AS pattern, replace(replace(replace(p, '.', '\.'), '*', '[^/]*'), '?', '[^/]') AS re FROM (SELECT {GLOBS} AS p FROM notes)),
+ l AS (SELECT pattern, path AS file, 'local' AS tree FROM g JOIN notes ON len(string_split(pattern, '/')) = len(string_split(path, '/')) AND regexp_full_match(path, re)),
+ c AS (SELECT DISTINCT 'src/'||lang||'/'||source||(doc_id % 50)||'.py' AS file FROM documents UNION SELECT 'src/'||lang||'/'||doc_id FROM documents),
+ s AS (SELECT pattern, file, 'source' AS tree FROM g JOIN c ON len(string_split(pattern, '/')) = len(string_split(file, '/')) AND regexp_full_match(file, re) WHERE pattern NOT IN (SELECT pattern FROM l))
+ SELECT pattern, tree, count(*) AS files, min(file) AS first_file, max(file) AS last_file FROM (SELECT * FROM l UNION ALL SELECT * FROM s) GROUP BY 1, 2""")
+def governed_two_trees(spark, d):
+    """Each pattern's files and their tree: the notes' own where it matches any, else a tree of code."""
+    n, text = T.document_notes(spark, d), lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    docs = T.table(spark, d, "documents")
+    i, lang, source = F.col("doc_id"), F.col("lang"), F.col("source")
+    patterns = F.array(text("docs/", source, "/*/*.md"), text("*/", source, "/", lang, "/?.md"), text("src/", lang, "/*", i % 10, ".py"), text("src/[a-e]*/", i % 7, "*"), text("*/*/", i, ".*"), text("none/", lang))
+    code = docs.select(text("src/", lang, "/", source, i % 50, ".py").alias("file")).union(docs.select(text("src/", lang, "/", i)))
+    found = GL.governed(docs.select(F.lit("plan.md").alias("path"), patterns.alias("governs")), n.select(F.col("path").alias("file")), code)
+    return found.groupBy("pattern", "tree").agg(F.count("*").alias("files"), F.min("file").alias("first_file"), F.max("file").alias("last_file"))
+
+
+#: Two snapshots of the documents as line notes: some kept, changed, moved (with and without edits), copied, gone, new.
+SNAPSHOTS = r"""src AS (SELECT doc_id, 'No '||doc_id||chr(10)||replace(coalesce(text, ''), '. ', '.'||chr(10)) AS body FROM documents),
+ a AS (SELECT 'old/'||doc_id||'.md' AS path, body FROM src WHERE doc_id % 9 <> 0),
+ b AS (SELECT CASE WHEN doc_id % 9 = 1 THEN 'new/'||doc_id||'.md' WHEN doc_id % 9 IN (2, 3) THEN 'moved/x'||doc_id||'.md' ELSE 'old/'||doc_id||'.md' END AS path,
+  CASE WHEN doc_id % 9 = 3 THEN replace(body, 'No ', 'Number ') WHEN doc_id % 9 = 4 THEN body||'!' ELSE body END AS body FROM src WHERE doc_id % 9 <> 5 UNION ALL SELECT 'copy/'||doc_id||'.md', body FROM src WHERE doc_id % 9 = 6)"""
+
+
+def snapshots(spark, d):
+    i, body = F.col("doc_id"), F.col("body")
+    src = T.table(spark, d, "documents").select("doc_id", F.concat(F.lit("No "), i.cast("string"), F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n"))).alias("body"))
+    name = lambda folder: F.concat(F.lit(folder), i.cast("string"), F.lit(".md"))
+    path = F.when(i % 9 == 1, name("new/")).when((i % 9).isin(2, 3), name("moved/x")).otherwise(name("old/"))
+    now = F.when(i % 9 == 3, F.replace(body, F.lit("No "), F.lit("Number "))).when(i % 9 == 4, F.concat(body, F.lit("!"))).otherwise(body)
+    b = src.where("doc_id % 9 <> 5").select(path.alias("path"), now.alias("body")).union(src.where("doc_id % 9 = 6").select(name("copy/"), "body"))
+    return src.where("doc_id % 9 <> 0").select(name("old/").alias("path"), "body"), b
+
+
+#: The most similar pairs first: rounds of pairs that are the best of both sides; five rounds settle all pairs of the test tables.
+_ROUNDS = ", ".join(
+    f"p{k} AS (SELECT * FROM p WHERE share >= 0.5" + "".join(f" AND old_path NOT IN (SELECT old_path FROM e{j}) AND path NOT IN (SELECT path FROM e{j})" for j in range(k)) + "), "
+    f"e{k} AS (SELECT * FROM p{k} QUALIFY row_number() OVER (PARTITION BY old_path ORDER BY share DESC, path) = 1 AND row_number() OVER (PARTITION BY path ORDER BY share DESC, old_path) = 1)"
+    for k in range(5)
+) + ", e AS (" + " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(5)) + ")"
+
+
+@query("snapshot_changes", rf"""WITH {SNAPSHOTS}, m AS (SELECT path FROM a JOIN b USING (path) WHERE a.body <> b.body), g AS (SELECT path, body FROM a WHERE path NOT IN (SELECT path FROM b)), f AS (SELECT path, body FROM b WHERE path NOT IN (SELECT path FROM a)),
+ r AS (SELECT f.path, g.path AS old_path FROM g JOIN f USING (body)), c AS (SELECT f.path, min(a.path) AS old_path FROM f JOIN a USING (body) WHERE f.path NOT IN (SELECT path FROM r) GROUP BY 1),
+ g2 AS (SELECT * FROM g WHERE path NOT IN (SELECT old_path FROM r)), f2 AS (SELECT * FROM f WHERE path NOT IN (SELECT path FROM r UNION ALL SELECT path FROM c)),
+ hs AS (SELECT side, path, list_sort(list_distinct(list_transform(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: md5(x))))[1:32] AS h FROM (SELECT 0 AS side, * FROM g2 UNION ALL SELECT 1, * FROM f2)),
+ p AS (SELECT x.path AS old_path, y.path, len(list_intersect(x.h, y.h))::DOUBLE / greatest(len(x.h), len(y.h)) AS share FROM hs x JOIN hs y ON x.side = 0 AND y.side = 1),
+ {_ROUNDS}
+ SELECT 'M' AS status, path, NULL AS old_path, NULL::DOUBLE AS share FROM m UNION ALL SELECT 'R', path, old_path, 1.0 FROM r UNION ALL SELECT 'C', path, old_path, NULL FROM c UNION ALL SELECT 'R', path, old_path, round(share, 9) FROM e
+ UNION ALL SELECT 'D', path, NULL, NULL FROM g2 WHERE path NOT IN (SELECT old_path FROM e) UNION ALL SELECT 'A', path, NULL, NULL FROM f2 WHERE path NOT IN (SELECT path FROM e)""")
+def snapshot_changes(spark, d):
+    return SN.changes(*snapshots(spark, d)).select("status", "path", "old_path", F.round("share", 9).alias("share"))
+
+
 @query("contradiction_exclusions", f"WITH {SAID} SELECT path, {LEFT_OUT} AS excluded FROM said")
 def contradiction_exclusions(spark, d):
     return said(spark, d).select("path", TP.excluded(F.col("path"), F.col("frontmatter")).alias("excluded"))
