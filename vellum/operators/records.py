@@ -144,14 +144,15 @@ def problems(json: Column, f: Field) -> Column:
     kind, text = kind_of(json, f.name), F.get_json_object(json, f"$.{f.name}")
     missing = kind.isNull() | (kind == "VOID") | ((kind == "STRING") & (F.trim(text) == ""))
     is_text = kind == "STRING"
+    listed = (kind == "ARRAY<STRING>") | (text == "[]")
     good = {
         "string": is_text,
         "number": kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"),
         "bool": kind == "BOOLEAN",
         "date": is_text & text.rlike(DATE) & F.try_to_date(text, "yyyy-MM-dd").isNotNull(),
         "enum": is_text & text.isin(*f.enum) if f.enum else is_text,
-        "tags": is_text | (kind == "ARRAY<STRING>"),
-        "ref": is_text | (kind == "ARRAY<STRING>"),
+        "tags": is_text | listed,
+        "ref": is_text | listed,
     }
     if f.type not in good:
         raise ValidationError(f"unknown field type {f.type!r}")

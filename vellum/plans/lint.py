@@ -10,6 +10,7 @@ from vellum.operators import incremental as I
 from vellum.operators import links as L
 from vellum.operators import lint as LI
 from vellum.operators import reports as RP
+from vellum.operators import schema as SC
 from vellum.operators import temporal as TP
 from vellum.sources import tables as T
 
@@ -151,3 +152,26 @@ def refreshed_path(spark, d):
     chunks = n.select("path", "chunk_hash")
     new = spark.createDataFrame([(one, "new text")], "path string, t string").select("path", X.content_hash(F.col("t")).alias("chunk_hash"))
     return I.refreshed(I.refreshed(chunks, one, new), two)
+
+
+@query("schema_problems", f"""WITH {NOTES}, t AS (SELECT path, (doc_id % 50) % 10 = 0 AS own, lang, n_chars, quality, 'docs/'||source||'/'||lang||'/'||(doc_id + doc_id % 3)||'.md' AS next, doc_id % 4 AS k FROM notes)
+ SELECT path, 'lang' AS field, CASE WHEN coalesce(trim(lang), '') = '' THEN 'required' ELSE 'value not in enum' END AS problem FROM t WHERE NOT own AND coalesce(lang, '') NOT IN ('en', 'de')
+ UNION ALL SELECT path, 'quality', 'required' FROM t WHERE NOT own AND quality IS NULL UNION ALL SELECT path, 'n_chars', 'not a string' FROM t WHERE NOT own AND n_chars IS NOT NULL
+ UNION ALL SELECT path, 'day', CASE k WHEN 0 THEN 'not a date' ELSE 'required' END FROM t WHERE NOT own AND k <> 1
+ UNION ALL SELECT path, 'next', 'missing reference '||next FROM t WHERE NOT own AND next NOT IN (SELECT path FROM notes)
+ UNION ALL SELECT path, 'n_chars', 'required' FROM t WHERE own AND n_chars IS NULL UNION ALL SELECT path, 'extra', 'required' FROM t WHERE own""")
+def schema_problems(spark, d):
+    """Documents of a type for each source and number, most under built-in rules, some types under committed ones."""
+    n, i = T.document_notes(spark, d), F.col("doc_id")
+    fm = lambda k: F.get_json_object("frontmatter", f"$.{k}")
+    source, lang = F.element_at(F.split("path", "/"), 2), F.element_at(F.split("path", "/"), 3)
+    nxt = F.concat(F.lit("docs/"), source, F.lit("/"), lang, F.lit("/"), (i + i % 3).cast("string"), F.lit(".md"))
+    day = F.when(i % 4 == 0, "2024-02-30").when(i % 4 == 1, "2024-02-28").when(i % 4 == 2, " ")
+    front = F.to_json(F.struct(fm("lang").alias("lang"), fm("n_chars").cast("long").alias("n_chars"), fm("quality").cast("int").alias("quality"), nxt.alias("next"), day.alias("day")))
+    docs = n.select("path", F.concat(source, F.lit("-"), (i % 50).cast("string")).alias("doc_type"), front.alias("frontmatter"))
+    rule = lambda f, required, kind, allowed=(): F.struct(F.lit(f).alias("field"), F.lit(required).alias("required"), F.lit(kind).alias("kind"), F.array(*[F.lit(x) for x in allowed]).cast("array<string>").alias("allowed"))
+    types = docs.select("doc_type").distinct()
+    table = lambda df, *rules: df.select("doc_type", F.inline(F.array(*rules)))
+    built_in = table(types, rule("lang", True, "enum", ["en", "de"]), rule("quality", True, "number"), rule("n_chars", False, "string"), rule("day", True, "date"), rule("next", False, "ref"))
+    committed = table(types.where("cast(substring_index(doc_type, '-', -1) AS int) % 10 = 0"), rule("n_chars", True, "number"), rule("extra", True, "string"))
+    return SC.problems(docs, SC.effective(built_in, committed), n.select("path"))
