@@ -3,10 +3,10 @@
 Level by level (words, pairs, triples) a phrase is a candidate only if all shorter phrases inside it may be frequent:
 that is a lookup in a bit array of fixed size, BITS bits, where the frequent keys of the level before have their bits,
 so it lets some others through and holds none back. Mappers reduce the keys of a block of text to distinct ones with
-counts and the keys of their words, in one row of arrays a shard. A shard is a range of 64-bit keys. Its candidates
-get a minimal perfect hash that stores them; for each part of the blocks one task turns keys into slots, compares the
-stored keys, and adds the counts by numpy.bincount; the parts' arrays are summed shard by shard. The counts of a
-phrase's parts are read by slot: each shard asks for each part once, in one array a shard that it asks, however many
+counts, in one row of arrays a shard. A shard is a range of 64-bit keys. Its candidates get a minimal perfect hash that
+stores them; for each part of the blocks one task turns keys into slots, compares the stored keys, and adds the counts
+by numpy.bincount; the parts' arrays are summed shard by shard. One more scan brings the words' keys of the phrases that
+are frequent, also in arrays. The counts of a phrase's parts are read by slot: each shard asks for each part once, in one array a shard that it asks, however many
 of its phrases share it, so a frequent word makes no hot group. Only phrases that may be among a language's best (with
 all that tie) become rows; a last scan brings their words, again by bit array and then by key.
 
@@ -34,7 +34,7 @@ from . import scratch
 from .perfect_hash import PerfectHash
 
 #: Places of the bit arrays (8 MB); table bytes of a shard, shards at most, bits of their number at least; table bytes of a part's blocks.
-BITS, SHARD_BYTES, SHARDS, LEAST_BITS, PART_BYTES = 26, 16 << 20, 1 << 14, 5, 8 << 30
+BITS, SHARD_BYTES, SHARDS, LEAST_BITS, PART_BYTES = 26, 16 << 20, 1 << 14, 7, 8 << 30
 #: Keys that a mapper holds before it reduces them, and distinct ones of a block.
 HELD, BLOCK = 1 << 21, 1 << 22
 #: First windows of the ranking, a language.
@@ -101,20 +101,30 @@ def _phrases(key: np.ndarray, follows: np.ndarray, level: int, bits: list[Bits])
     return first, _join(pair, key[first + 2])
 
 
-def _reduce(keys: list[np.ndarray], counts: list[np.ndarray], words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with the sums of their counts and one of their rows of words."""
+def _reduce(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their counts."""
     every, number = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(every, kind="stable")
     every, number = every[order], number[order]
     first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-    return every[first], np.add.reduceat(number, first) if len(first) else np.zeros(0, np.int64), np.concatenate(words)[order[first]]
+    return every[first], np.add.reduceat(number, first) if len(first) else np.zeros(0, np.int64)
 
 
-def _distinct(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of all rows, ascending, with their rows of `width` words."""
-    found, one = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]), return_index=True)
-    words = np.concatenate([np.frombuffer(x, "<u8") for x in table["words"].to_pylist()])
-    return found, words.reshape(-1, width)[one] if width else np.zeros((len(found), 0), np.uint64)
+def _cut(keys: np.ndarray, shard_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shards of ascending keys, borders of their stretches)."""
+    shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int32)
+    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return shard[cut], np.append(cut, len(keys))
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of all rows of a binary column, without a copy of each row."""
+    out = [np.zeros(0, "<u8")]
+    for chunk in column.chunks:
+        if len(chunk):
+            offs = np.frombuffer(chunk.buffers()[1], "<i8" if pa.types.is_large_binary(chunk.type) else "<i4")[chunk.offset : chunk.offset + len(chunk) + 1]
+            out.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offs[0] : offs[-1]].view("<u8"))
+    return np.concatenate(out)
 
 
 def _shards(docs: DataFrame) -> tuple[int, int]:
@@ -128,29 +138,24 @@ def _shards(docs: DataFrame) -> tuple[int, int]:
 def count_level(docs: DataFrame, level: int, given: list, shard_bits: int, parts: int, name: str) -> DataFrame:
     """The level's store, written: for each shard the perfect hash of its candidates and their counts by slot."""
 
-    width = level + 1 if level > 1 else 0  # words and language of a phrase
-
     def scan(batches):
         part = TaskContext.get().partitionId() % parts
         bits = [Bits(b.value) for b in given]
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
-            k, n, w = held[0]
-            shard = (k >> np.uint64(64 - shard_bits)).astype(np.int64)
-            cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-            borders = np.append(cut, len(k))
-            kinds = [pa.array(shard[cut].astype(np.int32)), pa.array(np.full(len(cut), part, np.int32)), K.blobs(k, borders), K.blobs(n.astype("<u4"), borders), K.blobs(w.reshape(-1), borders * width)]
-            return pa.RecordBatch.from_arrays(kinds, names=["shard", "part", "keys", "counts", "words"])
-
-        for _, _, _, _, key, follows, of_lang, n_words, doc in _sentences(batches):
+            k, n = held[0]
+            shards, borders = _cut(k, shard_bits)
+            kinds = [pa.array(shards), pa.array(np.full(len(shards), part, np.int32)), K.blobs(k, borders), K.blobs(n.astype("<u4"), borders)]
+            return pa.RecordBatch.from_arrays(kinds, names=["shard", "part", "keys", "counts"])
+
+        for _, _, _, _, key, follows, of_lang, n_words, _ in _sentences(batches):
             if level == 1:
-                none = np.zeros((len(key) + len(of_lang), 0), np.uint64)
-                held.append((np.concatenate([key, of_lang]), np.concatenate([np.ones(len(key), np.int64), n_words.astype(np.int64)]), none))
+                held.append((np.concatenate([key, of_lang]), np.concatenate([np.ones(len(key), np.int64), n_words.astype(np.int64)])))
             elif len(key) >= level:
-                first, found = _phrases(key, follows, level, bits)
-                held.append((found, np.ones(len(found), np.int64), np.stack([*[key[first + k] for k in range(level)], of_lang[doc[first]]], 1)))
+                found = _phrases(key, follows, level, bits)[1]
+                held.append((found, np.ones(len(found), np.int64)))
             else:
                 continue
             size += len(held[-1][0])
@@ -166,16 +171,11 @@ def count_level(docs: DataFrame, level: int, given: list, shard_bits: int, parts
 
     def union(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Distinct keys of a shard's part."""
-        found, words = _distinct(table, width)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([found.tobytes()], pa.binary()), "words": pa.array([words.tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([np.unique(_flat(table["keys"])).tobytes()], pa.binary())})
 
     def hashed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found, words = _distinct(table, width)
-        made = PerfectHash.build(found)
-        sizes, bits, keys = made.dump()
-        by_slot = np.empty_like(words)
-        by_slot[made.find(found)[0]] = words
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([sizes], pa.list_(pa.int32())), "bits": pa.array([bits], pa.list_(pa.binary())), "keys": pa.array([keys], pa.binary()), "words": pa.array([by_slot.tobytes()], pa.binary())})
+        sizes, bits, keys = PerfectHash.build(np.unique(_flat(table["keys"]))).dump()
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([sizes], pa.list_(pa.int32())), "bits": pa.array([bits], pa.list_(pa.binary())), "keys": pa.array([keys], pa.binary())})
 
     def add(key: tuple[pa.Scalar, ...], hashes: pa.Table, blocks: pa.Table) -> pa.Table:
         """A part's counts by slot."""
@@ -193,13 +193,13 @@ def count_level(docs: DataFrame, level: int, given: list, shard_bits: int, parts
         total = np.sum([np.frombuffer(x, "<i8") for x in table["counts"].to_pylist()], axis=0, dtype=np.int64)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    blocks = scratch.settle(docs.select("lang", "text").mapInArrow(scan, "shard int, part int, keys binary, counts binary, words binary"), f"{name}-{level}-blocks")
-    distinct = blocks.select("shard", "part", "keys", "words")
+    blocks = scratch.settle(docs.select("lang", "text").mapInArrow(scan, "shard int, part int, keys binary, counts binary"), f"{name}-{level}-blocks")
+    distinct = blocks.select("shard", "part", "keys")
     if parts > 1:
-        distinct = distinct.groupBy("shard", "part").applyInArrow(union, "shard int, keys binary, words binary")
-    hashes = scratch.settle(distinct.groupBy("shard").applyInArrow(hashed, "shard int, sizes array<int>, bits array<binary>, keys binary, words binary"), f"{name}-{level}-hashes")
-    for_parts = hashes.drop("words").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    summed = for_parts.groupBy("shard", "part").cogroup(blocks.select("shard", "part", "keys", "counts").groupBy("shard", "part")).applyInArrow(add, "shard int, counts binary")
+        distinct = distinct.groupBy("shard", "part").applyInArrow(union, "shard int, keys binary")
+    hashes = scratch.settle(distinct.groupBy("shard").applyInArrow(hashed, "shard int, sizes array<int>, bits array<binary>, keys binary"), f"{name}-{level}-hashes")
+    for_parts = hashes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    summed = for_parts.groupBy("shard", "part").cogroup(blocks.groupBy("shard", "part")).applyInArrow(add, "shard int, counts binary")
     totals = summed.groupBy("shard").applyInArrow(tree_sum, "shard int, counts binary")
     store = scratch.settle(hashes.join(totals, "shard").withColumn("level", F.lit(level)), f"{name}-{level}-store")
     for t in (blocks, hashes):
@@ -227,38 +227,96 @@ def frequent_bits(store: DataFrame, least: int, shard_bits: int) -> np.ndarray:
     return out
 
 
-def _survivors(row: dict, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, counts, keys of the cuts' parts, language keys) of a shard's phrases with `least` and more."""
-    level, counts = row["level"], np.frombuffer(row["counts"], "<i8")
-    some = np.flatnonzero(counts >= least)
-    words = np.frombuffer(row["words"], "<u8").reshape(-1, level + 1)[some]
+def phrases(docs: DataFrame, bits: list, store: DataFrame, least: int, shard_bits: int, parts: int) -> DataFrame:
+    """Arrays (level, shard, keys, counts, words) of the pairs and triples with `least` and more; words: their keys and their language's."""
+
+    def scan(batches):
+        part = TaskContext.get().partitionId() % parts
+        filters = [Bits(b.value) for b in bits]
+        held = {2: [], 3: []}
+
+        def rows(level: int) -> pa.RecordBatch:
+            keys, one = np.unique(np.concatenate([k for k, _ in held[level]]), return_index=True)
+            words = np.concatenate([w for _, w in held[level]])[one]
+            held[level] = [(keys, words)]
+            shards, borders = _cut(keys, shard_bits)
+            n = len(shards)
+            kinds = [pa.array(np.full(n, level, np.int32)), pa.array(shards), pa.array(np.full(n, part, np.int32)), K.blobs(keys, borders), K.blobs(words.reshape(-1), borders * (level + 1))]
+            return pa.RecordBatch.from_arrays(kinds, names=["level", "shard", "part", "keys", "words"])
+
+        for _, _, _, _, key, follows, of_lang, _, doc in _sentences(batches):
+            for level in (2, 3):
+                if len(key) < level:
+                    continue
+                first, found = _phrases(key, follows, level, filters)
+                ok = filters[level - 1].has(found)
+                found, one = np.unique(found[ok], return_index=True)
+                first = first[ok][one]
+                held[level].append((found, np.stack([*[key[first + k] for k in range(level)], of_lang[doc[first]]], 1)))
+                if sum(len(k) for k, _ in held[level]) > HELD // 4:  # with their words these take more room
+                    made = rows(level)
+                    if len(held[level][0][0]) > HELD // 8:
+                        yield made
+                        held[level] = []
+        for level in (2, 3):
+            if held[level]:
+                yield rows(level)
+
+    def distinct(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        level = key[0].as_py()
+        keys, one = np.unique(_flat(table["keys"]), return_index=True)
+        words = _flat(table["words"]).reshape(-1, level + 1)[one]
+        return pa.table({"level": pa.array([level], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "words": pa.array([words.tobytes()], pa.binary())})
+
+    def count(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("level", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        mine = distinct(key, left).to_pylist()[0]
+        s = right.to_pylist()[0]
+        keys = np.frombuffer(mine["keys"], "<u8")
+        slot, known = PerfectHash.load(s["sizes"], s["bits"], s["keys"]).find(keys)
+        n = np.where(known, np.frombuffer(s["counts"], "<i8")[slot], 0)
+        ok = n >= least  # a key that only shares its bit with a frequent one goes
+        words = np.frombuffer(mine["words"], "<u8").reshape(len(keys), -1)[ok]
+        return pa.table([pa.array([v], t.type) for v, t in zip([mine["level"], mine["shard"], keys[ok].tobytes(), n[ok].tobytes(), words.tobytes()], schema)], schema=schema)
+
+    some = docs.select("lang", "text").mapInArrow(scan, "level int, shard int, part int, keys binary, words binary")
+    if parts > 1:
+        some = some.groupBy("level", "shard", "part").applyInArrow(distinct, "level int, shard int, keys binary, words binary")
+    return some.groupBy("level", "shard").cogroup(store.groupBy("level", "shard")).applyInArrow(count, "level int, shard int, keys binary, counts binary, words binary")
+
+
+def _parts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, keys of the cuts' parts, language keys) of a shard's phrases."""
+    level = row["level"]
+    words = np.frombuffer(row["words"], "<u8").reshape(-1, level + 1)
     w = [words[:, k] for k in range(level)]
     cuts = [w[0], w[1]] if level == 2 else [w[0], _join(w[1], w[2]), _join(w[0], w[1]), w[2]]
-    return np.frombuffer(row["keys"], "<u8")[some], counts[some], np.stack(cuts, 1), words[:, level]
+    return np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["counts"], "<i8"), np.stack(cuts, 1), words[:, level]
 
 
 ASKED = "level int, shard int, from_level int, source int, keys binary"
 
 
-def asked(store: DataFrame, least: int, shard_bits: int) -> DataFrame:
+def asked(some: DataFrame, shard_bits: int) -> DataFrame:
     """For each shard of phrases and each shard that holds parts of theirs, the distinct parts: (level, shard, from_level, source, keys)."""
 
     def read(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                _, _, cuts, langs = _survivors(r, least)
+                _, _, cuts, langs = _parts(r)
                 if not len(langs):
                     continue
                 ones = [langs, cuts[:, 0], cuts[:, -1]]
                 for level, keys in ((1, np.unique(np.concatenate(ones))), (2, np.unique(cuts[:, 1:3]) if r["level"] == 3 else np.zeros(0, np.uint64))):
                     if not len(keys):
                         continue
-                    shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int32)
-                    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-                    n = len(cut)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, level, np.int32)), pa.array(shard[cut]), pa.array(np.full(n, r["level"], np.int32)), pa.array(np.full(n, r["shard"], np.int32)), K.blobs(keys, np.append(cut, len(keys)))], names=["level", "shard", "from_level", "source", "keys"])
+                    shards, borders = _cut(keys, shard_bits)
+                    n = len(shards)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, level, np.int32)), pa.array(shards), pa.array(np.full(n, r["level"], np.int32)), pa.array(np.full(n, r["shard"], np.int32)), K.blobs(keys, borders)], names=["level", "shard", "from_level", "source", "keys"])
 
-    return store.where("level > 1").select("level", "shard", "keys", "counts", "words").mapInArrow(read, ASKED)
+    return some.mapInArrow(read, ASKED)
 
 
 def answers(questions: DataFrame, store: DataFrame) -> DataFrame:
@@ -275,7 +333,7 @@ def answers(questions: DataFrame, store: DataFrame) -> DataFrame:
                 counts.append(np.where(known, by_slot[slot], 0).astype("<i8").tobytes())
         return pa.table({**out, "counts": pa.array(counts, pa.binary())})
 
-    return questions.groupBy("level", "shard").cogroup(store.drop("words").groupBy("level", "shard")).applyInArrow(read, "level int, shard int, keys binary, counts binary")
+    return questions.groupBy("level", "shard").cogroup(store.groupBy("level", "shard")).applyInArrow(read, "level int, shard int, keys binary, counts binary")
 
 
 SCORED = "level int, shard int, keys binary, langs binary, a binary, l binary, r binary, n binary, score binary, beaten binary"
@@ -298,7 +356,7 @@ def scores(a: np.ndarray, cuts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np
     return tuple(best)
 
 
-def score(store: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+def score(some: DataFrame, counts: DataFrame) -> DataFrame:
     """Arrays a shard: each phrase with its worst cut, its language's words; `beaten`: pairs that the triples make superfluous."""
 
     def read(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
@@ -306,7 +364,7 @@ def score(store: DataFrame, counts: DataFrame, least: int) -> DataFrame:
         if not len(left) or not len(right):
             return schema.empty_table()
         row = left.to_pylist()[0]
-        keys, a, cuts, langs = _survivors(row, least)
+        keys, a, cuts, langs = _parts(row)
         known, f = (np.concatenate([np.frombuffer(x, t) for x in right[c].to_pylist()]) for c, t in (("keys", "<u8"), ("counts", "<i8")))
         order = np.argsort(known)
         known, f = known[order], f[order]
@@ -317,8 +375,7 @@ def score(store: DataFrame, counts: DataFrame, least: int) -> DataFrame:
         values = [keys, langs, a, l, r, of(langs), s, beaten]
         return pa.table([pa.array([row["level"]], pa.int32()), pa.array([row["shard"]], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in values]], schema=schema)
 
-    given = store.where("level > 1").select("level", "shard", "keys", "counts", "words")
-    return given.groupBy("level", "shard").cogroup(counts.groupBy("level", "shard")).applyInArrow(read, SCORED)
+    return some.groupBy("level", "shard").cogroup(counts.groupBy("level", "shard")).applyInArrow(read, SCORED)
 
 
 def best(scored: DataFrame, top: int, shard_bits: int) -> DataFrame:
@@ -328,9 +385,8 @@ def best(scored: DataFrame, top: int, shard_bits: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 keys = np.frombuffer(r["beaten"], "<u8")
-                shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int32)
-                cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(keys) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), 2, np.int32)), pa.array(shard[cut]), K.blobs(keys, np.append(cut, len(keys)))], names=["level", "shard", "beaten"])
+                shards, borders = _cut(keys, shard_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shards), 2, np.int32)), pa.array(shards), K.blobs(keys, borders)], names=["level", "shard", "beaten"])
 
     def pick(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["key", "lang_key", *NUMBERS]
@@ -403,18 +459,19 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000) -> DataFrame
     stores, bits = [], []
     for level in (1, 2, 3):
         stores.append(count_level(docs, level, bits, shard_bits, parts, "collocations"))
-        if level < 3:
-            bits.append(spark.sparkContext.broadcast(frequent_bits(stores[-1], least, shard_bits)))
+        bits.append(spark.sparkContext.broadcast(frequent_bits(stores[-1], least, shard_bits)))
     store = stores[0].unionByName(stores[1]).unionByName(stores[2])
-    scored = scratch.settle(score(store, answers(asked(store, least, shard_bits), store), least), "collocations-scores")
-    some = scratch.settle(best(scored, top, shard_bits), "collocations-best")
-    for t in [*stores, scored]:
+    some = scratch.settle(phrases(docs, bits, store, least, shard_bits, parts), "collocations-phrases")
+    scratch.release(spark)
+    scored = scratch.settle(score(some, answers(asked(some, shard_bits), store)), "collocations-scores")
+    leading = scratch.settle(best(scored, top, shard_bits), "collocations-best")
+    for t in [*stores, some, scored]:
         scratch.drop(spark, t)
     ties = [F.desc("score"), F.desc("a")]
-    salted = some.withColumn("salt", F.pmod("key", F.lit(SALTS))).withColumn("k", F.rank().over(Window.partitionBy("lang_key", "salt").orderBy(*ties))).where(F.col("k") <= top)
+    salted = leading.withColumn("salt", F.pmod("key", F.lit(SALTS))).withColumn("k", F.rank().over(Window.partitionBy("lang_key", "salt").orderBy(*ties))).where(F.col("k") <= top)
     chosen = scratch.settle(salted.withColumn("k", F.rank().over(Window.partitionBy("lang_key").orderBy(*ties))).where(F.col("k") <= top).drop("salt", "k"), "collocations-chosen")
     wanted = spark.sparkContext.broadcast(_bits_of(chosen.select("key")))
-    phrases = spelled(docs, bits, wanted).dropDuplicates(["key"])
+    words = spelled(docs, bits[:2], wanted).dropDuplicates(["key"])
     order = Window.partitionBy("lang").orderBy(*ties, "phrase")
-    ranked = chosen.join(phrases, "key").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    ranked = chosen.join(words, "key").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
