@@ -11,13 +11,13 @@ GROUPS = ("specs", "plans", "adr", "research")
 
 
 def registry(notes: DataFrame) -> DataFrame:
-    """M1, M2: (collection, place, path, title, date, number) of notes under docs/; adr ascends by path, the others descend."""
+    """M1, M2: (collection, place, path, title, date, number) of notes under docs/; adr ascends by path, the others descend; equal paths by title."""
     parts = F.split("path", "/")
     base = X.base_name(F.col("path"))
     date = F.coalesce(F.nullif(X.leading_date(F.get_json_object("frontmatter", "$.date")), F.lit("")), F.get_json_object("frontmatter", "$.date"), X.leading_date(base))
     rows = notes.where(F.get(parts, F.lit(0)) == "docs").select(F.get(parts, F.lit(1)).alias("collection"), "path", "title", date.alias("date"), X.leading_number(base).alias("number"))
     up = F.when(F.col("collection") == "adr", F.col("path"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("collection").orderBy(up.asc_nulls_last(), F.desc("path"))))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("collection").orderBy(up.asc_nulls_last(), F.desc("path"), "title")))
 
 
 def stale_index(on_disk: DataFrame, indexed: DataFrame) -> DataFrame:
