@@ -33,11 +33,11 @@ def next_number(notes: DataFrame, folder: str = "docs/adr/") -> DataFrame:
 
 
 def directory_index(notes: DataFrame) -> DataFrame:
-    """Per folder its rows of a table: date (descending, '-' last), then file name."""
+    """Per folder its rows of a table: date (descending, '-' last), then file name, then title."""
     base = X.base_name(F.col("path"))
     date = F.coalesce(F.nullif(X.leading_date(base), F.lit("")), F.lit("-"))
     rows = notes.select(X.dir_name(F.col("path")).alias("dir"), base.alias("file"), X.escape_cell(F.col("title")).alias("title"), date.alias("date"))
-    w = Window.partitionBy("dir").orderBy((F.col("date") == "-").cast("int"), F.desc("date"), F.lower("file"), "file")
+    w = Window.partitionBy("dir").orderBy((F.col("date") == "-").cast("int"), F.desc("date"), F.lower("file"), "file", "title")
     return rows.withColumn("place", F.row_number().over(w))
 
 
