@@ -92,3 +92,14 @@ def test_empty_and_null_snapshots(spark):
     assert {(x["status"], x["path"]) for x in snapshots.changes(none, some).collect()} == {("A", "a"), ("A", "b")}
     assert {(x["status"], x["path"]) for x in snapshots.changes(some, none).collect()} == {("D", "a"), ("D", "b")}
     assert snapshots.changes(some, some).collect() == []
+
+
+def test_only_equal_ends_meet_the_regular_expression(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(globs.X, "glob_pattern", lambda c: F.lit(".*"))
+    n = 60
+    patterns = spark.createDataFrame([(p,) for i in range(n) for p in (f"a/{i}.*", f"a/x?{i}.py")], "pattern string")
+    files = spark.createDataFrame([(f,) for i in range(n) for f in (f"a/{i}.md", f"a/x-{i:02}.py")], "file string")
+    got = {tuple(x) for x in globs.matches(patterns, files).collect()}
+    assert {(f"a/{i}.*", f"a/{i}.md") for i in range(n)} <= got and len(got) < 4 * n
