@@ -41,7 +41,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     """(key, score). Undirected, neighbours distinct, a fixed number of iterations; the mass of nodes without neighbours
     and the damping go to the restart vector: uniform, or the seeds (key, with multiplicity) that are nodes.
 
-    Adjacency is written once with its degrees; an iteration is one join and one aggregation, at every size. The mass D
+    Nodes and adjacency with its degrees are kept once, dealt by key; an iteration joins them with the ranks where they
+    are and shuffles only what each part of the adjacency gives to a node, added up there. The mass D
     of nodes without neighbours needs none: they get restart mass only, so D' = (1 - d + d * D) * (their share of the
     restart).
     """
@@ -58,14 +59,23 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
         restart = nodes.withColumn("r", F.lit(1.0 / max(count, 1)))
     else:
         restart = nodes.join(valid.groupBy("key").agg((F.count("*") / F.lit(total)).alias("r")), "key", "left").na.fill({"r": 0.0})
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(df: DataFrame, by: str) -> DataFrame:
+        out = df.repartition(parts, by).sortWithinPartitions(by).persist()
+        out.count()  # how rows are dealt is known to the plans of the iterations only once they are there
+        return out
+
     base = written(restart.join(degree.withColumnRenamed("src", "key"), "key", "left").select("key", "r", F.coalesce("deg", F.lit(0)).alias("deg")), "nodes")
-    adjacency = written(both.join(degree, "src"), "adjacency")
+    adjacency = kept(written(both.join(degree, "src"), "adjacency"), "src")
     alone = base.where("deg = 0").agg(F.sum("r")).first()[0] or 0.0
+    base = kept(base.select("key", "r"), "key")
     rank, loose = base.select("key", F.col("r").alias("p")), alone
     for i in range(iterations):
         given = adjacency.join(rank.withColumnRenamed("key", "src"), "src").select(F.col("dst").alias("key"), (damping * F.col("p") / F.col("deg")).alias("x"))
-        restarted = base.select("key", (((1 - damping) + damping * loose) * F.col("r")).alias("x"))
-        rank = given.unionByName(restarted).groupBy("key").agg(F.sum("x").alias("p"))
+        got = given.groupBy("key").agg(F.sum("x").alias("got"))
+        restarted = ((1 - damping) + damping * loose) * F.col("r")
+        rank = base.join(got, "key", "left").select("key", (F.coalesce("got", F.lit(0.0)) + restarted).alias("p"))
         loose = ((1 - damping) + damping * loose) * alone
         if (i + 1) % CUT == 0 and i + 1 < iterations:
             rank = written(rank, "rank")
