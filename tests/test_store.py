@@ -151,3 +151,37 @@ def test_stream_runs(spark, tmp_path):
     assert sizes == [1, 2, 3, 3]
     assert {r["path"] for r in s.table("notes").collect()} == {"b.md", "c.md"}
     assert [p for p, _, _ in found(s, "dog")] == ["b.md"] and found(s, "red") == [] and found(s, "blue") == []
+
+
+def test_no_posting_is_a_row_in_a_shuffle(spark, tmp_path):
+    """Postings hold chunk numbers in blocks that the reading tasks make; a block is a run of one term of at most BLOCK."""
+    s = Store(spark, f"file://{tmp_path}/b")
+    s.apply(0, frame(spark, [(f"n{i}.md", "A", [], f"red word{i % 7} red") for i in range(1500)]), frame(spark, []))
+    s.apply(1, frame(spark, []), spark.createDataFrame([(f"n{i}.md",) for i in range(0, 1500, 3)], "path string"))
+    blocks = s.blocks(["red"]).collect()
+    assert sum(len(b["ids"]) for b in blocks) == 1500 and max(len(b["ids"]) for b in blocks) <= ST.BLOCK
+    assert {f for b in blocks for f in b["tfs"]} == {2.0} and len(blocks) < 100
+    # one bit for each chunk that went, 64 a row
+    dead = s._segments("dead", 99).collect()
+    assert sum(bin(r["bits"] & (1 << 64) - 1).count("1") for r in dead) == 500 and len(dead) <= 1500 / 64 + 8
+    assert len(found(s, "red")) == 1000 and s.table("chunks").count() == 1000
+    assert {r["t"]: r["n"] for r in s._segments("frequencies", 99).groupBy("t").agg({"delta": "sum"}).toDF("t", "n").collect()}["red"] == 1000
+
+
+def test_blocks_count_columns_with_their_weights_and_are_flushed(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ST, "HELD", 5)
+    rows = pa.RecordBatch.from_pydict({"id": [1, 2, 9], "len": [4, 3, 1], "title": ["a b", "a", ""], "heading": ["b", "", ""], "body": ["c", "a c", "c"]})
+    got = sorted((r["t"], i, tf) for b in ST._blocks(iter([rows])) for r in b.to_pylist() for i, tf in zip(r["ids"], r["tfs"]))
+    assert got == [("a", 1, 2.0), ("a", 2, 3.0), ("b", 1, 3.5), ("c", 1, 1.0), ("c", 2, 1.0), ("c", 9, 1.0)]
+
+
+def test_terms_are_counted_as_they_are_split(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.functions import text as X
+
+    texts = ["", "  ", "Ärger, élan x2!", "\u0130stanbul \u00df \u00c9", "a_b-c..d", "\u6f22\u5b57 9\u00b2", "-x"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select(F.size(X.terms(F.col("x"))).alias("a"), X.count_terms(F.col("x")).alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect())
