@@ -185,3 +185,25 @@ def test_terms_are_counted_as_they_are_split(spark):
     texts = ["", "  ", "Ärger, élan x2!", "\u0130stanbul \u00df \u00c9", "a_b-c..d", "\u6f22\u5b57 9\u00b2", "-x"]
     df = spark.createDataFrame([(t,) for t in texts], "x string").select(F.size(X.terms(F.col("x"))).alias("a"), X.count_terms(F.col("x")).alias("b"))
     assert all(r["a"] == r["b"] for r in df.collect())
+
+
+def test_a_stream_batch_reads_its_texts_once(spark, tmp_path, monkeypatch):
+    """The notes of a batch are one plan that runs once; of equal numbers the result is fixed, and a removal wins."""
+    from pyspark.sql import functions as F
+
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        reads.add(1)
+        return x
+
+    kept = Store.apply
+    monkeypatch.setattr(Store, "apply", lambda self, number, fresh, gone, **k: kept(self, number, fresh.withColumn("body", counted("body")).withColumn("path", F.concat("path", F.substring("body", 1, 0))), gone, **k))
+    s = Store(spark, f"file://{tmp_path}/o")
+    rows = [("a.md", "A", [], "red", False, 1), ("b.md", "B", [], "cat", False, 2), ("b.md", None, None, None, True, 2), ("c.md", "C", [], "dog", False, 3)]
+    df = spark.createDataFrame(rows, SCHEMA + ", deleted boolean, seq long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    run_index(spark, f"{tmp_path}/in", df.schema, s, f"{tmp_path}/check")
+    assert {r["path"] for r in s.table("notes").collect()} == {"a.md", "c.md"}
+    assert reads.value == 2

@@ -115,10 +115,10 @@ class Store:
         rows = self._segments(name, last)
         return self._living_chunks(rows, last).drop("seg", "id") if name == "chunks" else self._living(rows, last).drop("seg")
 
-    def apply(self, number: int, fresh: DataFrame, gone: DataFrame) -> bool:
+    def apply(self, number: int, fresh: DataFrame, gone: DataFrame, apart: bool = False) -> bool:
         """One version: notes (path, title, tags, body) that are new or changed, and paths that are gone.
 
-        Notes whose text is as stored are left alone. False where the batch number is not above the last one's.
+        A path in both is not gone; a caller who knows that there is none says so by `apart`, and `fresh` is read once. Notes whose text is as stored are left alone. False where the batch number is not above the last one's.
         """
         last, old = self._committed()
         if number <= old["batch"]:
@@ -129,7 +129,8 @@ class Store:
             stored = self.table("notes").select("path", F.col("content_hash").alias("old_hash"))
             changed = changed.join(stored, "path", "left").where("old_hash IS NULL OR old_hash <> content_hash").drop("old_hash")
         changed = written(changed, "changed")
-        touched = written(changed.select("path").unionByName(gone.select("path").join(fresh.select("path"), "path", "left_anti")).distinct(), "touched")
+        gone = gone.select("path") if apart else gone.select("path").join(fresh.select("path"), "path", "left_anti")
+        touched = written(changed.select("path").unionByName(gone).distinct(), "touched")
         self._write(touched, "tombstones", v)
         self._write(changed.select("path", "title", "content_hash"), "notes", v)
         self._write_chunks(C.with_hashes(self.pieces(changed)), v)

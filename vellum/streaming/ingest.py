@@ -23,13 +23,15 @@ def run_available(spark: SparkSession, source: str, schema: StructType, sink: st
 def run_index(spark: SparkSession, source: str, schema: StructType, store: Store, checkpoint: str) -> None:
     """One run of the index over arriving changes (path, title, tags, body, deleted, seq): each batch is one version of the store.
 
-    Of a path's changes in a batch the last one counts. The batch number goes into the version, so a batch that is run
+    Of a path's changes in a batch the last one counts; of equal numbers the greatest row, a removal first. The batch number goes into the version, so a batch that is run
     again after a failure changes nothing if it had been committed, and starts over if it had not.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "seq").alias("c")).select("path", "c.*")
-        store.apply(number, last.where("NOT deleted").drop("deleted", "seq"), last.where("deleted").select("path"))
+        # texts are shuffled once, for the fresh notes; the paths that go come from narrow rows in the same order
+        last = lambda *cs: batch.groupBy("path").agg(F.max(F.struct("seq", "deleted", *cs)).alias("c")).select("path", "c.*")
+        texts = [F.when(~F.col("deleted"), F.col(c)).alias(c) for c in batch.columns if c not in ("path", "seq", "deleted")]
+        store.apply(number, last(*texts).where("NOT deleted").drop("deleted", "seq"), last().where("deleted").select("path"), apart=True)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
