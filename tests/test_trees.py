@@ -103,3 +103,30 @@ def test_only_equal_ends_meet_the_regular_expression(spark, monkeypatch):
     files = spark.createDataFrame([(f,) for i in range(n) for f in (f"a/{i}.md", f"a/x-{i:02}.py")], "file string")
     got = {tuple(x) for x in globs.matches(patterns, files).collect()}
     assert {(f"a/{i}.*", f"a/{i}.md") for i in range(n)} <= got and len(got) < 4 * n
+
+
+def test_a_chain_of_similar_pairs_takes_few_rounds(spark, monkeypatch):
+    """Each pair waits for the one before it; rounds alone would take one for each link, and give the same pairs."""
+    from vellum.operators import snapshots as SN
+
+    chain = [x for i in range(7) for x in ((f"o{i}", f"n{i}", 0.99 - i / 50), (f"o{i + 1}", f"n{i}", 0.98 - i / 50))]
+    pairs = spark.createDataFrame([*chain, ("p", "q", 0.7), ("p", "r", 0.7), ("P", "q", 0.7)], "old_path string, path string, share double")
+    made, kept = [], SN.written
+    monkeypatch.setattr(SN, "written", lambda df, name: made.append(name) or kept(df, name))
+    got = sorted(map(tuple, SN.matched(pairs).collect()))
+    assert len(made) <= 3
+    assert [x[:2] for x in got] == [("P", "q"), *[(f"o{i}", f"n{i}") for i in range(7)], ("p", "r")]
+    monkeypatch.setattr(SN, "FEW", 0)
+    assert sorted(map(tuple, SN.matched(pairs).collect())) == got
+
+
+def test_snapshots_keep_no_bodies(spark, monkeypatch):
+    from vellum.operators import snapshots as SN
+
+    made, kept = [], SN.written
+    monkeypatch.setattr(SN, "written", lambda df, name: made.append(df.columns) or kept(df, name))
+    old = spark.createDataFrame([("a", "x\ny"), ("b", "1\n2\n3"), ("c", None)], "path string, body string")
+    new = spark.createDataFrame([("a", "x\nz"), ("d", "1\n2\n3\n4"), ("e", "")], "path string, body string")
+    got = sorted((r["status"], r["path"], r["old_path"], r["share"]) for r in SN.changes(old, new).collect())
+    assert got == [("M", "a", None, None), ("R", "d", "b", 0.75), ("R", "e", "c", 1.0)]
+    assert made and not any("body" in columns for columns in made)

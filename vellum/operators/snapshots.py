@@ -7,11 +7,14 @@ the larger one's hashes are a rename with edits; the most similar pairs come fir
 rare hashes come first, such pairs share one among the first ones, so only these meet, and common lines make no pairs.
 An added path that is left but has the content of an old one is a copy of the least such path.
 
-Ranks in a group of equal contents come from salted parts and their running totals, so many copies make no large task.
+Bodies are read once, for hashes and sketches; only these meet afterwards. Ranks in a group of equal contents come from salted parts and their running totals, so many copies make no large task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from vellum.functions import text as X
 from .graph import written
 
 LINES, SIMILAR, SALTS = 32, 0.5, 64
+#: So many pairs that are left are settled in order by one task.
+FEW = 1 << 17
 
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -41,15 +46,20 @@ def _without(rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     return rows.join(pairs.select(F.col(name).alias("path")), "path", "left_anti")
 
 
+def sketch(body):
+    """The LINES least hashes of the distinct lines of a body; blank lines don't count."""
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.slice(F.sort_array(F.array_distinct(F.transform(lines, lambda s: F.md5(s)))), 1, LINES)
+
+
 def sketches(rows: DataFrame) -> DataFrame:
-    """(path, h): the LINES least hashes of the distinct lines of each body; blank lines don't count."""
-    lines = F.filter(F.transform(F.split("body", "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    return rows.select("path", F.slice(F.sort_array(F.array_distinct(F.transform(lines, lambda s: F.md5(s)))), 1, LINES).alias("h")).where("size(h) > 0")
+    """(path, h) of bodies that have a line."""
+    return rows.select("path", sketch(F.col("body")).alias("h")).where("size(h) > 0")
 
 
 def similar(gone: DataFrame, new: DataFrame) -> DataFrame:
-    """(old_path, path, share) of sketches that share at least SIMILAR of the larger one."""
-    a, b = sketches(gone), sketches(new)
+    """(old_path, path, share) of sketches (path, h) that share at least SIMILAR of the larger one."""
+    a, b = gone.select("path", "h").where("size(h) > 0"), new.select("path", "h").where("size(h) > 0")
     each = a.select(F.lit(0).alias("side"), "path", F.explode("h").alias("x")).unionByName(b.select(F.lit(1).alias("side"), "path", F.explode("h").alias("x")))
     often = each.groupBy("x").agg(F.count("*").alias("often"))
     ordered = each.join(often, "x").groupBy("side", "path").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("o"))
@@ -63,25 +73,45 @@ def similar(gone: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def matched(pairs: DataFrame) -> DataFrame:
-    """(old_path, path, share): the most similar pairs first, one to one. Each round takes the pairs that are the best of both sides."""
+    """(old_path, path, share): the most similar pairs first, one to one. Each round takes the pairs that are the best of both sides.
+
+    A chain of pairs that wait for each other takes a round a link, so the last FEW pairs are settled in their order at once.
+    """
     best = lambda by, ties: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("share"), *ties))
     left, out = written(pairs, "pairs"), None
-    while not left.isEmpty():
+    while left.count() > FEW:
         ranked = left.withColumn("a", best("old_path", ["old_path", "path"])).withColumn("b", best("path", ["old_path", "path"]))
         won = written(ranked.where("a = 1 AND b = 1").drop("a", "b"), "won")
         out = won if out is None else out.unionByName(won)
         left = written(left.join(won.select("old_path"), "old_path", "left_anti").join(won.select("path"), "path", "left_anti"), "pairs")
-    return out if out is not None else left
+    rest = left.select("old_path", "path", "share").coalesce(1).mapInPandas(_in_order, "old_path string, path string, share double")
+    return rest if out is None else out.select(*rest.columns).unionByName(rest)
+
+
+def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of at most FEW pairs, each whose sides no earlier one took; paths in the order of their bytes, as in Spark."""
+    rows = [x for p in parts for x in p.itertuples(index=False)]
+    old, new, kept = set(), set(), []
+    for x in sorted(rows, key=lambda x: (-x.share, x.old_path.encode(), x.path.encode())):
+        if x.old_path not in old and x.path not in new:
+            old.add(x.old_path)
+            new.add(x.path)
+            kept.append(x)
+    if kept:
+        yield pd.DataFrame(kept, columns=["old_path", "path", "share"])
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(status, path, old_path, share) between two snapshots (path, body): A, C, M, R or D; null bodies are empty ones."""
-    side = lambda df: df.select("path", F.coalesce("body", F.lit("")).alias("body")).withColumn("hash", X.content_hash(F.col("body")))
+    text = F.coalesce("body", F.lit(""))
+    side = lambda df: df.select("path", X.content_hash(text).alias("hash"), sketch(text).alias("h"))
     a, b = written(side(old), "old"), written(side(new), "new")
     row = lambda df, status, old_path=None, share=None: df.select(F.lit(status).alias("status"), "path", (F.col(old_path) if old_path else F.lit(None).cast("string")).alias("old_path"), (F.col(share) if share else F.lit(None).cast("double")).alias("share"))
-    modified = b.select("path", F.col("hash").alias("h")).join(a.select("path", "hash"), "path").where("h <> hash")
-    named = lambda df: df.withColumn("base", X.base_name(F.col("path")))
-    gone, fresh = named(a.join(b.select("path"), "path", "left_anti")), named(b.join(a.select("path"), "path", "left_anti"))
+    modified = b.select("path", F.col("hash").alias("now")).join(a.select("path", "hash"), "path").where("now <> hash")
+    # what stands on one side only, with its sketch, is written once
+    alone = lambda x, y, name: written(x.join(y.select("path"), "path", "left_anti").withColumn("base", X.base_name(F.col("path"))), name)
+    old_alone, new_alone = alone(a, b, "gone"), alone(b, a, "fresh")
+    gone, fresh = old_alone, new_alone
     same_name = written(_paired(gone, fresh, ["hash", "base"]), "renamed")
     gone, fresh = _without(gone, same_name, "old_path"), _without(fresh, same_name, "path")
     moved = written(_paired(gone, fresh, ["hash"]), "renamed")
