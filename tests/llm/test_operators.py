@@ -16,7 +16,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
-from vellum.llm import fingerprints, jaccard, licenses, packing, quality, rans, scratch, suffixes, token_counts, word_shuffle
+from vellum.llm import fingerprints, jaccard, licenses, packing, quality, queries, rans, scratch, suffixes, token_counts, word_shuffle
 
 SPACE = r"[^\x20\x09-\x0D]+"
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -86,6 +86,35 @@ def test_suffixes(docs, empty, rows):
     assert suffixes.remove_repeats(empty, length, 16).count() == 0
 
 
+def test_suffix_query_counts_in_bytes(spark, tmp_path):
+    """op1 at its own 400 bytes: n_bytes is the whole text, a repeated string goes from 400 bytes on whatever its words; counted in words, the shorter passage goes too."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvwé") for _ in range(r.randint(3, 6)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    exact = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    short, long, under, at, twice = say(55), say(90), exact(399), exact(400), exact(450)
+    assert len(short.encode()) < 400 < len(long.encode())
+    around = lambda x: f"{say(40)} {x} {say(40)}"
+    texts = [around(x) for x in (short, short, long, long)] + [f"{say(5)}<{under}>{say(5)}", f"{say(5)}({under}){say(5)}", f"{say(5)}<{at}>{say(5)}", f"{say(5)}({at}){say(5)}"]
+    texts += [f"{twice}|{say(30)}|{twice}", "ab" * 300, say(200), "", None]
+    count = collections.Counter(b[p : p + 400] for b in ((t or "").encode() for t in texts) for p in range(len(b) - 399))
+    want = []
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 399):
+            if count[b[p : p + 400]] > 1:
+                gone[p : p + 400] = b"\1" * 400
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    assert [bool(w[2]) for w in want] == [False, False, True, True, False, False, True, True, True, True, False, False, False]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    same(queries.op1_suffix_dedup(spark, str(tmp_path)), want, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    by_word = {row.doc_id for row in suffixes.remove_repeats(docs, words=51).where("n_removed > 0").collect()}
+    assert by_word >= {0, 1, 2, 3} and not by_word & {10, 11, 12}
+
+
 @pytest.mark.parametrize("scan", [1, 64])
 def test_large_mixed_groups(scan):
     """Groups whose members match to the left and to the right with different others; few neighbours looked at leave the rest undecided, never wrong."""
