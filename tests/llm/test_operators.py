@@ -115,6 +115,47 @@ def test_suffix_query_counts_in_bytes(spark, tmp_path):
     assert by_word >= {0, 1, 2, 3} and not by_word & {10, 11, 12}
 
 
+def test_suffix_query_counts_passages(spark, tmp_path):
+    """op1 also tells of repeated passages of over 50 words that are shorter than 400 bytes, and removes nothing for it."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvwé") for _ in range(r.randint(3, 6)))
+    say = lambda n: [word() for _ in range(n)]
+    fifty, least, more, other = say(50), say(51), say(60), say(52)
+    assert all(len(" ".join(x).encode()) < 400 for x in (fifty, least, more, other))
+    around = lambda *x: say(30) + [w for p in x for w in p] + say(30)
+    spoken = [around(fifty), around(fifty), around(least), around(more), around(more[:51]), around(least, other), around(other, say(5), other), say(200), say(51), ["ab"] * 70, []]
+    texts = [" ".join(w) for w in spoken] + ["\n ".join(around(least)) + "\r\n", None]
+    pieces = [[m.span() for m in re.finditer(SPACE.encode(), (t or "").encode())] for t in texts]
+    said = [[(t or "").encode()[a:b] for a, b in p] for t, p in zip(texts, pieces)]
+    count = collections.Counter(tuple(w[p : p + 51]) for w in said for p in range(len(w) - 50))
+    want = []
+    for i, (t, p, w) in enumerate(zip(texts, pieces, said)):
+        hit = {x for q in range(len(w) - 50) if count[tuple(w[q : q + 51])] > 1 for x in range(q, q + 51)}
+        runs = [x for x in hit if x - 1 not in hit]
+        want.append((i, len((t or "").encode()), 0, sum(p[x][1] - p[x][0] for x in hit) + sum(p[x + 1][0] - p[x][1] for x in hit if x + 1 in hit), len(runs)))
+    assert [w[4] for w in want] == [0, 0, 1, 1, 1, 1, 2, 0, 0, 1, 0, 1, 0] and want[3][3] < want[11][3] + 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    same(queries.op1_suffix_dedup(spark, str(tmp_path)), want, "doc_id", "n_bytes", "n_removed", "n_passage_bytes", "n_passages")
+
+
+def test_kmers_rows():
+    """A task sends one row for each scale and bucket, however many parts its documents belong to."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(900)) for _ in range(60)]
+    scales = [suffixes.Scale(400, 64, False, 2), suffixes.Scale(306, 64, True, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([texts[i // 2] for i in range(60)])], names=["part", "text"])
+    sent = pa.Table.from_batches(list(suffixes._kmers(scales)([batch])))
+    assert sorted(zip(sent["scale"].to_pylist(), sent["bucket"].to_pylist())) == [(0, 0), (0, 1), (1, 0)]
+    parts = set()
+    for i in range(len(sent)):
+        t = sent.slice(i, 1)
+        got = suffixes._repeated((t["scale"][0], t["bucket"][0]), t)
+        assert len(got) == len(set(got["part"].to_pylist()))
+        parts |= set(got["part"].to_pylist())
+    assert parts == set(range(60))
+
+
 @pytest.mark.parametrize("scan", [1, 64])
 def test_large_mixed_groups(scan):
     """Groups whose members match to the left and to the right with different others; few neighbours looked at leave the rest undecided, never wrong."""
