@@ -130,3 +130,19 @@ def test_snapshots_keep_no_bodies(spark, monkeypatch):
     got = sorted((r["status"], r["path"], r["old_path"], r["share"]) for r in SN.changes(old, new).collect())
     assert got == [("M", "a", None, None), ("R", "d", "b", 0.75), ("R", "e", "c", 1.0)]
     assert made and not any("body" in columns for columns in made)
+
+
+def test_a_group_of_equal_pairs_takes_no_round_for_each_member(spark, monkeypatch):
+    made, kept = [], snapshots.written
+    monkeypatch.setattr(snapshots, "written", lambda df, name: made.append(name) or kept(df, name))
+    monkeypatch.setattr(snapshots, "FEW", 0)
+    rows = [(f"o{i:02}", f"n{j:02}", 0.75) for i in range(12) for j in range(12)] + [("o03", "x", 0.8), ("y", "n05", 0.9), ("y", "x", 0.7)]
+    random.Random(2).shuffle(rows)
+    got = sorted(map(tuple, snapshots.matched(spark.createDataFrame(rows, "old_path string, path string, share double").repartition(5)).collect()))
+    old, new, want = set(), set(), []
+    for a, b, share in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
+        if a not in old and b not in new:
+            old.add(a)
+            new.add(b)
+            want.append((a, b, share))
+    assert got == sorted(want) and made.count("won") <= 2

@@ -23,8 +23,8 @@ from vellum.functions import text as X
 from .graph import written
 
 LINES, SIMILAR, SALTS = 32, 0.5, 64
-#: So many pairs that are left are settled in order by one task.
-FEW = 1 << 17
+#: Rounds go on while more pairs are left and the last round settled at least this share of them.
+FEW, WORTH = 1 << 17, 0.25
 
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -75,30 +75,36 @@ def similar(gone: DataFrame, new: DataFrame) -> DataFrame:
 def matched(pairs: DataFrame) -> DataFrame:
     """(old_path, path, share): the most similar pairs first, one to one. Each round takes the pairs that are the best of both sides.
 
-    A chain of pairs that wait for each other takes a round a link, so the last FEW pairs are settled in their order at once.
+    A chain of pairs that wait for each other takes a round a link, as does each member of a group of equal pairs. So
+    once rounds settle little, the pairs that are left are sorted and settled in their order by one task, which holds
+    the paths that are taken, not the pairs.
     """
     best = lambda by, ties: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("share"), *ties))
     left, out = written(pairs, "pairs"), None
-    while left.count() > FEW:
+    before, n = None, left.count()
+    while n > FEW and (before is None or n <= (1 - WORTH) * before):
         ranked = left.withColumn("a", best("old_path", ["old_path", "path"])).withColumn("b", best("path", ["old_path", "path"]))
         won = written(ranked.where("a = 1 AND b = 1").drop("a", "b"), "won")
         out = won if out is None else out.unionByName(won)
         left = written(left.join(won.select("old_path"), "old_path", "left_anti").join(won.select("path"), "path", "left_anti"), "pairs")
-    rest = left.select("old_path", "path", "share").coalesce(1).mapInPandas(_in_order, "old_path string, path string, share double")
+        before, n = n, left.count()
+    in_order = left.select("old_path", "path", "share").repartition(1).sortWithinPartitions(F.desc("share"), "old_path", "path")
+    rest = in_order.mapInPandas(_in_order, "old_path string, path string, share double")
     return rest if out is None else out.select(*rest.columns).unionByName(rest)
 
 
 def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of at most FEW pairs, each whose sides no earlier one took; paths in the order of their bytes, as in Spark."""
-    rows = [x for p in parts for x in p.itertuples(index=False)]
-    old, new, kept = set(), set(), []
-    for x in sorted(rows, key=lambda x: (-x.share, x.old_path.encode(), x.path.encode())):
-        if x.old_path not in old and x.path not in new:
-            old.add(x.old_path)
-            new.add(x.path)
-            kept.append(x)
-    if kept:
-        yield pd.DataFrame(kept, columns=["old_path", "path", "share"])
+    """Of sorted pairs each whose sides no earlier one took."""
+    old, new = set(), set()
+    for p in parts:
+        kept = []
+        for i, (x, y) in enumerate(zip(p["old_path"], p["path"])):
+            if x not in old and y not in new:
+                old.add(x)
+                new.add(y)
+                kept.append(i)
+        if kept:
+            yield p.iloc[kept]
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
